@@ -59,14 +59,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers = np.ones(64, dtype=np.uint64)
+_powers = np.zeros(0, dtype=np.uint64)
 
 
 def _power_table(n: int) -> np.ndarray:
     """_STEP ** 0 .. n-1 modulo 2**64."""
     global _powers
     if len(_powers) < n:
-        p = np.full(max(n, 2 * len(_powers)), _STEP, dtype=np.uint64)
+        p = np.full(max(n, 64, 2 * len(_powers)), _STEP, dtype=np.uint64)
         p[0] = 1
         _powers = np.multiply.accumulate(p)
     return _powers
@@ -103,11 +103,11 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     if n == 0:
         return words
     if n < width:
-        out = np.uint64(n) * _STEP
-        for w in words:
-            out = mix64(np.array([out ^ w], dtype=np.uint64))[0]
-        return np.array([out], dtype=np.uint64)
-    out = np.full(n - width + 1, np.uint64(width) * _STEP)
+        out = np.array([n], dtype=np.uint64) * _STEP
+        for k in range(n):
+            out = mix64(out ^ words[k : k + 1])
+        return out
+    out = np.full(n - width + 1, width, dtype=np.uint64) * _STEP
     for k in range(width):
         out = mix64(out ^ words[k : n - width + 1 + k])
     return out

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .dedup import op3_minhash_bayes
 from .packing import op9_best_two_fit
 
 QUERIES = {
+    "op3_minhash_bayes": op3_minhash_bayes,
     "op9_best_two_fit": op9_best_two_fit,
 }
 ORACLES: dict[str, str] = {}
