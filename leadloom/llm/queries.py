@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from .dedup import op3_minhash_bayes
+from .langid import op6_crf_language
 from .packing import op9_best_two_fit
 from .secret_scan import ORACLE as SECRETS_ORACLE
 from .secret_scan import op7_ownership_frequency
 
 QUERIES = {
     "op3_minhash_bayes": op3_minhash_bayes,
+    "op6_crf_language": op6_crf_language,
     "op7_ownership_frequency": op7_ownership_frequency,
     "op9_best_two_fit": op9_best_two_fit,
 }
 ORACLES: dict[str, str] = {
+    "op6_crf_language": op6_crf_language,
     "op7_ownership_frequency": SECRETS_ORACLE,
 }
