@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .dedup import op3_minhash_bayes
 from .langid import op6_crf_language
+from .lm_score import op8_context_tree
 from .packing import op9_best_two_fit
 from .secret_scan import ORACLE as SECRETS_ORACLE
 from .secret_scan import op7_ownership_frequency
@@ -12,6 +13,7 @@ QUERIES = {
     "op3_minhash_bayes": op3_minhash_bayes,
     "op6_crf_language": op6_crf_language,
     "op7_ownership_frequency": op7_ownership_frequency,
+    "op8_context_tree": op8_context_tree,
     "op9_best_two_fit": op9_best_two_fit,
 }
 ORACLES: dict[str, str] = {
