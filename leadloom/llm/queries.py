@@ -6,17 +6,20 @@ from .dedup import op3_minhash_bayes
 from .langid import op6_crf_language
 from .lm_score import op8_context_tree
 from .packing import op9_best_two_fit
+from .permutation_index import op5_permutation_index
 from .secret_scan import ORACLE as SECRETS_ORACLE
 from .secret_scan import op7_ownership_frequency
 
 QUERIES = {
     "op3_minhash_bayes": op3_minhash_bayes,
+    "op5_permutation_index": op5_permutation_index,
     "op6_crf_language": op6_crf_language,
     "op7_ownership_frequency": op7_ownership_frequency,
     "op8_context_tree": op8_context_tree,
     "op9_best_two_fit": op9_best_two_fit,
 }
 ORACLES: dict[str, str] = {
+    "op5_permutation_index": op5_permutation_index,
     "op6_crf_language": op6_crf_language,
     "op7_ownership_frequency": SECRETS_ORACLE,
 }
