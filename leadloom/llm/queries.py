@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .dedup import op3_minhash_bayes
+from .hamming import ORACLE as HAMMING_ORACLE
+from .hamming import op1_multi_index_hashing
 from .langid import op6_crf_language
 from .lm_score import op8_context_tree
 from .packing import op9_best_two_fit
@@ -11,6 +13,7 @@ from .secret_scan import ORACLE as SECRETS_ORACLE
 from .secret_scan import op7_ownership_frequency
 
 QUERIES = {
+    "op1_multi_index_hashing": op1_multi_index_hashing,
     "op3_minhash_bayes": op3_minhash_bayes,
     "op5_permutation_index": op5_permutation_index,
     "op6_crf_language": op6_crf_language,
@@ -19,7 +22,6 @@ QUERIES = {
     "op9_best_two_fit": op9_best_two_fit,
 }
 ORACLES: dict[str, str] = {
-    "op5_permutation_index": op5_permutation_index,
-    "op6_crf_language": op6_crf_language,
+    "op1_multi_index_hashing": HAMMING_ORACLE,
     "op7_ownership_frequency": SECRETS_ORACLE,
 }
