@@ -7,19 +7,25 @@ from .hamming import ORACLE as HAMMING_ORACLE
 from .hamming import op1_multi_index_hashing
 from .langid import op6_crf_language
 from .lm_score import op8_context_tree
+from .nbest import op10_nbest_segmentation
 from .packing import op9_best_two_fit
 from .permutation_index import op5_permutation_index
+from .quotes import op2_quotation_links
 from .secret_scan import ORACLE as SECRETS_ORACLE
 from .secret_scan import op7_ownership_frequency
+from .url_lists import op4_temporal_list_join
 
 QUERIES = {
     "op1_multi_index_hashing": op1_multi_index_hashing,
+    "op2_quotation_links": op2_quotation_links,
     "op3_minhash_bayes": op3_minhash_bayes,
+    "op4_temporal_list_join": op4_temporal_list_join,
     "op5_permutation_index": op5_permutation_index,
     "op6_crf_language": op6_crf_language,
     "op7_ownership_frequency": op7_ownership_frequency,
     "op8_context_tree": op8_context_tree,
     "op9_best_two_fit": op9_best_two_fit,
+    "op10_nbest_segmentation": op10_nbest_segmentation,
 }
 ORACLES: dict[str, str] = {
     "op1_multi_index_hashing": HAMMING_ORACLE,
