@@ -2,12 +2,15 @@
 
 1. One pass over the texts gives each document its set of word shingles as a digest, 128 min-hashes
    cut into 32 bands, and a sketch of 4 bits per min-hash. Equal sets become one node.
-2. Each band bucket proposes the pairs of its members with its smallest node.
+2. Each band bucket proposes the pairs of its members with its leader, the node with the most copies.
 3. Proposed pairs are compared by batches of the sketch; a pair goes as soon as the posterior probability
    of its similarity reaching the threshold is below the chosen miss probability.
 4. Survivors are confirmed on their full shingle sets, and links give components.
-5. Only buckets that still hold several components propose pairs again, across components. So a group of
-   n near copies costs n comparisons for each band, not n squared, and no link is lost.
+5. Only buckets that still hold several components propose pairs again, across components. There a pair must
+   also pass an exact bound: confirming a pair with its leader leaves bitmaps of what the node adds to the
+   leader's set and what it lacks of it, and these bound the intersection of any two nodes with one leader from
+   above. So the members of a large group that fall just short of the threshold leave no pairs behind, and no
+   link is lost.
 """
 
 from __future__ import annotations
@@ -25,6 +28,11 @@ from .common import materialize, mix64, read_table, shingle_hashes, word_hashes
 
 HASHES, BANDS = 128, 32
 SKETCH = [f"s{i}" for i in range(HASHES // 16)]
+#: 64-bit parts of the bitmaps of differences from a leader.
+PARTS = 8
+MORE = [f"m{i}" for i in range(PARTS)]
+LESS = [f"l{i}" for i in range(PARTS)]
+DIFF = ["n_more", "n_less", *MORE, *LESS]
 #: Hashes compared before each pruning decision.
 BATCH = 32
 #: Wanted texts are found by a broadcast of up to so many keys (24 bytes each), beyond that by a shuffle.
@@ -149,29 +157,50 @@ def plausible_sql(per_cent: int, miss: float) -> str:
 # Exact confirmation and components
 
 
+def _bitmap(shingles: np.ndarray) -> np.ndarray:
+    """A bit for each shingle, by its lowest bits."""
+    bits = np.zeros(PARTS * 64, np.uint8)
+    bits[(shingles & np.uint64(PARTS * 64 - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
 def _confirm(width: int, per_cent: int):
+    """Of pairs (a, b) with their texts: whether the sets reach the similarity, and how b's set differs from a's."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             left, right = batch.column(2), batch.column(3)
-            keep = []
+            linked, diffs = [], np.zeros((len(a), len(DIFF)), np.int64)
             for i, node in enumerate(a):
                 if node not in known:
                     if len(known) >= 64:
                         known.clear()
                     known[node] = _sets([left[i].as_py().encode()], width)[0]
                 one, two = known[node], _sets([right[i].as_py().encode()], width)[0]
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                if 100 * both >= per_cent * (len(one) + len(two) - both):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
+                more, less = np.setdiff1d(two, one, assume_unique=True), np.setdiff1d(one, two, assume_unique=True)
+                both = len(two) - len(more)
+                linked.append(100 * both >= per_cent * (both + len(more) + len(less)))
+                diffs[i] = [len(more), len(less), *_bitmap(more), *_bitmap(less)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked), *(pa.array(diffs[:, k]) for k in range(len(DIFF)))], ["a", "b", "linked", *DIFF])
 
     return run
 
 
+def _overlap_sql() -> str:
+    """SQL over aliases x and y with one leader: no fewer than the shingles their sets share.
+
+    Inside the leader's set both lack what either lacks; outside it they share added shingles. Shared shingles
+    are at most the shared bits and the bits that one node's own shingles double.
+    """
+    shared = lambda cols: " + ".join(f"bit_count(x.{c} & y.{c})" for c in cols)
+    double = lambda n, cols: "least(" + ", ".join(f"{t}.{n} - ({' + '.join(f'bit_count({t}.{c})' for c in cols)})" for t in "xy") + ")"
+    return f"(x.n_shingles - x.n_more - y.n_less + {shared(LESS)} + {double('n_less', LESS)} + {shared(MORE)} + {double('n_more', MORE)})"
+
+
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, per_cent: int) -> DataFrame:
-    """The pairs whose full shingle sets reach the similarity. Only the texts of nodes in pairs move."""
+    """(a, b, linked, differences) of every pair, by its full shingle sets. Only the texts of nodes in pairs move."""
     wanted = materialize(
         pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct().join(nodes.select("nid", F.col("rep").alias("w_id"), F.col("text_key").alias("w_key")), "nid"), "wanted"
     )
@@ -182,7 +211,8 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int,
     texts = materialize(texts, "texts")
     left = pairs.join(texts.withColumnRenamed("nid", "a").withColumnRenamed("text", "t"), "a")
     both = left.join(texts.withColumnRenamed("nid", "b").withColumnRenamed("text", "u"), "b").select("a", "b", "t", "u")
-    return materialize(both.mapInArrow(_confirm(width, per_cent), "a long, b long"), "links")
+    schema = "a long, b long, linked boolean, " + ", ".join(f"{c} long" for c in DIFF)
+    return materialize(both.mapInArrow(_confirm(width, per_cent), schema), "links")
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -220,11 +250,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80, miss: f
     one = F.min(F.struct("doc_id", "text_key")).alias("one")
     nodes = (
         signed.where("node is not null").groupBy("node")
-        .agg(F.min("doc_id").alias("first_id"), one, *(F.first(c).alias(c) for c in ("n_shingles", *SKETCH, "bands")))
-        .select("node", "first_id", F.col("one.doc_id").alias("rep"), F.col("one.text_key").alias("text_key"), "n_shingles", *SKETCH, "bands")
-        .withColumn("nid", F.monotonically_increasing_id())
+        .agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), one, *(F.first(c).alias(c) for c in ("n_shingles", *SKETCH, "bands")))
+        .select("node", "first_id", "copies", F.col("one.doc_id").alias("rep"), F.col("one.text_key").alias("text_key"), "n_shingles", *SKETCH, "bands")
+        .withColumn("nid", F.expr("shiftleft(31L - least(31L, cast(log2(copies) AS bigint)), 58)").bitwiseOR(F.monotonically_increasing_id()))
     )
-    nodes = materialize(nodes, "nodes")  # so the ids hold from here on
+    nodes = materialize(nodes, "nodes")  # so the ids hold from here on; nodes with many copies have the lowest
     buckets = nodes.select("nid", F.explode("bands").alias("bucket"))
     shared = materialize(buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("nid").alias("a")).where("n > 1").select("bucket", "a"), "shared")
     members = materialize(buckets.join(shared, "bucket").select("bucket", "a", "nid"), "members")
@@ -236,19 +266,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80, miss: f
     y = sketches.withColumnRenamed("nid", "b").alias("y")
     near = x.join(y, (F.col("x.b") == F.col("y.b")) & test).select(F.col("x.a").alias("a"), F.col("x.b").alias("b"))
     near = materialize(near, "near")
-    links = _confirmed(near, nodes, docs, width, per_cent)
+    tested = _confirmed(near, nodes, docs, width, per_cent)
+    links = tested.where("linked").select("a", "b")
     labels = components(links)
 
+    zero = [F.lit(0).cast("long").alias(c) for c in DIFF]
+    of_leader = tested.select(F.col("b").alias("nid"), F.col("a").alias("ref"), *DIFF).union(tested.select(F.col("a").alias("nid"), F.col("a").alias("ref"), *zero))
+    of_leader = of_leader.groupBy("nid").agg(F.min(F.struct("ref", *DIFF)).alias("d")).select("nid", "d.*")
+    detail = materialize(sketches.join(of_leader, "nid", "left"), "detail")
     at = members.select("bucket", "nid").join(labels, "nid", "left").select("bucket", "nid", F.coalesce("comp", "nid").alias("comp"))
     at = materialize(at, "at")
     mixed = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-    left = materialize(at.join(materialize(mixed, "mixed"), "bucket").join(sketches, "nid"), "left")
-    x, y = left.alias("x"), left.alias("y")
-    more = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") < F.col("y.comp")) & test)
+    mixed = materialize(at.join(materialize(mixed, "mixed"), "bucket").join(detail, "nid"), "left")
+    x, y = mixed.alias("x"), mixed.alias("y")
+    possible = F.expr(f"NOT coalesce(x.ref = y.ref AND {100 + per_cent} * {_overlap_sql()} < {per_cent} * (x.n_shingles + y.n_shingles), false)")
+    more = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") < F.col("y.comp")) & test & possible)
     more = more.select(F.col("x.nid").alias("p"), F.col("y.nid").alias("q")).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
     more = materialize(more.join(near, ["a", "b"], "left_anti"), "more")
     if more.limit(1).count():
-        links = links.union(_confirmed(more, nodes, docs, width, per_cent))
+        links = links.union(_confirmed(more, nodes, docs, width, per_cent).where("linked").select("a", "b"))
         labels = components(links)
 
     named = nodes.select("nid", "node", "first_id").join(labels, "nid", "left").select("node", "first_id", F.coalesce("comp", "nid").alias("comp"))
