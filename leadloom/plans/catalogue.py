@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import events, leads, reports, texts
+
+MODULES = (leads, reports, events, texts)
+QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLES: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLES.items()}
