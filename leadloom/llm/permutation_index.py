@@ -2,7 +2,8 @@
 
 A vector is represented by the order of its nearest pivots. Index vectors are posted in the inverted files of
 their first pivots; a query reads the files of its own first pivots, ranks what it finds there by the footrule
-distance between the two orders, and reranks the best by the exact inner product. Long files are cut into
+distance between the two orders, and reranks the best by the exact inner product. Orders are taken after one more
+component that gives all index vectors one length, so that the largest inner product is the smallest angle. Long files are cut into
 blocks, and so are the queries that read a file: every pair of blocks is one bounded group.
 """
 
@@ -20,7 +21,7 @@ PIVOTS, ORDER, POSTED, READ = 64, 48, 8, 12
 #: Vectors in a block of a file, and queries in a block of its readers.
 BLOCK_ROWS, BLOCK_QUERIES = 2048, 512
 #: Candidates per query and block that are reranked: this share of the block, and at least so many.
-RERANK_SHARE, RERANK_LEAST = 0.35, 64
+RERANK_SHARE, RERANK_LEAST = 0.5, 64
 
 
 def usable_vectors(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
@@ -31,13 +32,19 @@ def usable_vectors(vectors: DataFrame, id_column: str, vector_column: str) -> Da
     return vectors.where(usable).select(F.col(id_column).cast("long").alias("id"), v.alias("v"))
 
 
-def choose_pivots(vectors: DataFrame, n: int) -> np.ndarray:
-    """`n` distinct vectors at most, of unit length, the smallest by hash of the vector."""
+def levelled(vectors: np.ndarray, longest: float) -> np.ndarray:
+    """With one more component, after which all have the length `longest`."""
+    rest = np.sqrt(np.maximum(longest**2 - (vectors**2).sum(axis=1), 0))
+    return np.concatenate([vectors, rest[:, None]], axis=1)
+
+
+def choose_pivots(vectors: DataFrame, n: int, longest: float) -> np.ndarray:
+    """`n` distinct vectors at most, levelled and of unit length, the smallest by hash of the vector."""
     some = vectors.select("v", F.xxhash64("v", F.lit(17)).alias("h")).groupBy("h").agg(F.first("v").alias("v")).orderBy("h").limit(n).collect()
     if not some:
         return np.zeros((0, 0))
     dims = max(len(r["v"]) for r in some)
-    out = np.array([r["v"] for r in some if len(r["v"]) == dims])
+    out = levelled(np.array([r["v"] for r in some if len(r["v"]) == dims]), longest)
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
@@ -46,14 +53,18 @@ def _orders(vectors: np.ndarray, pivots: np.ndarray, keep: int) -> np.ndarray:
     return np.argsort(-(vectors @ pivots.T), axis=1, kind="stable")[:, :keep].astype(np.int32)
 
 
-def _ordered(pivots, keep: int):
+def _ordered(pivots, keep: int, longest: float | None):
+    """Adds perm; index vectors are levelled, queries (longest None) get a 0 in the last place."""
+
     def run(batches):
         for pdf in batches:
             if len(pdf):
-                dims = pivots.value.shape[1]
+                dims = pivots.value.shape[1] - 1
                 pdf = pdf[pdf["v"].map(len) == dims]
             if len(pdf):
-                yield pdf.assign(perm=list(_orders(np.stack(pdf["v"].to_numpy()), pivots.value, keep)))
+                v = np.stack(pdf["v"].to_numpy())
+                v = levelled(v, longest) if longest is not None else np.pad(v, ((0, 0), (0, 1)))
+                yield pdf.assign(perm=list(_orders(v, pivots.value, keep)))
 
     return run
 
@@ -110,14 +121,15 @@ def nearest(
     part. Of rows that repeat an id with one vector, one is returned.
     """
     spark = vectors.sparkSession
-    chosen = choose_pivots(vectors, pivots)
+    longest = vectors.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
+    chosen = choose_pivots(vectors, pivots, longest or 0.0)
     if not len(chosen):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     model, n = spark.sparkContext.broadcast(chosen), len(chosen)
     order = min(order, n)
     schema = "id long, v array<double>, perm array<int>"
-    index = materialize(vectors.mapInPandas(_ordered(model, order), schema), "index")
-    asked = materialize(queries.mapInPandas(_ordered(model, order), schema), "asked")
+    index = materialize(vectors.mapInPandas(_ordered(model, order, longest), schema), "index")
+    asked = materialize(queries.mapInPandas(_ordered(model, order, None), schema), "asked")
     files = lambda df, m: df.select("*", F.explode(F.slice("perm", 1, m)).alias("file"))
     # At most `pivots` rows each: how many blocks every file's rows and readers make.
     cuts = lambda df, m, size, name: {r[0]: -(-r[1] // size) for r in files(df, m).groupBy("file").count().collect()}  # noqa: E731, ARG005
