@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import read_table, word_hashes
 
 #: Labelled texts of each language to fit on, in expectation.
-PER_LANGUAGE = 120
+PER_LANGUAGE = 80
 #: Languages that a corpus may have; more are an error, not a silent choice.
 MAX_LANGUAGES = 200
 BITS = 16
@@ -27,7 +27,7 @@ LEXICON_BITS = 18
 #: A word enters a language's lexicon when the sample holds it so often in that language.
 LEXICON_COUNT = 3
 #: Characters of text that a worker turns into features at a time, and runs through the chain at a time.
-STEP_CHARS, CHAIN_CHARS = 1_000_000, 6_000_000
+STEP_CHARS, CHAIN_CHARS = 400_000, 2_400_000
 #: Words in a block of the chain.
 BLOCK = 256
 ROUNDS = 25
