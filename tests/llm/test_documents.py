@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -272,45 +273,66 @@ def test_rare_tokens_meet_their_counts(docs, monkeypatch):
 
 
 def test_context_tree_equals_the_recursion():
-    text = b"abracadabra, abracadabra! the cat"
-    grams, _ = lm_score._grams([text])
-    unique, n = np.unique(grams, return_counts=True)
-    row, table = lm_score.context_tree(unique, n)
-    assert np.allclose((10.0 ** table.astype(float)).sum(axis=1), 1, atol=1e-5)
-    history = b"\0\0" + text + b"\xff"
-    seen = [(history[i - 2 : i], history[i]) for i in range(2, len(history))]
+    text, depth = b"abracadabra, abracadabra! the cat", lm_score.DEPTH
+    asked = [b"abra", b" the", b"zzzz", b"zzza", b"xcad"]
+    of = lambda context, s: sum(c << 8 * (i + 1) for i, c in enumerate(context)) + s
+    every = np.array([of(c, s) for c in asked for s in range(256)])
+    own = lm_score._keys([text])[0]
+    keys, counts = lm_score._summed([own, every], [np.ones(len(own), np.int64), np.zeros(len(every), np.int64)])
+    x, seen, below = lm_score._subtrees(keys, counts)
+    pairs = np.bincount(keys >> 8 * depth << 8 | keys & 255, weights=counts, minlength=1 << 16).reshape(256, 256)
+    a, b, c = (t[keys >> 8 * depth, keys & 255] for t in lm_score.top_levels(pairs, below.reshape(256, 256)[:, 1:]))
+    p_of = dict(zip(keys.tolist(), np.where(seen, a + b * x, c).prod(axis=1), strict=True))
+    for context in asked:
+        assert sum(p_of[of(context, s)] for s in range(256)) == pytest.approx(1)
+    history = bytes(depth) + text + b"\xff"
+    met = [(history[i - depth : i], history[i]) for i in range(depth, len(history))]
 
     def node(context, bits):
-        pick = [s for c, s in seen if c.endswith(context) and format(s, "08b").startswith(bits)]
+        pick = [s for c, s in met if c.endswith(context) and format(s, "08b").startswith(bits)]
         return sum(format(s, "08b")[len(bits)] == "0" for s in pick), sum(format(s, "08b")[len(bits)] == "1" for s in pick)
 
     def kt(a, b):
         return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - 2 * math.lgamma(0.5) - math.lgamma(a + b + 1)
 
+    def children(context, bits):
+        return sum(weighted(c, bits) for c in {c[depth - len(context) - 1 :] for c, _ in met if c.endswith(context)})
+
     def weighted(context, bits):
         own = kt(*node(context, bits))
-        if len(context) == 2:
-            return own
-        children = {c[2 - len(context) - 1 :] for c, _ in seen if c.endswith(context)}
-        return np.logaddexp(own, sum(weighted(c, bits) for c in children)) - math.log(2)
+        return own if len(context) == depth else np.logaddexp(own, children(context, bits)) - math.log(2)
 
-    def one(context, bits, depth=0):
-        a, b = node(context[2 - depth :], bits)
+    def one(context, bits, d=0):
+        a, b = node(context[depth - d :], bits)
         est = (b + 0.5) / (a + b + 1)
-        if depth == 2:
+        if d == depth or not sum(node(context[depth - d - 1 :], bits)):
             return est
-        own = kt(a, b)
-        rest = weighted(context[2 - depth :], bits) + math.log(2)
-        w = math.exp(own - rest)
-        return w * est + (1 - w) * one(context, bits, depth + 1)
-
-    for context, symbol in ((b"ab", ord("r")), (b"he", ord(" ")), (b"zz", ord("a")), (b"za", ord("b"))):
-        bits = format(symbol, "08b")
-        p = 1.0
+        w = 1 / (1 + math.exp(children(context[depth - d :], bits) - kt(a, b)))
+        return w * est + (1 - w) * one(context, bits, d + 1)
+
+    for context, symbol in ((b"abra", ord("c")), (b" the", ord(" ")), (b"zzzz", ord("a")), (b"zzza", ord("b")), (b"xcad", ord("a"))):
+        bits, p = format(symbol, "08b"), 1.0
         for k in range(8):
             q = one(context, bits[:k])
             p *= q if bits[k] == "1" else 1 - q
-        assert table[row[context[0] << 8 | context[1]], symbol] == pytest.approx(math.log10(p), abs=1e-4)
+        assert p_of[of(context, symbol)] == pytest.approx(p)
+
+
+def test_blocks_do_not_change_scores(docs, monkeypatch):
+    read = lambda: sorted((str(r["doc_id"]), round(r["score"], 3), round(r["base_score"], 6)) for r in lm_score.score_texts(docs, F.col("doc_id") < 11).collect())
+    whole = read()
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 20_000)
+    assert read() == whole and len(whole) == len(ROWS)
+
+
+def test_stretches_split_no_context(monkeypatch):
+    monkeypatch.setattr(lm_score, "STRETCH", 3)
+    keys = np.sort(np.random.default_rng(2).integers(0, 9, 60) << lm_score.TOP_SHIFT) + np.arange(60)
+    batches = [pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.ones(len(k), np.int64))], ["key", "n"]) for k in np.split(keys, [1, 7, 7, 20, 59])]
+    parts = [k for k, _ in lm_score._stretches(batches)]
+    contexts = [set((k >> lm_score.TOP_SHIFT).tolist()) for k in parts]
+    assert np.concatenate(parts).tolist() == keys.tolist() and len(parts) > 2
+    assert sum(map(len, contexts)) == len(set.union(*contexts))
 
 
 def brute_paths(pieces, text, n):
