@@ -138,10 +138,11 @@ def tier_selection(spark, d):
     return rows.select("id", "source", "score", "place")
 
 
-@query("{L}, a AS (SELECT id, city, segment, score FROM leads WHERE id % 2 = 0), b AS (SELECT id, city, segment, score FROM leads WHERE id % 3 = 0), u AS (SELECT * FROM a UNION SELECT * FROM b), t AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY score DESC, id) AS turn FROM u) SELECT id, city, score, CAST(turn AS INT) AS turn FROM t")
+@query("{L}, a AS (SELECT id, city, segment, score FROM leads WHERE status <> 'new' OR city < 'B'), b AS (SELECT id, city, segment, score FROM leads WHERE status = 'new'), u AS (SELECT * FROM a UNION SELECT * FROM b), t AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY score DESC, id) AS turn FROM u) SELECT id, city, score, CAST(turn AS INT) AS turn FROM t")
 def combine_city_sets(spark, d):
-    leads = scored(spark, d).select("id", "city", "segment", "score")
-    both = dedupe.union_sources(leads.where("id % 2 = 0"), leads.where("id % 3 = 0"))
+    leads = scored(spark, d).select("id", "city", "segment", "score", "status")
+    both = dedupe.union_sources(leads.where("status <> 'new' OR city < 'B'"), leads.where("status = 'new'"))
+    both = both.drop("status")
     return ranking.diversified(dedupe.keep_first(both, ["id"], ["ord"])).select("id", "city", "score", "turn")
 
 
@@ -188,9 +189,10 @@ def dedupe_external(spark, d):
     return dedupe.first_per(rows, ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "value")
 
 
-@query("WITH i AS (SELECT doc_id, trim(regexp_replace(lower(left(text, 60)), '[^a-z]+', ' ', 'g')) AS k FROM documents), b AS (SELECT DISTINCT trim(regexp_replace(lower(left(text, 60)), '[^a-z]+', ' ', 'g')) AS k FROM benchmark) SELECT min(doc_id) AS doc_id FROM i WHERE k <> '' AND k NOT IN (SELECT k FROM b) GROUP BY k UNION ALL SELECT doc_id FROM i WHERE k = ''")
+@query("WITH i AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')) AS k FROM documents), b AS (SELECT DISTINCT trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')) AS k FROM benchmark) SELECT min(doc_id) AS doc_id FROM i WHERE k <> '' AND k NOT IN (SELECT k FROM b) GROUP BY k UNION ALL SELECT doc_id FROM i WHERE k = ''")
 def dedupe_against_news(spark, d):
-    key = F.trim(F.regexp_replace(F.lower(F.left(F.col("text"), F.lit(60))), "[^a-z]+", " "))  # a headline's worth of text
+    """Documents whose normalised text no benchmark passage has, one of each; those without letters all stay."""
+    key = F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " "))
     return dedupe.against_lane(read(spark, d, "documents").select("doc_id", "text"), read(spark, d, "benchmark"), key, key, ["doc_id"]).select("doc_id")
 
 

@@ -58,9 +58,9 @@ def weekly_price_moves(spark, d):
     return series.weekly_moves(prices(spark, d), "part", "day", F.col("price"), F.lit(WEEK))
 
 
-@query("WITH i AS (SELECT p_partkey AS part FROM part WHERE p_size = 1), s AS (SELECT part, CAST(unnest(generate_series(DATE '1998-07-20', DATE '1998-08-02', INTERVAL 1 DAY)) AS DATE) AS day FROM i), m AS (SELECT l_partkey AS part, CAST(l_shipdate AS DATE) AS day, CAST(floor(avg(CAST(l_extendedprice AS DECIMAL(18,2))) + 0.5) AS BIGINT) AS mean FROM lineitem GROUP BY 1, 2) SELECT part, day, mean FROM s LEFT JOIN m USING (part, day)")
+@query("WITH i AS (SELECT p_partkey AS part FROM part), s AS (SELECT part, CAST(unnest(generate_series(DATE '1998-07-20', DATE '1998-08-02', INTERVAL 1 DAY)) AS DATE) AS day FROM i), m AS (SELECT l_partkey AS part, CAST(l_shipdate AS DATE) AS day, CAST(floor(avg(CAST(l_extendedprice AS DECIMAL(18,2))) + 0.5) AS BIGINT) AS mean FROM lineitem GROUP BY 1, 2) SELECT part, day, mean FROM s LEFT JOIN m USING (part, day)")
 def price_series_dense(spark, d):
-    items = read(spark, d, "part").where("p_size = 1").select(F.col("p_partkey").alias("part"))
+    items = read(spark, d, "part").select(F.col("p_partkey").alias("part"))
     return series.dense_series(prices(spark, d), items, "part", "day", F.col("price"), 14, today())
 
 

@@ -122,7 +122,7 @@ def segment_from_text(spark, d):
 
 @query("SELECT conv_id, turn, 'L' || (turn + 1) AS label, 'won' AS status FROM conversations WHERE role = 'user'")
 def command_parse(spark, d):
-    text = F.concat(F.lit(" l "), (F.col("turn") + 1).cast("string"), F.lit(" WON "), F.left(F.col("text"), F.lit(20)))  # a command before the message's first words
+    text = F.concat(F.lit(" l "), (F.col("turn") + 1).cast("string"), F.lit(" WON "), F.col("text"))  # a command before the message
     return read(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", strings.command(text).alias("c")).select("conv_id", "turn", "c.label", "c.status")
 
 
