@@ -330,7 +330,11 @@ def score_texts(docs: DataFrame, training: Column) -> DataFrame:
     tagged = given.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
     vocabulary = materialize(given.where("learn").select("text").mapInArrow(_count_words, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")), "vocabulary")
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top_words = vocabulary.where(F.octet_length("token") <= HEAVY_BYTES).orderBy(F.desc("n"), "token").limit(HEAVY_TOKENS).collect()
+    short = vocabulary.where(F.octet_length("token") <= HEAVY_BYTES).withColumn("band", F.floor(F.log2("n") * 16))
+    # Whole bands of counts, as many as HEAVY_TOKENS has room for: no task sends the driver more than the broadcast holds.
+    bands = sorted(short.groupBy("band").count().collect(), reverse=True)  # at most 1,024 rows
+    fits = int((np.cumsum([n for _, n in bands]) <= HEAVY_TOKENS).sum())
+    top_words = short.where(F.col("band") >= bands[fits - 1][0]).select("token", "n").collect() if fits else []
     heavy = sc.broadcast(({bytes(r[0]): i for i, r in enumerate(top_words)}, np.log10(np.array([r[1] for r in top_words], dtype=np.float64) + ALPHA)))
 
     asked = materialize(tagged.select("block", "text", "learn").groupBy("block").applyInArrow(_count_keys, "block int, key long, n long"), "keys")
