@@ -78,7 +78,8 @@ def exact_nearest(queries: DataFrame, codes: DataFrame, bits: int, k: int = 20)
         each = [_distance("p", "x", s) for s in segments]
         # First met here: no segment is nearer than `radius`, and none before this one is as near.
         fresh = reduce(lambda a, b: a & b, [(d > radius) | ((d == radius) & (F.col("p.j") <= i)) for i, d in enumerate(each)])
-        met = probes.alias("p").join(posted.alias("x"), (F.col("p.j") == F.col("x.j")) & (F.col("p.value") == F.col("x.value")) & fresh)
+        # Spark estimates the probes as if they were not exploded, and would broadcast them: always a shuffle.
+        met = probes.hint("merge").alias("p").join(posted.alias("x"), (F.col("p.j") == F.col("x.j")) & (F.col("p.value") == F.col("x.value")) & fresh)
         met = met.select("p.qid", "x.cid", "x.first", "x.n", reduce(lambda a, b: a + b, each).alias("d"))
         both = met if best is None else met.unionByName(best)
         ranked = both.withColumn("r", F.row_number().over(by_distance)).where(F.col("r") <= need).drop("r")
