@@ -44,7 +44,8 @@ def find_plain_emails(c: Column) -> Column:
 def _emails(text: str | None) -> list[str]:
     shape, portal = re.compile(r"^[^@\s]+@[^@\s.]+\.[^@\s]+$"), re.compile(PORTAL)
     found = [(m.start(), 0, m[0]) for m in re.finditer(EMAIL, text or "")]
-    found += [(m.start(), 1, f"{m[1]}@{re.sub(_DOT, '.', m[2])}") for m in re.finditer(DISGUISED, text or "")]
+    if "dot" in (text or "") or "DOT" in (text or ""):  # no disguise without
+        found += [(m.start(), 1, f"{m[1]}@{re.sub(_DOT, '.', m[2])}") for m in re.finditer(DISGUISED, text)]
     out: dict[str, int] = {}
     for at, disguised, raw in sorted(found, key=lambda x: (x[1], x[0])):
         address = raw.lower()
@@ -60,7 +61,9 @@ def find_emails(s: pd.Series) -> pd.Series:
 
 
 _LABEL = re.compile(r"(?i)(?:contact\s+person|contact\s+officer|nodal\s+officer|officer\s+in\s+charge|name\s+of\s+(?:the\s+)?contact)\s*[:\-]\s*([^\n;|]{3,80})")
-_POST = re.compile(r"([^\n,;:]{3,60}),\s*((?:deputy|assistant|joint)\s+registrar|registrar|store\s+officer|purchase\s+officer|warden|superintendent|mess\s+manager|general\s+manager|director)\b", re.IGNORECASE)
+_POST_END = r",\s*((?:deputy|assistant|joint)\s+registrar|registrar|store\s+officer|purchase\s+officer|warden|superintendent|mess\s+manager|general\s+manager|director)\b"
+_POST = re.compile(r"([^\n,;:]{3,60})" + _POST_END, re.IGNORECASE)
+_HAS_POST = re.compile(_POST_END, re.IGNORECASE)
 _HONORIFIC = re.compile(r"^(?:mr|mrs|ms|dr|prof|shri|smt|sri)\b\.?", re.IGNORECASE)
 _NOT_NAMES = frozenset("page details here address phone email office department tender notice date time the and for with from".split())
 
@@ -75,6 +78,8 @@ def looks_like_person(name: str) -> bool:
 
 def _contact_name(text: str | None) -> str | None:
     for pattern in (_LABEL, _POST):
+        if pattern is _POST and not _HAS_POST.search(text or ""):  # its end, sought from the comma, is much cheaper
+            continue
         for m in pattern.finditer(text or ""):
             name = re.split(r",|\(|\s{2,}|(?i:\b(?:phone|email|mobile|tel)\b)", m[1])[0].strip(" .:-") if pattern is _LABEL else m[1].strip(" .:-")
             if looks_like_person(name):
