@@ -45,6 +45,7 @@ class ChunkIds(dict):
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer = tokenizer
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         letters = _byte_letters()
         self.as_bytes = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(256)}
         self.parts: dict[str, list[int]] = {}
@@ -86,9 +87,11 @@ class ChunkIds(dict):
         return out
 
 
-def _plain(text: str) -> bool:
+def _plain(text: str, added: list[str]) -> bool:
     """Texts whose chunks can be coded one by one: there NFC and lower case act on single characters,
-    and str.split() parts at the white space of the tokenizer's own patterns."""
+    str.split() parts at the white space of the tokenizer's own patterns, and no added token has an id of its own."""
+    if any(token in text for token in added):
+        return False
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
@@ -102,7 +105,7 @@ def encode_texts(texts: list[str], cache: ChunkIds) -> list[np.ndarray]:
     chunks: list[str] = []
     plain, counts, odd = [], [], []
     for i, text in enumerate(texts):
-        if _plain(text):
+        if _plain(text, cache.added):
             found = text.lower().split()
             chunks += found
             plain.append(i)
@@ -130,9 +133,7 @@ def load_tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 def _pieces(path: str | None, capacity: int, end_id: int):

@@ -150,6 +150,20 @@ def test_pieces_hold_the_tokenizers_ids(docs, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_ids_of_texts_that_hold_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["hello <|endoftext|> world", "a<|startoftext|>b<|endoftext|>", "<|endoftext|>", "a <|ENDOFTEXT|> b <|end of text|>", "日本<|endoftext|>é", "plain text"]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [3306, 49407, 1002]
+    got = packing.encode_texts(texts, packing.ChunkIds(packing.load_tokenizer(path)))
+    assert [g.tolist() for g in got] == want
+    rows = packing.tokenize_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in rows} == {i: (len(w) + 1, zlib.crc32(np.array([*w, 1], "<u4").tobytes())) for i, w in enumerate(want)}
+
+
 def test_plan_uses_every_piece_once_and_packs_tightly():
     rng = np.random.default_rng(0)
     lengths = np.minimum(100, rng.geometric(0.03, 3000))
