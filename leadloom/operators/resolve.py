@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import strings
-from ..plans.tables import materialize
+from ..session import materialize
 
 DOCUMENT_KINDS = ("requirement", "registration")
 FIELDS = ("id", "kind", "segment", "name", "city", "state", "address", "phone", "email", "website", "why_now", "why_now_date", "source", "first_seen", "last_seen", "status", "notes")

@@ -1,31 +1,17 @@
-"""Reading of the shared tables, tables in the shared folder, and the register that the queries build from them."""
+"""Reading of the shared tables, and the register that the queries build from them."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
 
-#: Used only when the session does not name spark.checkpoint.dir (tests on one machine).
-FALLBACK_DIR = "/tmp/checkpoints"
-
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` once in the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
-    path = f"{folder}/leadloom-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: What the market segments of customers stand for in the register.
 SEGMENTS = {"BUILDING": "wholesale", "AUTOMOBILE": "distributor", "MACHINERY": "food_manufacturer", "HOUSEHOLD": "retailer", "FURNITURE": "hotel"}
 TODAY = "1998-08-02"

@@ -1,4 +1,4 @@
-"""Session settings, and shipping of this package to the executors."""
+"""Session settings, shipping of this package to the executors, and tables in the shared folder."""
 
 from __future__ import annotations
 
@@ -6,12 +6,14 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_folders: dict[str, str] = {}
 
 
 def builder(cores: str = "8", partitions: int = 8) -> SparkSession.Builder:
@@ -42,3 +44,32 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(path)
         _shipped.add(sc.applicationId)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    Where it is unset, a session on one machine gets a folder of its own; a cluster must name one.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        named = _folders.get(app) or _folders.setdefault(app, tempfile.mkdtemp(prefix="leadloom-"))
+    return named.rstrip("/")
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write `df` as a table in the shared folder and read it back.
+
+    Cuts the lineage like checkpoint(), runs the plan once, and survives lost executors. The table goes when the
+    application ends.
+    """
+    spark = ship(df.sparkSession)
+    path = f"{shared_dir(spark)}/leadloom-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)

@@ -7,14 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.tables import FALLBACK_DIR
+from ..session import shared_dir
 from . import ingest
 
 
 def idempotent_counts(spark: SparkSession, path: str) -> DataFrame:
     """Counts by event type after each (user, type) was let through once, by a stream over the file."""
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
-    out, state = (f"{folder}/leadloom-replay-{uuid.uuid4().hex}/{part}" for part in ("out", "state"))
+    out, state = (f"{shared_dir(spark)}/leadloom-replay-{uuid.uuid4().hex}/{part}" for part in ("out", "state"))
     schema = spark.read.parquet(path).schema
     parent, _, name = path.rpartition("/")
     stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(parent) if not path.endswith("/") else spark.readStream.schema(schema).parquet(path)
