@@ -2,37 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ship
+from ..session import materialize, ship
 
-#: Used only when the session does not name spark.checkpoint.dir (tests on one machine).
-FALLBACK_DIR = "/tmp/checkpoints"
+__all__ = ["materialize", "mix64", "partition_count", "read_table", "shingle_hashes", "word_hashes"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` as a table in the shared folder and read it back.
-
-    Cuts the lineage like checkpoint(), runs the plan once, and survives lost executors.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/leadloom-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partition_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

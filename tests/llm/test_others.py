@@ -45,7 +45,7 @@ def test_permutation_recall_and_order(spark):
     usable = permutation_index.usable_vectors(table, "vec_id", "embedding")
     assert usable.count() == len(rows)
     got = {}
-    for r in permutation_index.nearest(usable.where("id % 20 = 0"), usable, 20, block_rows=512, block_queries=16).collect():
+    for r in permutation_index.nearest(usable.where("id % 20 = 0"), usable, 20, pivots=64, shelves=2, shelf_rows=400, block_queries=16).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     ids, v = np.array([i for i, _ in rows]), np.array([x for _, x in rows])
     hits = 0
@@ -63,6 +63,28 @@ def test_permutation_recall_and_order(spark):
     assert permutation_index.nearest(usable.where("id = 0"), usable.where("id IN (0, 1, 2)")).count() == 2
 
 
+def test_permutation_few_vectors_and_stray_lengths(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(21)] + [(100, [9.0] * 40), (101, [1.0, 2.0])]
+    rows += rows[:3]  # repeated rows
+    usable = permutation_index.usable_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    got = {}
+    for r in permutation_index.nearest(usable, usable, 20, read_share=0.2).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    v = {i: np.array(x) for i, x in rows if len(x) == 16}
+    assert set(got) == set(v)
+    for q in v:
+        want = sorted((-(v[i] * v[q]).sum(), i) for i in v if i != q)
+        assert [(r, i) for r, i, _ in sorted(got[q])] == [(k + 1, i) for k, (_, i) in enumerate(want)]
+        assert all(abs(x + w) < 1e-12 for (_, _, x), (w, _) in zip(sorted(got[q]), want, strict=True))
+
+
+def test_footrule():
+    rng = np.random.default_rng(5)
+    one, two = (np.array([rng.permutation(30) for _ in range(n)], np.int16) for n in (4, 7))
+    assert (permutation_index.footrule(one.T, two.T) == np.abs(one[:, None].astype(int) - two[None]).sum(axis=2)).all()
+
+
 ENTRIES = [
     ("block", "bad.example", "add", D(2024, 1, 10)),
     ("block", "bad.example", "add", D(2024, 1, 12)),
