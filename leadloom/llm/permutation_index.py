@@ -57,13 +57,20 @@ def levelled(vectors: np.ndarray, longest: float) -> np.ndarray:
     return np.concatenate([vectors, rest[:, None]], axis=1)
 
 
-def choose_pivots(vectors: DataFrame, n: int, longest: float) -> np.ndarray:
+def choose_pivots(vectors: DataFrame, n: int, longest: float, rows: int) -> np.ndarray:
     """`n` distinct vectors at most, levelled and of unit length, far from one another.
 
     From a sample of SAMPLE * n, the smallest by hash of the vector, each pivot is the vector that is farthest from
-    those before it: so a group of near copies does not take many.
+    those before it: so a group of near copies does not take many. Of `rows` vectors most are left out by their hash
+    before any is sorted, so that few reach the driver however many tasks there are.
     """
-    some = vectors.select("v", F.xxhash64("v", F.lit(17)).alias("h")).groupBy("h").agg(F.first("v").alias("v")).orderBy("h").limit(SAMPLE * n).collect()
+    want = SAMPLE * n
+    hashed = vectors.select("v", F.xxhash64("v", F.lit(17)).alias("h"))
+    smallest = lambda df: df.groupBy("h").agg(F.first("v").alias("v")).orderBy("h").limit(want).collect()
+    bound = -(2**63) + 2**64 * 4 * want // max(rows, 4 * want)
+    some = smallest(hashed.where(F.col("h") < F.lit(bound))) if rows > 4 * want else []
+    if len(some) < want:
+        some = smallest(hashed)
     out = levelled(np.array([r["v"] for r in some]), longest)
     out /= np.linalg.norm(out, axis=1, keepdims=True)
     chosen, nearest_one = [0], out @ out[0]
@@ -229,7 +236,7 @@ def nearest(
     of_length = F.size("v") == length[0]
     distinct = smallest_copies(vectors.where(of_length), k + 1)
     longest = vectors.where(of_length).agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
-    chosen = choose_pivots(vectors.where(of_length), pivots, longest)
+    chosen = choose_pivots(vectors.where(of_length), pivots, longest, length[1])
     model, read = spark.sparkContext.broadcast(chosen), max(1, round(read_share * len(chosen)))
     index = materialize(distinct.mapInArrow(_placed(model, longest), _PLACED), "index")
     asked = materialize(queries.where(of_length).distinct().mapInArrow(_placed(model, None), _PLACED), "asked")
