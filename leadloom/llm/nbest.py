@@ -9,11 +9,11 @@ for the words whose second segmentation costs least, for only these can differ f
 
 from __future__ import annotations
 
-import heapq
 import re
 import zlib
+from array import array
+from bisect import insort
 from collections.abc import Iterator
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +26,8 @@ BEST = 4
 #: A character without a piece costs so much more than the worst piece; it is written as its bytes.
 UNKNOWN_PENALTY = 10.0
 BLANK = "▁"
-#: Words whose segmentations a worker remembers before it starts anew; longer words are never remembered.
-CACHE_WORDS, CACHE_LENGTH = 250_000, 40
+#: Words and ids that a worker remembers before it starts anew; longer words are searched one by one.
+CACHE_WORDS, CACHE_IDS, CACHE_LENGTH = 250_000, 4_000_000, 40
 #: Words that go through the Viterbi passes together.
 PASS_WORDS = 4096
 STEP_CHARS = 1_000_000
@@ -144,41 +144,53 @@ class Pieces:
         order = np.lexsort((place, row))
         return whole, ahead[:, -1], cost, piece[order].astype(np.int32), np.bincount(row, minlength=n)
 
-    def edges(self, word: str) -> list[list[tuple[int, float, int | None]]]:
-        """For each end: (start, score, id or None for a character without a piece) of the pieces that end there."""
+    def prefixes(self, word: str) -> array:
+        """The best score of every prefix of a word: the forward Viterbi pass."""
         n, get, longest = len(word), self.id_of.get, self.longest
-        out: list[list[tuple[int, float, int | None]]] = [[] for _ in range(n + 1)]
+        best = array("d", [-np.inf]) * (n + 1)
+        best[0] = 0.0
         for start in range(n):
+            at = best[start]
             for end in range(start + 1, min(n, start + longest) + 1):
                 found = get(word[start:end])
-                if found:
-                    out[end].append((start, found[1], found[0]))
-                elif end == start + 1:
-                    out[end].append((start, self.unknown, None))
-        return out
+                score = found[1] if found else self.unknown if end == start + 1 else None
+                if score is not None and at + score > best[end]:
+                    best[end] = at + score
+        return best
 
     def segmentations(self, word: str, n_best: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The `n_best` segmentations with the highest sums of scores: (score, ids), best first."""
-        edges = self.edges(word)
-        best = [0.0] * (len(word) + 1)
-        for end in range(1, len(word) + 1):
-            best[end] = max([best[start] + score for start, score, _ in edges[end]])
+        """The `n_best` segmentations with the highest sums of scores: (score, ids), best first.
+
+        A-star from the end. As the heuristic is exact, every open entry holds a segmentation of exactly its value, and
+        no two entries hold the same one: so entries beyond the best that are still wanted can go, and the agenda
+        never holds more than `n_best`, however long the word.
+        """
+        get, longest = self.id_of.get, self.longest
+        best = self.prefixes(word)
         out: list[tuple[float, tuple[int, ...]]] = []
-        agenda: list = [(-best[-1], 0, len(word), 0.0, None)]
+        agenda: list[tuple] = [(-best[-1], 0, len(word), 0.0, None)]  # in order
         order = 0
         while agenda and len(out) < n_best:
-            _, _, at, behind, path = heapq.heappop(agenda)
+            _, _, at, behind, path = agenda.pop(0)
             if not at:
                 ids: list[int] = []
                 while path:
-                    start, end, i, path = path
-                    ids += [i] if i is not None else [self.byte_ids[b] for b in word[start:end].encode()]
+                    piece, path = path
+                    ids += piece if isinstance(piece, list) else [piece]
                 out.append((behind, tuple(ids)))
                 continue
-            for start, score, i in edges[at]:
+            for start in range(max(0, at - longest), at):
+                found = get(word[start:at])
+                if found:
+                    piece, score = found
+                elif start == at - 1:
+                    piece, score = [self.byte_ids[b] for b in word[start:at].encode()], self.unknown
+                else:
+                    continue
                 order += 1
                 total = behind + score
-                heapq.heappush(agenda, (-(best[start] + total), order, start, total, (start, at, i, path)))
+                insort(agenda, (-(best[start] + total), order, start, total, (piece, path)))
+            del agenda[n_best - len(out) :]
         return out
 
 
@@ -269,9 +281,11 @@ def text_segmentations(words: list[str], rows: np.ndarray, known: Words, n_best:
         open_to = np.concatenate([below, equal[: many - len(below)]])
     open_to = np.sort(open_to[np.isfinite(step[open_to])])
     choices = [known.best_of(words[p]) for p in open_to]
-    combos = sorted((sum(c[0][0] - c[k][0] for c, k in zip(choices, picks, strict=True)), picks) for picks in product(*(range(len(c)) for c in choices)))
+    combos: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
+    for c in choices:  # no more than n_best of the shorter ones can lead to the n_best of the longer ones
+        combos = sorted((cost + c[0][0] - c[k][0], (*picks, k)) for cost, picks in combos for k in range(len(c)))[:n_best]
     out = []
-    for cost, picks in combos[:n_best]:
+    for cost, picks in combos:
         if any(picks):
             parts, at = [], 0
             for p, k, c in zip(open_to, picks, choices, strict=True):
@@ -316,7 +330,7 @@ def _segment(path: str | None, n_best: int):
                     crcs = [zlib.crc32(ids.astype("<u4").tobytes()) for _, ids in found]
                     same = decode(found[0][1].tolist(), pieces) == text
                     rows_out.append((len(found), len(found[0][1]), found[0][0], [s for s, _ in found], crcs, same))
-                if len(known) > CACHE_WORDS or len(known.searched) > CACHE_WORDS // 4:
+                if len(known) > CACHE_WORDS or len(known.searched) > CACHE_WORDS // 4 or len(known.ids) > CACHE_IDS:
                     known.reset()
                 n, pieces_n, best, scores, crcs, same = zip(*rows_out, strict=True)
                 yield pa.RecordBatch.from_arrays(
