@@ -19,6 +19,8 @@ from .common import materialize, partition_count, read_table
 
 CAPACITY = 4096
 END_ID = 1
+#: The tokenizer where no path is given, and the only one whose texts are coded by remembered chunks.
+DEFAULT_TOKENIZER = "word_bpe_49k.json"
 #: Chunks of text whose ids a worker remembers before it starts anew.
 CACHE_CHUNKS = 400_000
 #: Bytes of text handled at a time within a worker.
@@ -40,11 +42,14 @@ def _byte_letters() -> dict[int, str]:
 
 
 class ChunkIds(dict):
-    """Index of each white-space-free chunk of lower-cased text; its ids are ids[starts[i]:starts[i]+lens[i]]."""
+    """Index of each white-space-free chunk of lower-cased text; its ids are ids[starts[i]:starts[i]+lens[i]].
 
-    def __init__(self, tokenizer):
+    Chunks are cut as DEFAULT_TOKENIZER cuts them; with `by_chunks` false every text goes through the tokenizer whole.
+    """
+
+    def __init__(self, tokenizer, by_chunks: bool = True):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.by_chunks = tokenizer, by_chunks
         self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         letters = _byte_letters()
         self.as_bytes = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(256)}
@@ -105,7 +110,7 @@ def encode_texts(texts: list[str], cache: ChunkIds) -> list[np.ndarray]:
     chunks: list[str] = []
     plain, counts, odd = [], [], []
     for i, text in enumerate(texts):
-        if _plain(text, cache.added):
+        if cache.by_chunks and _plain(text, cache.added):
             found = text.lower().split()
             chunks += found
             plain.append(i)
@@ -140,7 +145,7 @@ def _pieces(path: str | None, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        cache = ChunkIds(load_tokenizer(path or public_tokenizers.path("word_bpe_49k.json")))
+        cache = ChunkIds(load_tokenizer(path or public_tokenizers.path(DEFAULT_TOKENIZER)), by_chunks=path is None)
         end = np.array([end_id], dtype="<u4")
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
@@ -243,23 +248,24 @@ def _placer(plan, capacity: int):
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces that have a `length` of 1 to `capacity`.
 
-    Only the histogram of lengths (at most `capacity` rows) reaches the driver. The rank within a length
-    comes from counts by (length, salt), so a length that a third of the pieces share is dealt over all tasks.
+    Only the histogram of lengths (at most `capacity` rows) reaches the driver. The rank within a length comes from
+    counts by (length, salt), the salt from the row's own number, which is written with it: so a length that a third
+    of the pieces share is dealt over all tasks, identical rows too.
     """
-    spark = pieces.sparkSession
+    spark, names = pieces.sparkSession, pieces.columns
+    pieces = materialize(pieces.withColumn("__row", F.monotonically_increasing_id()), "pieces")
     counts = {int(r[0]): int(r[1]) for r in pieces.groupBy("length").count().collect()}
     table = spark.sparkContext.broadcast(_placer(plan_bins(counts, capacity), capacity))
     salts = max(256, 4 * partition_count(spark))
-    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "start"), F.lit(salts)).cast("int"))
+    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64("__row"), F.lit(salts)).cast("int"))
     before = (
         salted.groupBy("length", "__salt").count()
         .withColumn("__before", F.sum("count").over(Window.partitionBy("length").orderBy("__salt")) - F.col("count"))
         .select("length", "__salt", "__before")
     )
-    own = Window.partitionBy("length", "__salt").orderBy("doc_id", "piece")
+    own = Window.partitionBy("length", "__salt").orderBy("__row")
     ranked = salted.withColumn("__n", F.row_number().over(own) - 1).join(before, ["length", "__salt"])
-    ranked = ranked.select(*pieces.columns, (F.col("__before") + F.col("__n")).alias("__rank"))
-    names = pieces.columns
+    ranked = ranked.select(*names, (F.col("__before") + F.col("__n")).alias("__rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = table.value
@@ -273,7 +279,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             offset = row[:, 4] + nth % row[:, 2] * length
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
+    schema = ", ".join(f"{c} {pieces.schema[c].dataType.simpleString()}" for c in names) + ", sequence_id long, offset long"
     return ranked.mapInArrow(place, schema)
 
 
@@ -283,7 +289,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity:
     One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null and repeated
     doc_ids keep their rows; further columns of `docs` are ignored; no documents give no rows.
     """
-    return pack(materialize(tokenize_pieces(docs, tokenizer_path, capacity, end_id), "pieces"), capacity)
+    return pack(tokenize_pieces(docs, tokenizer_path, capacity, end_id), capacity)
 
 
 def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
