@@ -40,6 +40,8 @@ COUNTER_TOKENS = 200_000
 #: Bytes of text handled at a time within a worker.
 STEP_BYTES = 2_000_000
 ALPHA = 0.1
+#: Hashes of repeated rows up to this number (8 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_HASHES = 1_000_000
 
 
 def held_out() -> Column:
@@ -105,13 +107,13 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def _count_keys(table: pa.Table) -> pa.Table:
-    """The keys of one block's texts with their counts in training texts, 0 included."""
+    """The keys of one block's texts with their counts in training texts, 0 included; a text counts `learn` times."""
     keys, counts = [], []
-    for learn in (True, False):
+    for learn in pa.compute.unique(table["learn"]).to_pylist():
         for _, group in _texts(table.filter(pa.compute.equal(table["learn"], learn))["text"].combine_chunks()):
             found, n = np.unique(_keys(group)[0], return_counts=True)
             keys.append(found)
-            counts.append(n if learn else np.zeros(len(found), np.int64))
+            counts.append(n * learn)
     found, n = _summed(keys, counts)
     return pa.table({"block": pa.array(np.full(len(found), table["block"][0].as_py(), np.int32)), "key": found, "n": n})
 
@@ -289,7 +291,7 @@ def _score(heavy):
         lookup, log_p = Lookup(entries["key"].to_numpy()), entries["log_p"].to_numpy().astype(np.float64)
         uid = docs["block"][0].as_py() << 40 if len(docs) else 0
         parts = []
-        doc_ids = docs["doc_id"].combine_chunks()
+        doc_ids, times = docs["doc_id"].combine_chunks(), docs["times"].combine_chunks()
         for first, group in _texts(docs["text"].combine_chunks()):
             keys, lens = _keys(group)
             scores = np.add.reduceat(log_p[lookup.find(keys)], np.cumsum(lens) - lens)
@@ -304,7 +306,7 @@ def _score(heavy):
                 others = Counter(words[i] for i in np.flatnonzero(~found).tolist())
                 rare.append(list(others))
                 rare_n.append(list(others.values()))
-            columns = [pa.array(np.arange(uid, uid + len(group))), doc_ids.slice(first, len(group)), pa.array(lens - 1), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores), pa.array(rare, pa.list_(pa.binary())), pa.array(rare_n, pa.list_(pa.int64()))]
+            columns = [pa.array(np.arange(uid, uid + len(group))), doc_ids.slice(first, len(group)), pa.array(lens - 1), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores), pa.array(rare, pa.list_(pa.binary())), pa.array(rare_n, pa.list_(pa.int64())), times.slice(first, len(group))]
             uid += len(group)
             parts.append(pa.RecordBatch.from_arrays(columns, SCORED.names))
         return pa.Table.from_batches(parts, SCORED)
@@ -312,7 +314,25 @@ def _score(heavy):
     return run
 
 
-SCORED = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.binary())), ("rare_n", pa.list_(pa.int64()))])
+SCORED = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.binary())), ("rare_n", pa.list_(pa.int64())), ("times", pa.int64())])
+
+
+def _once(given: DataFrame) -> DataFrame:
+    """(doc_id, text, learn, times): rows that repeat an id with its text are one row, learnt as often as they are to be.
+
+    A block is dealt by hash of the row, so equal rows would all meet in one task. Only rows whose hash repeats
+    are grouped, combined before their shuffle; where none does, nothing moves but the hashes.
+    """
+    hashed = given.withColumn("h", F.xxhash64("doc_id", "text"))
+    repeated = materialize(hashed.groupBy("h").count().where("count > 1").select("h"), "repeated")
+    n = repeated.count()
+    columns = lambda learn, times: ["doc_id", "text", learn.cast("long").alias("learn"), times.cast("long").alias("times")]
+    if not n:
+        return given.select(*columns(F.col("learn"), F.lit(1)))
+    marked = F.broadcast(repeated) if n <= BROADCAST_HASHES else repeated
+    single = hashed.join(marked, "h", "left_anti").select(*columns(F.col("learn"), F.lit(1)))
+    several = hashed.join(marked, "h", "left_semi").groupBy("doc_id", "text").agg(F.sum(F.col("learn").cast("long")).alias("learn"), F.count("*").alias("times"))
+    return single.unionByName(materialize(several.select(*columns(F.col("learn"), F.col("times"))), "once"))
 
 
 def score_texts(docs: DataFrame, training: Column) -> DataFrame:
@@ -327,7 +347,7 @@ def score_texts(docs: DataFrame, training: Column) -> DataFrame:
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("learn"))
     size = given.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) + F.count("*")).first()[0]
     blocks = max(1, -(-int(size) // BLOCK_BYTES))
-    tagged = given.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    tagged = _once(given).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
     vocabulary = materialize(given.where("learn").select("text").mapInArrow(_count_words, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")), "vocabulary")
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     short = vocabulary.where(F.octet_length("token") <= HEAVY_BYTES).withColumn("band", F.floor(F.log2("n") * 16))
@@ -350,8 +370,8 @@ def score_texts(docs: DataFrame, training: Column) -> DataFrame:
     model = ordered.mapInArrow(_log_of_keys(top), "key long, log_p float")
     entries = asked.select("block", "key").join(model, "key").select("block", "key", "log_p")
 
-    schema = "uid long, doc_id long, n_bytes long, n_tokens long, known long, base double, score double, rare array<binary>, rare_n array<long>"
-    scored = tagged.select("block", "doc_id", "text").groupBy("block").cogroup(entries.groupBy("block")).applyInArrow(_score(heavy), schema)
+    schema = "uid long, doc_id long, n_bytes long, n_tokens long, known long, base double, score double, rare array<binary>, rare_n array<long>, times long"
+    scored = tagged.select("block", "doc_id", "text", "times").groupBy("block").cogroup(entries.groupBy("block")).applyInArrow(_score(heavy), schema)
     scored = materialize(scored, "scored")
     each = scored.where(F.size("rare") > 0).select("uid", F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select("uid", F.col("r.rare").alias("token"), F.col("r.rare_n").alias("times"))
     met = each.join(vocabulary.where("token is not null"), "token", "left")
@@ -360,6 +380,8 @@ def score_texts(docs: DataFrame, training: Column) -> DataFrame:
     ends = vocabulary.where("token is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     per_token = math.log10(total + ALPHA * (distinct + 1))
     out = scored.join(rest, "uid", "left")
+    # A row for each repetition, a thousand at a time.
+    out = out.withColumn("part", F.explode(F.expr("sequence(0L, (times - 1) div 1000)"))).withColumn("nth", F.explode(F.expr("sequence(1L, least(1000L, times - 1000 * part))")))
     return out.select(
         "doc_id",
         "n_tokens",
