@@ -1,8 +1,9 @@
 """Secret scan with corpus-wide ownership frequency. DataFrame and SQL functions only.
 
 Candidates are regex matches. Each candidate's value is hashed, and the hash is counted over the distinct
-repositories and distinct owners of the whole corpus: a value that many owners hold is a widely copied
-example, a value that one owner holds looks live.
+repositories and distinct owners of the whole corpus: a value that many owners hold, or that two owners hold in many
+repositories, is a widely copied example; a value that one owner holds looks live, in however many of its
+repositories.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ HEX = r"([0-9a-f]{24,})"
 GENERIC = r"([A-Za-z0-9+/_=-]{20,})"
 KINDS = (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("generic", GENERIC))
 
-#: From so many owners on, a value is a widely copied example.
-COPIED_OWNERS = 3
+#: A value is a widely copied example from so many owners on, or from two owners and so many repositories on.
+COPIED_OWNERS, COPIED_REPOSITORIES = 3, 20
+#: Matches whose places are summed together.
+STRETCH = 256
 MASK = "<secret>"
 
 _SPAN = "struct<start:bigint,rank:int,end:bigint,value:string>"
@@ -34,16 +37,23 @@ def _quoted(pattern: str) -> str:
 def _found_sql(rank: int, pattern: str) -> str:
     """SQL: all matches in __t, leftmost and non-overlapping, as spans in code points.
 
-    The pieces between the matches and the matches themselves alternate, so their lengths give the places.
+    The pieces between the matches and the matches themselves alternate, so their lengths give the places. Places are
+    summed within stretches of matches, then over the stretches: no list grows by one for every match of a text.
     """
     p = _quoted(pattern)
-    return f"""CASE WHEN rlike(__t, {p}) THEN aggregate(
-        zip_with(regexp_extract_all(__t, {p}, 0), split(__t, {p}, -1), (h, g) -> named_struct('hit', h, 'gap', g)),
-        named_struct('at', 0L, 'out', cast(array() AS array<{_SPAN}>)),
-        (a, x) -> IF(x.hit IS NULL, a, named_struct(
-            'at', a.at + char_length(x.gap) + char_length(x.hit),
-            'out', concat(a.out, array(named_struct('start', a.at + char_length(x.gap), 'rank', {rank}, 'end', a.at + char_length(x.gap) + char_length(x.hit), 'value', regexp_extract(x.hit, {p}, 1)))))),
-        a -> a.out) ELSE cast(array() AS array<{_SPAN}>) END"""
+    none = f"cast(array() AS array<{_SPAN}>)"
+    return f"""CASE WHEN rlike(__t, {p}) THEN flatten(transform(aggregate(
+        transform(transform(array(zip_with(regexp_extract_all(__t, {p}, 0), split(__t, {p}, -1), (h, g) -> named_struct('hit', h, 'gap', g))),
+            z -> transform(sequence(0, (size(z) - 1) div {STRETCH}), k -> slice(z, cast(k * {STRETCH} + 1 AS int), {STRETCH})))[0],
+        part -> aggregate(part, named_struct('at', 0L, 'out', {none}),
+            (a, x) -> IF(x.hit IS NULL, a, named_struct(
+                'at', a.at + char_length(x.gap) + char_length(x.hit),
+                'out', concat(a.out, array(named_struct('start', a.at + char_length(x.gap), 'rank', {rank}, 'end', a.at + char_length(x.gap) + char_length(x.hit), 'value', regexp_extract(x.hit, {p}, 1)))))))),
+        named_struct('at', 0L, 'all', cast(array() AS array<struct<at:bigint,spans:array<{_SPAN}>>>)),
+        (a, x) -> named_struct('at', a.at + x.at, 'all', concat(a.all, array(named_struct('at', a.at, 'spans', x.out)))),
+        a -> a.all),
+        x -> transform(x.spans, s -> named_struct('start', s.start + x.at, 'rank', s.rank, 'end', s.end + x.at, 'value', s.value))))
+        ELSE {none} END"""
 
 
 def _with_candidates(docs: DataFrame) -> DataFrame:
@@ -77,13 +87,18 @@ def _joined_sql(spans: str) -> str:
     return f"array_join(transform({spans}, s -> concat_ws(':', element_at(array({kinds}), s.rank + 1), s.start, s.end)), ',')"
 
 
-def scan_secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "source", copied_owners: int = COPIED_OWNERS) -> DataFrame:
-    """Spans of whole texts: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied.
+def _copied_sql(copied_owners: int, copied_repositories: int) -> str:
+    return f"(s.owners >= {copied_owners} OR (s.owners >= 2 AND s.repositories >= {copied_repositories}))"
+
+
+def scan_secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "source", copied_owners: int = COPIED_OWNERS, copied_repositories: int = COPIED_REPOSITORIES) -> DataFrame:
+    """Spans of whole texts: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, max_owners, max_repositories.
 
     One row per input row. Null texts count as empty; texts without matches have spans '' and the hash of ''.
     Null repositories and owners count as one unnamed one. Repeated rows of one repository and owner count
     once in the ownership; ties between kinds at one start go by the order of KINDS. n_live counts spans whose
-    value one owner holds, n_copied those held by `copied_owners` or more. Further columns are ignored.
+    value one owner holds, n_copied those of widely copied values; max_owners and max_repositories belong to the most
+    widespread of the text's values, 0 without spans. Further columns are ignored.
     """
     given = _prepared(docs, repository, owner)
     rows = _with_candidates(given).select("doc_id", "__repo", "__owner", "__c")
@@ -99,23 +114,23 @@ def scan_secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "sour
         F.sha2(F.expr(_joined_sql("filter(__c, s -> s.rank < 3)")), 256).alias("base_sha256"),
         F.expr(_joined_sql("__c")).alias("spans"),
         count("s.owners = 1", "__j").alias("n_live"),
-        count(f"s.owners >= {copied_owners}", "__j").alias("n_copied"),
+        count(_copied_sql(copied_owners, copied_repositories), "__j").alias("n_copied"),
+        *(F.expr(f"coalesce(array_max(transform(__j, s -> s.{c})), 0L)").alias(f"max_{c}") for c in ("owners", "repositories")),
     )
 
 
-def redact_secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "source", copied_owners: int = COPIED_OWNERS, mask: str = MASK) -> DataFrame:
-    """The rows and columns of `docs`, with every span whose value fewer than `copied_owners` owners hold masked.
+def redact_secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "source", copied_owners: int = COPIED_OWNERS, copied_repositories: int = COPIED_REPOSITORIES, mask: str = MASK) -> DataFrame:
+    """The rows and columns of `docs`, with every span masked whose value is no widely copied example.
 
-    Texts without candidates, null and empty ones included, pass unchanged and take part in no shuffle.
+    Texts are searched once. Those without candidates, null and empty ones included, pass unchanged and take part in no shuffle.
     Overlapping spans are masked once. Widely copied examples stay. n_chars, where present, is counted anew.
     """
     columns = docs.columns
-    given = _with_candidates(_prepared(docs, repository, owner))
-    plain = given.where("size(__c) = 0").select(*columns)
-    hit = materialize(given.where("size(__c) > 0").withColumn("uid", F.monotonically_increasing_id()), "secrets")
+    given = materialize(_with_candidates(_prepared(docs, repository, owner)).withColumn("uid", F.monotonically_increasing_id()), "searched")
+    plain, hit = given.where("size(__c) = 0").select(*columns), given.where("size(__c) > 0")
     judged = _judged(hit.select("uid", "__repo", "__owner", "__c"))
     # Kept stretches lie between the masked spans; a span that starts before the last end only moves that end.
-    masked = F.expr(f"""aggregate(filter(__j, s -> s.owners < {copied_owners}), named_struct('at', 0L, 'out', ''),
+    masked = F.expr(f"""aggregate(filter(__j, s -> NOT {_copied_sql(copied_owners, copied_repositories)}), named_struct('at', 0L, 'out', ''),
         (a, s) -> CASE WHEN s.end <= a.at THEN a WHEN s.start < a.at THEN named_struct('at', s.end, 'out', a.out)
             ELSE named_struct('at', s.end, 'out', concat(a.out, substring(text, cast(a.at + 1 AS int), cast(s.start - a.at AS int)), {_quoted(mask)})) END,
         a -> concat(a.out, substring(text, cast(a.at + 1 AS int))))""")
@@ -146,10 +161,12 @@ b AS (SELECT *, list_concat(list_concat({_oracle_found(0, ASSIGN, "len(s.value)
 g AS (SELECT *, {_oracle_found(3, GENERIC, "regexp_matches(s.value, '[A-Z]') AND regexp_matches(s.value, '[a-z]') AND regexp_matches(s.value, '[0-9]')")} AS own FROM b),
 c AS (SELECT doc_id, owner, uid, list_sort(list_concat(base, list_filter(own, lambda s: len(list_filter(base, lambda b: b.start < s."end" AND s.start < b."end")) = 0))) AS c FROM g),
 e AS (SELECT doc_id, owner, uid, unnest(c).value AS v FROM c),
-n AS (SELECT v, count(DISTINCT owner) AS owners FROM e GROUP BY v),
-j AS (SELECT uid, CAST(count(*) FILTER (owners = 1) AS BIGINT) AS live, CAST(count(*) FILTER (owners >= {COPIED_OWNERS}) AS BIGINT) AS copied FROM e JOIN n USING (v) GROUP BY uid)
+n AS (SELECT v, count(DISTINCT owner) AS owners, count(DISTINCT (owner, coalesce(CAST(doc_id AS VARCHAR), ''))) AS repositories FROM e GROUP BY v),
+j AS (SELECT uid, CAST(count(*) FILTER (owners = 1) AS BIGINT) AS live, max(owners) AS most_owners, max(repositories) AS most_repositories,
+  CAST(count(*) FILTER (owners >= {COPIED_OWNERS} OR (owners >= 2 AND repositories >= {COPIED_REPOSITORIES})) AS BIGINT) AS copied FROM e JOIN n USING (v) GROUP BY uid)
 SELECT doc_id, CAST(len(list_filter(c, lambda s: s.rank = 0)) AS BIGINT) AS n_assign, CAST(len(list_filter(c, lambda s: s.rank = 1)) AS BIGINT) AS n_access,
   CAST(len(list_filter(c, lambda s: s.rank = 2)) AS BIGINT) AS n_hex, sha256({_oracle_joined("list_filter(c, lambda s: s.rank < 3)")}) AS base_sha256,
-  {_oracle_joined("c")} AS spans, coalesce(live, 0) AS n_live, coalesce(copied, 0) AS n_copied
+  {_oracle_joined("c")} AS spans, coalesce(live, 0) AS n_live, coalesce(copied, 0) AS n_copied,
+  coalesce(most_owners, 0) AS max_owners, coalesce(most_repositories, 0) AS max_repositories
 FROM c LEFT JOIN j USING (uid)
 """
