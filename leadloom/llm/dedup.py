@@ -207,7 +207,8 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int,
     few = wanted.count() <= BROADCAST_NODES
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     match = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_key") == F.col("w_key"))
-    texts = keyed.join(F.broadcast(wanted) if few else wanted, match).select("nid", "text")
+    # Rows that repeat an id with its text are one text here: combined before the shuffle, so no task gets them all.
+    texts = keyed.join(F.broadcast(wanted) if few else wanted, match).groupBy("nid").agg(F.first("text").alias("text"))
     texts = materialize(texts, "texts")
     left = pairs.join(texts.withColumnRenamed("nid", "a").withColumnRenamed("text", "t"), "a")
     both = left.join(texts.withColumnRenamed("nid", "b").withColumnRenamed("text", "u"), "b").select("a", "b", "t", "u")
