@@ -113,6 +113,12 @@ def test_near_duplicates_of_a_group_that_straddles_the_threshold(spark):
     assert got == want and len({k[2] for k in want}) > 1
 
 
+def test_repeated_rows_make_no_pairs(spark):
+    rows = [(1, BASE)] * 300 + [(2, near(1))] * 300 + [(None, near(2))] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(tuple(r) for r in dedup.near_duplicates(docs, 4).collect()) == Counter({(1, 117, 1, True): 300, (2, 117, 1, False): 300, (None, 117, 1, False): 50})
+
+
 def test_bayes_thresholds_grow_with_the_batches():
     steps = dedup.least_matches(0.8, 1e-6)
     assert [n for n, _ in steps] == [32, 64, 96, 128] and all(a[1] < b[1] for a, b in zip(steps, steps[1:], strict=False))
@@ -164,6 +170,18 @@ def test_ids_of_texts_that_hold_added_tokens(spark):
     assert {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in rows} == {i: (len(w) + 1, zlib.crc32(np.array([*w, 1], "<u4").tobytes())) for i, w in enumerate(want)}
 
 
+def test_other_tokenizers_and_repeated_rows(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["Hello World, don't!", "naïve  é\n"] + ["same text"] * 40
+    rows = packing.pack_documents(spark.createDataFrame([(min(i, 2), t) for i, t in enumerate(texts)], "doc_id long, text string"), path, 32).collect()
+    tokenizer = Tokenizer.from_file(path)
+    want = {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts[:3])}
+    assert {r["doc_id"]: r["length"] for r in rows} == want and len(rows) == len(texts)
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows)
+
+
 def test_plan_uses_every_piece_once_and_packs_tightly():
     rng = np.random.default_rng(0)
     lengths = np.minimum(100, rng.geometric(0.03, 3000))
@@ -253,9 +271,21 @@ def test_secret_spans(spark):
     assert got == want
     live = {r["doc_id"]: (r["n_live"], r["n_copied"]) for r in secret_scan.scan_secrets(rows).collect()}
     assert live[6] == (0, 1) and live[8] == (1, 1) and live[1] == (1, 0)
+    widest = {r["doc_id"]: (r["max_owners"], r["max_repositories"]) for r in secret_scan.scan_secrets(rows).collect()}
+    assert widest[6] == (3, 3) and widest[4] == (0, 0)
+    two = spark.createDataFrame([(i, "token=zz99zz99", "ab"[i % 2]) for i in range(20)], "doc_id long, text string, source string")
+    assert {r["n_copied"] for r in secret_scan.scan_secrets(two).collect()} == {1}
+    assert {r["n_copied"] for r in secret_scan.scan_secrets(two.where("doc_id > 0")).collect()} == {0}
     assert secret_scan.scan_secrets(rows.where("false")).count() == 0
 
 
+def test_places_of_many_secrets(spark):
+    text = " é ".join(f"token={'x' * (6 + i % 5)}{i}" for i in range(1000))
+    got = secret_scan.scan_secrets(spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")).first()
+    want = ",".join(f"assign:{a}:{b}" for a, _, b in brute_base(text))
+    assert got["n_assign"] == 1000 and got["spans"] == want
+
+
 def test_redaction(spark):
     rows = spark.createDataFrame(SECRETS, "doc_id long, text string, source string")
     got = {r["doc_id"]: r["text"] for r in secret_scan.redact_secrets(rows).collect()}
@@ -280,6 +310,65 @@ def test_scores(docs, empty):
     assert {r["base_score"] for r in lm_score.score_texts(docs.limit(3), F.lit(False)).collect()} == {0.0}
 
 
+def brute_tree_score(train, texts, depth=lm_score.DEPTH):
+    """log10 probability of each text by the recursion, over all training texts at once."""
+    met = Counter()
+    for t in train:
+        h = bytes(depth) + t.encode() + b"\xff"
+        met.update((h[i - depth : i], h[i]) for i in range(depth, len(h)))
+    counts, below = defaultdict(lambda: [0, 0]), defaultdict(set)
+    for (context, symbol), n in met.items():
+        bits = format(symbol, "08b")
+        for d in range(depth + 1):
+            for k in range(8):
+                counts[context[depth - d :], bits[:k]][int(bits[k])] += n
+                if d < depth:
+                    below[context[depth - d :], bits[:k]].add(context[depth - d - 1 :])
+    own = lambda at: math.lgamma(at[0] + 0.5) + math.lgamma(at[1] + 0.5) - 2 * math.lgamma(0.5) - math.lgamma(sum(at) + 1)
+    known = {}
+
+    def weighted(context, bits):
+        if (context, bits) not in known:
+            kt = own(counts[context, bits])
+            known[context, bits] = kt if len(context) == depth else float(np.logaddexp(kt, children(context, bits))) - math.log(2)
+        return known[context, bits]
+
+    def children(context, bits):
+        return sum(weighted(c, bits) for c in sorted(below[context, bits]))
+
+    def one(context, bits, d=0):
+        a, b = counts.get((context[depth - d :], bits), (0, 0))
+        est = (b + 0.5) / (a + b + 1)
+        if d == depth or not sum(counts.get((context[depth - d - 1 :], bits), (0, 0))):
+            return est
+        w = 1 / (1 + math.exp(children(context[depth - d :], bits) - own([a, b])))
+        return w * est + (1 - w) * one(context, bits, d + 1)
+
+    out = []
+    for t in texts:
+        h, total = bytes(depth) + t.encode() + b"\xff", 0.0
+        for i in range(depth, len(h)):
+            bits = format(h[i], "08b")
+            for k in range(8):
+                q = one(h[i - depth : i], bits[:k])
+                total += math.log10(q if bits[k] == "1" else 1 - q)
+        out.append(total)
+    return out
+
+
+def test_scores_equal_the_recursion_over_all_texts(spark, monkeypatch):
+    texts = ["the cat sat on the mat", "the bat sat", "", "naïve é", "the cat sat on the mat", "a cat and a bat", "the cat sat on the mat", "unseen zebra"]
+    learn = [True, True, True, False, True, True, True, False]
+    ids = [1, 2, 3, 4, 5, 6, 5, 8]  # the fifth and the seventh are one row twice
+    rows = spark.createDataFrame(list(zip(ids, texts, learn, strict=True)), "doc_id long, text string, learn boolean").withColumn("times", F.lit("clash"))
+    want = brute_tree_score([t for t, yes in zip(texts, learn, strict=True) if yes], texts)
+    for limit in (1_000_000, 0):
+        monkeypatch.setattr(lm_score, "BROADCAST_HASHES", limit)
+        got = sorted((r["doc_id"], r["score"]) for r in lm_score.score_texts(rows, F.col("learn")).collect())
+        assert [i for i, _ in got] == sorted(ids)
+        assert [x for _, x in got] == pytest.approx([w for _, w in sorted(zip(ids, want, strict=True))], rel=1e-5)
+
+
 def test_rare_tokens_meet_their_counts(docs, monkeypatch):
     whole = {(r["doc_id"], r["n_known"], round(r["base_score"], 6)) for r in lm_score.score_texts(docs, F.lit(True)).collect()}
     monkeypatch.setattr(lm_score, "HEAVY_TOKENS", 3)
@@ -349,8 +438,8 @@ def test_stretches_split_no_context(monkeypatch):
     assert sum(map(len, contexts)) == len(set.union(*contexts))
 
 
-def brute_paths(pieces, text, n):
-    t, out = nbest.prepared(text), []
+def brute_paths(pieces, text, n, prepared=True):
+    t, out = nbest.prepared(text) if prepared else text, []
 
     def go(i, score):
         if i == len(t):
@@ -380,6 +469,17 @@ def test_nbest_segmentations(spark, docs, empty):
     assert nbest.segment(empty).count() == 0
 
 
+def test_long_unbroken_words():
+    pieces = nbest.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    for word in ("ab" * 6, "aaaaaaaaaaaa", "日a本b", "letters"):
+        assert [x for x, _ in pieces.segmentations(word, 6)] == pytest.approx(brute_paths(pieces, word, 6, prepared=False))
+    rng = np.random.default_rng(0)
+    word = "".join(rng.choice(list("etaoinshr日"), 1_000_000))
+    found = pieces.segmentations(word, 4)
+    assert len({ids for _, ids in found}) == 4 and all(a[0] >= b[0] for a, b in zip(found, found[1:], strict=False))
+    assert all(b"".join(pieces.bytes_of[i] for i in ids).decode() == word for _, ids in found)
+
+
 def test_word_passes_equal_the_search():
     pieces = nbest.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
     known = nbest.Words(pieces, 4)
