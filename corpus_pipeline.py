@@ -10,46 +10,43 @@ from leadloom.llm.dedup import near_duplicates
 from leadloom.llm.langid import held_out, identify
 from leadloom.llm.packing import pack_documents
 from leadloom.llm.secret_scan import redact_secrets
-from leadloom.session import ship
 
 #: A document goes when no language reaches this share of its words, or when it has no letter.
 LEAST_LANGUAGE_SCORE = 0.3
-#: Sets of doc_ids up to this size (8 bytes each) are broadcast; larger ones are joined by a shuffle.
-BROADCAST_IDS = 4_000_000
+#: Sets of row numbers up to this size (8 bytes each) are broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 4_000_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text has a language; texts that are null or have no letter are rejected."""
-    ship(spark)
     out = identify(docs, ~held_out())
     return out.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five words, similarity 0.8): that of the smallest doc_id.
+    """One document of each near-duplicate group (five words, similarity 0.8): the row of the smallest doc_id.
 
-    Of rows that repeat a doc_id one stays. Rows without doc_id stay, for nothing can name them.
+    Rows are told apart by a number written with them, not by doc_id: distinct texts that share a doc_id all stay,
+    and of repeated rows one. Null doc_ids come after all others.
     """
-    ship(spark)
-    verdict = materialize(near_duplicates(docs).select("doc_id", "kept").where("doc_id is not null"), "verdict")
-    counts = verdict.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or("kept").alias("kept"))
-    special = materialize(counts.where("n > 1 or not kept"), "special")
-    few = special.count() <= BROADCAST_IDS
-    marked = docs.join(F.broadcast(special) if few else special, "doc_id", "left")
-    once = marked.where("kept is null").select(*docs.columns)
-    repeated = marked.where("kept").select(*docs.columns).dropDuplicates(["doc_id"])
-    return once.unionByName(repeated)
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    verdict = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), F.col("component_id").alias("group"))
+    verdict = materialize(verdict, "verdict")
+    groups = verdict.groupBy("group").count().where("count > 1").select("group")
+    members = materialize(verdict.join(groups, "group").join(rows.select("__row", "doc_id"), "__row"), "members")
+    first = members.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("first")).select(F.col("first.__row").alias("__row"))
+    gone = materialize(members.select("__row").join(first, "__row", "left_anti"), "gone")
+    few = gone.count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(gone) if few else gone, "__row", "left_anti").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row; spans whose value few owners hold are masked."""
-    ship(spark)
     return redact_secrets(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every document and their places in sequences of 4096 tokens."""
-    ship(spark)
     return pack_documents(docs)
 
 
