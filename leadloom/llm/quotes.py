@@ -21,11 +21,10 @@ _LINES = rf"""transform(split(coalesce(text, ''), '\\r?\\n', -1), l -> named_str
     'level', char_length(regexp_replace(regexp_extract(l, '{_MARKS}', 1), '[^>]', '')),
     'content', regexp_replace(l, '{_MARKS}', '')))"""
 
-#: Runs of lines of one level, in order.
-_RUNS = """aggregate(lines, cast(array() AS array<struct<level:int,content:array<string>>>), (a, l) ->
-    IF(size(a) > 0 AND element_at(a, -1).level = l.level,
-        concat(slice(a, 1, size(a) - 1), array(named_struct('level', l.level, 'content', concat(element_at(a, -1).content, array(l.content))))),
-        concat(a, array(named_struct('level', l.level, 'content', array(l.content))))))"""
+#: Where runs of lines of one level start, from 1; and the runs, each a slice of the lines up to the next start.
+_STARTS = "filter(sequence(1, size(levels)), i -> i = 1 OR levels[i - 1] <> levels[i - 2])"
+_RUNS = """transform(starts, (s, k) -> named_struct('level', levels[s - 1], 'content',
+    slice(contents, s, coalesce(get(starts, k + 1), size(levels) + 1) - s)))"""
 
 
 def _normal(text: str) -> str:
@@ -43,13 +42,14 @@ def _units(lines: str) -> str:
 
 def parse_quotes(messages: DataFrame) -> DataFrame:
     """Adds body (the text without its quotes, trimmed), said (hashed units of it) and passages (level, hashed units)."""
-    runs = messages.withColumn("lines", F.expr(_LINES)).withColumn("runs", F.expr(_RUNS)).drop("lines")
+    runs = messages.withColumn("lines", F.expr(_LINES)).withColumns({"levels": F.expr("transform(lines, l -> l.level)"), "contents": F.expr("transform(lines, l -> l.content)")})
+    runs = runs.withColumn("starts", F.expr(_STARTS)).withColumn("runs", F.expr(_RUNS)).drop("lines", "levels", "contents", "starts")
     own = "flatten(transform(filter(runs, r -> r.level = 0), r -> r.content))"
     said = f"flatten(transform(filter(runs, r -> r.level = 0), r -> {_units('r.content')}))"
     quoted = f"transform(filter(runs, r -> r.level > 0), r -> named_struct('level', r.level, 'units', {_units('r.content')}))"
     out = runs.withColumn("body", F.expr(f"trim(BOTH '\\n \\t\\r' FROM array_join({own}, '\\n'))"))
     # The whole of all own runs is a unit too, for quotes of messages that themselves quote in between.
-    out = out.withColumn("said", F.expr(f"array_distinct(concat(array(named_struct('weight', 3, 'hash', sha2({_normal('body')}, 256))), {said}))"))
+    out = out.withColumn("said", F.expr(f"concat(array(named_struct('weight', 3, 'hash', sha2({_normal('body')}, 256))), {said})"))
     return out.withColumn("passages", F.expr(quoted)).drop("runs")
 
 
