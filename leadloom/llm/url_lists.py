@@ -23,13 +23,19 @@ def url_host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, HOST, 1))
 
 
-def url_keys(url: Column) -> Column:
-    """The rules that can match a URL: its host, each parent domain of two labels or more, and host/path prefixes by segment."""
+def url_keys(url: Column, labels_of: int, steps_of: int) -> Column:
+    """The rules that can match a URL: its host, each parent domain of two labels or more, and host/path prefixes by segment.
+
+    Only those of at most `labels_of` labels and `steps_of` segments, the most that any rule has: so a URL of very
+    many segments has no more keys than others.
+    """
     host = url_host(url)
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    domains = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, n), "."))
-    steps = F.filter(F.split(F.regexp_extract(url, PATH, 1), "/"), lambda x: x != "")
+    starts = F.sequence(F.greatest(F.lit(1), n - (labels_of - 1)), F.greatest(n - 1, F.lit(1)))
+    domains = F.transform(starts, lambda i: F.array_join(F.slice(labels, i, n), "."))
+    domains = F.when(F.greatest(F.lit(1), n - (labels_of - 1)) <= F.greatest(n - 1, F.lit(1)), domains).otherwise(F.array().cast("array<string>"))
+    steps = F.slice(F.filter(F.split(F.regexp_extract(url, PATH, 1), "/"), lambda x: x != ""), 1, max(1, steps_of))
     prefixes = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda j: F.concat(host, F.lit("/"), F.array_join(F.slice(steps, 1, j), "/")))
     keys = F.concat(domains, F.when(F.size(steps) > 0, prefixes).otherwise(F.array().cast("array<string>")))
     return F.when(host != "", F.array_distinct(keys)).otherwise(F.array().cast("array<string>"))
@@ -57,14 +63,18 @@ def temporal_list_join(captures: DataFrame, entries: DataFrame, id_column: str =
     unparsable URLs and null dates match nothing and are not blocked; repeated rows stay; further columns are
     ignored; an empty list blocks nothing.
     """
-    rows = captures.select(F.col(id_column), F.col("fetched").cast("date").alias("fetched"), F.coalesce(url_keys(F.col("url").cast("string")), F.array().cast("array<string>")).alias("keys"))
-    rows = materialize(rows.withColumn("uid", F.monotonically_increasing_id()), "captures")  # so the ids hold from here on
     month = lambda c: F.trunc(c, "month")
-    last = rows.agg(F.max("fetched")).first()[0]
+    fetched = F.col("fetched").cast("date")
+    last = captures.agg(F.max(fetched)).first()[0]
     cut = validity_intervals(entries).where(F.col("since") <= F.lit(last)).withColumn("stop", F.least(F.coalesce("until", F.lit(last)), F.lit(last)))
     cut = cut.withColumn("month", F.explode(F.sequence(month("since"), month("stop"), F.expr("interval 1 month")))).drop("stop")
     cut = materialize(cut, "intervals")
-    few = cut.count() <= BROADCAST_INTERVALS
+    parts = F.split("rule", "/")
+    n, labels_of, steps_of = cut.agg(F.count("*"), F.coalesce(F.max(F.size(F.split(parts[0], r"\."))), F.lit(1)), F.coalesce(F.max(F.size(parts)) - 1, F.lit(0))).first()
+    few = n <= BROADCAST_INTERVALS
+    keys = F.coalesce(url_keys(F.col("url").cast("string"), labels_of, steps_of), F.array().cast("array<string>"))
+    rows = captures.select(F.col(id_column), fetched.alias("fetched"), keys.alias("keys"))
+    rows = materialize(rows.withColumn("uid", F.monotonically_increasing_id()), "captures")  # so the ids hold from here on
     asked = rows.select("uid", "fetched", month("fetched").alias("month"), F.explode("keys").alias("rule"))
     met = asked.join(F.broadcast(cut) if few else cut, ["rule", "month"])
     met = met.where((F.col("fetched") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until"))))
