@@ -13,15 +13,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read_table, word_hashes
 
 #: Labelled texts of each language to fit on, in expectation.
 PER_LANGUAGE = 80
-#: Languages that a corpus may have; more are an error, not a silent choice.
-MAX_LANGUAGES = 200
+#: Languages that can be learned, the most frequent ones, and bytes of sample texts of each beyond its first text.
+MAX_LANGUAGES, SAMPLE_BYTES = 200, 8_000_000
 BITS = 16
 LEXICON_BITS = 18
 #: A word enters a language's lexicon when the sample holds it so often in that language.
@@ -268,17 +268,20 @@ def _predict(model, kept: int):
 def sample_labelled(docs: DataFrame, training: Column, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
     """(text, lang) of about `per_language` training rows of each language, chosen by a hash of doc_id.
 
-    The only rows that reach the driver; their number is bounded by per_language times the languages.
+    The only rows that reach the driver: whole texts of the MAX_LANGUAGES most frequent languages, at most twice
+    `per_language` of each and SAMPLE_BYTES beyond the first. Rows that repeat an id with its text count once.
     """
     usable = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = usable.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    picked = F.lit(False)
+    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    if not counts:
+        return []
+    h, picked = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(9)), F.lit(1 << 30)), F.lit(False)
     for lang, n in counts:
-        share = min(1.0, per_language / n)
-        picked |= (F.col("lang") == lang) & (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(9)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = usable.where(picked).select("text", "lang", "doc_id").limit(2 * per_language * max(1, len(counts))).collect() if counts else []
+        picked |= (F.col("lang") == lang) & (h < int(min(1.0, per_language / n) * (1 << 30)))
+    by_hash = Window.partitionBy("lang").orderBy("h", "doc_id", F.xxhash64("text"))
+    rows = usable.where(picked).select("text", "lang", "doc_id", h.alias("h")).distinct().withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= 2 * per_language)
+    size = F.sum(F.octet_length("text").cast("long")).over(by_hash)
+    rows = rows.withColumn("size", size).where((F.col("size") <= SAMPLE_BYTES) | (F.col("nth") == 1)).select("text", "lang", "doc_id").collect()
     return [(r[0], r[1]) for r in sorted(rows, key=lambda r: (str(r[2]), r[0]))]
 
 
