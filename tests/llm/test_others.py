@@ -1,6 +1,9 @@
 """Operators on vectors, URLs and conversations against plain Python, and on awkward rows."""
 
 import datetime
+import math
+import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -40,6 +43,19 @@ def test_exact_codes(spark):
     assert hamming.exact_nearest(three, three, 64).count() == 6
 
 
+def test_wide_segments(spark, monkeypatch):
+    table, _ = vectors(spark, 300)
+    codes = hamming.sign_codes(table, "vec_id", "embedding", 64)
+    read = lambda: sorted(tuple(r) for r in hamming.exact_nearest(codes.where("id % 60 = 0"), codes, 64, 5).collect())
+    want = read()
+    monkeypatch.setattr(hamming, "WIDE_CODES", 1)
+    monkeypatch.setattr(hamming, "WIDE_RADIUS", 2)
+    assert read() == want  # some queries end in wide segments, the others in narrow ones
+    for radius in (0, 1, 3):
+        got = spark.range(1).select(F.explode(hamming._masks(radius, 32)).alias("x")).agg(F.count("*"), F.countDistinct("x"), F.min(F.bit_count("x")), F.max(F.bit_count("x"))).first()
+        assert tuple(got) == (math.comb(32, radius), math.comb(32, radius), radius, radius)
+
+
 def test_permutation_recall_and_order(spark):
     table, rows = vectors(spark, 1200)
     usable = permutation_index.usable_vectors(table, "vec_id", "embedding")
@@ -115,8 +131,6 @@ CAPTURES = [
 
 
 def brute_verdict(url, day):
-    import re
-
     m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)[^/?#]*(/[^?#]*)?", url or "")
     if not m or day is None:
         return (0, 0, False, "")
@@ -179,6 +193,83 @@ def test_quotations(spark):
     assert quotes.link_quotations(rows.where("false")).count() == 0
 
 
+def brute_links(messages):
+    """(conv_id, turn) -> (body, passages, linked, reply_to, root, depth), by plain loops."""
+    normal = lambda t: re.sub(r"[^a-z0-9]+", " ", t.lower()).strip()
+
+    def units(lines):
+        joined = "\n".join(lines)
+        found = [(3, normal(joined)), *((2, normal(p)) for p in re.split(r"\n\s*\n", joined)), *((1, normal(x)) for x in lines if len(normal(x).split(" ")) >= quotes.LINE_WORDS)]
+        return {u for u in found if u[1]}
+
+    parsed = {}
+    for conv, turn, _, text in messages:
+        runs = []
+        for line in text.split("\n"):
+            m = re.match(r"\s*((?:>\s?)+)", line)
+            level, rest = (m[1].count(">"), line[m.end() :]) if m else (0, line)
+            if runs and runs[-1][0] == level:
+                runs[-1][1].append(rest)
+            else:
+                runs.append((level, [rest]))
+        body = "\n".join(x for level, lines in runs if not level for x in lines).strip("\n \t\r")
+        said = {h for level, lines in runs if not level for _, h in units(lines)} | {normal(body)}
+        parsed[conv, turn] = body, said, [(level, units(lines)) for level, lines in runs if level]
+    out = {}
+    for conv, turn in sorted(parsed):
+        body, _, passages = parsed[conv, turn]
+        replies = []
+        for level, asked in passages:
+            hits = []
+            for weight, h in asked:
+                first = min((t for c, t in parsed if c == conv and h in parsed[c, t][1]), default=turn)
+                if first < turn:
+                    hits.append((weight, first))
+            if hits:
+                replies.append((level, -max(hits)[1]))
+        to = -min(replies)[1] if replies else None
+        root, depth = (out[conv, to][4], out[conv, to][5] + 1) if replies else (turn, 0)
+        out[conv, turn] = body, len(passages), len(replies), to, root, depth
+    return out
+
+
+def test_quotations_against_plain_loops(spark):
+    rng = random.Random(3)
+    words = "rain wind hill road lamp door".split()
+    rows = []
+    for conv in range(25):
+        texts = []
+        for turn in range(8):
+            lines = []
+            for _ in range(rng.randint(1, 4)):
+                kind = rng.random()
+                if kind < 0.5 and texts:
+                    lines += [("> " if rng.random() < 0.7 else ">") + x for x in rng.choice(texts).split("\n")[: rng.randint(1, 3)]]
+                elif kind < 0.6:
+                    lines.append("")
+                else:
+                    lines.append(" ".join(rng.choice(words) for _ in range(rng.randint(1, 5))))
+            texts.append("\n".join(lines))
+            rows.append((conv, turn, "u", texts[-1]))
+    out = quotes.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    got = {(r["conv_id"], r["turn"]): (r["text"], r["n_passages"], r["n_linked"], r["reply_to"], r["root"], r["depth"]) for r in out}
+    want = brute_links(rows)
+    assert got == want and sum(w[2] for w in want.values()) > 50
+
+
+def test_message_of_very_many_lines(spark):
+    lines = [f"{'> ' * (i % 3)}line number {i} of them" for i in range(20_000)]
+    out = quotes.link_quotations(spark.createDataFrame([(1, 0, "u", "\n".join(lines))], "conv_id long, turn long, role string, text string")).first()
+    assert out["n_passages"] == 13_333 and out["text"].count("\n") == 6666
+
+
+def test_urls_of_very_many_segments(spark):
+    entries = spark.createDataFrame([("block", "a.example/x/y", "add", D(2024, 1, 1)), ("block", "b.example", "add", D(2024, 1, 1))], "list string, rule string, action string, date date")
+    urls = ["http://a.example/x/y" + "/z" * 100_000, "http://" + "s." * 50_000 + "b.example/", "http://a.example/x"]
+    got = url_lists.temporal_list_join(spark.createDataFrame([(i, u, D(2024, 2, 2)) for i, u in enumerate(urls)], "page_id long, url string, fetched date"), entries).collect()
+    assert sorted((r["page_id"], r["rules"]) for r in got) == [(0, "block:a.example/x/y"), (1, "block:b.example"), (2, "")]
+
+
 def test_long_reply_chain(spark):
     rows = [(7, 0, "u", "opening words of message zero")]
     for i in range(1, 40):
