@@ -1,96 +1,77 @@
-"""Contacts in free text: phones, e-mails with their disguises, names of persons."""
+"""Contacts in free text: phones, e-mails with their disguises, names of persons. Column expressions throughout."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import strings
 
-_SEP = r"[ \t.\-]"
-PHONE = rf"(?<![\d_])(?:(?:\+|00){_SEP}?91{_SEP}?)?(?:\(?0\d{{1,4}}\)?{_SEP}?)?\d[\d \t.\-]{{7,15}}\d(?![\d_])"
-DATE_SHAPED = r"^\s*(?:\d{1,2}[.\-]\d{1,2}[.\-]\d{2,4}|\d{4}[.\-]\d{1,2}[.\-]\d{1,2})\s*$"
-EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
-_AT = r"\s*[\[({]?\s*(?:at|AT)\s*[\])}]?\s*"
-_DOT = r"\s*[\[({]?\s*(?:dot|DOT)\s*[\])}]?\s*"
-DISGUISED = rf"([A-Za-z0-9._%+\-]+){_AT}((?:[A-Za-z0-9\-]+{_DOT})+[A-Za-z]{{2,}})"
+#: A text falls into stretches that may be numbers; all other characters and wide gaps part them. A stretch with an
+#: underscore is a code, and what is shaped like a date is blanked out before.
+PHONE_PARTS = r"[^0-9_ \t.()+-]+|[ \t]{2,}"
+DATES = r"\b[0-9]{1,2}[.-][0-9]{1,2}[.-](?:[0-9]{4}|[0-9]{2})\b|\b[0-9]{4}[.-][0-9]{1,2}[.-][0-9]{1,2}\b"
+#: Addresses are words of these characters that hold one @; a disguised dot is one of them until the end.
+DISGUISED_DOT = "\u0001"
+ADDRESS_PARTS = f"[^A-Za-z0-9@._%+{DISGUISED_DOT}-]+"
+DOT_WORDS = r"\s*[\[({]\s*(?:dot|DOT)\s*[\])}]\s*|\s+(?:dot|DOT)\s+"
+AT_WORDS = r"(?:\s*[\[({]\s*(?:at|AT)\s*[\])}]\s*|\s+(?:at|AT)\s+)([A-Za-z0-9-]+" + DISGUISED_DOT + ")"
+ADDRESS = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$"
 #: Help desks of procurement portals are nobody's contact.
-PORTAL = r"(?i)^(?:eproc|cppp-?nic|support-?eproc|eprochelpdesk|helpdesk|support)@(?:nic\.in|gov\.in|gem\.gov\.in)$"
+PORTAL_DESKS = ("eproc", "cppp-nic", "cpppnic", "support-eproc", "supporteproc", "eprochelpdesk", "helpdesk", "support")
+PORTAL_HOSTS = ("nic.in", "gov.in", "gem.gov.in")
+PORTALS = tuple(f"{desk}@{host}" for desk in PORTAL_DESKS for host in PORTAL_HOSTS)
+
+#: Labels that a person's name follows, and posts that one precedes.
+NAME_LABELS = ("contact person", "contact officer", "nodal officer", "officer in charge", "name of contact", "name of the contact")
+POSTS = ("registrar", "deputy registrar", "assistant registrar", "joint registrar", "store officer", "purchase officer", "warden", "superintendent", "mess manager", "general manager", "director")
+#: Words of labels, posts and fields make no name.
+FIELD_WORDS = ("page", "phone", "mobile", "tel", "email", "fax", "address", "website", "date", "time", "tender", "notice", "details", "department")
+NOT_NAMES = tuple(sorted({w for phrase in (*NAME_LABELS, *POSTS, *FIELD_WORDS) for w in phrase.split()}))
 
 
 def looks_like_phone(raw: Column, number: Column) -> Column:
-    """Announced by a code, a zero or a separator, or else in the mobile range; never of the shape of a date."""
-    announced = raw.rlike(r"^(?:\+|00)[ \t]?91") | raw.rlike(r"^\(?0") | raw.rlike(r"[ \t.\-]")
-    return number.isNotNull() & ~raw.rlike(DATE_SHAPED) & (announced | number.rlike(r"^\+91[6-9]"))
+    """Announced by a code, a zero or a separator, or else in the mobile range."""
+    announced = raw.rlike(r"^(?:\+|00)[ \t]?91") | raw.rlike(r"^\(?0") | raw.rlike(r"[ \t.-]")
+    return number.isNotNull() & (announced | number.rlike(r"^\+91[6-9]"))
 
 
 def find_phones(c: Column) -> Column:
     """Distinct E.164 numbers in order."""
-    raw = F.transform(F.regexp_extract_all(c, F.lit(f"({PHONE})"), F.lit(1)), F.trim)
-    read = F.transform(raw, lambda r: F.struct(r.alias("raw"), strings.phone(F.regexp_replace(r, "[()]", "")).alias("number")))
+    parts = F.split(F.regexp_replace(c, DATES, "|"), PHONE_PARTS)
+    raw = F.transform(F.filter(parts, lambda p: F.length(p).between(10, 40) & ~p.contains("_")), lambda p: F.regexp_replace(p, r"^[ \t.)-]+|[ \t.(+-]+$", ""))
+    read = F.transform(raw, lambda r: F.struct(r.alias("raw"), strings.phone(r).alias("number")))
     return F.array_distinct(F.transform(F.filter(read, lambda p: looks_like_phone(p["raw"], p["number"])), lambda p: p["number"]))
 
 
-def find_plain_emails(c: Column) -> Column:
-    """Distinct addresses in order, without the portals' help desks and without disguised ones."""
-    found = F.transform(F.regexp_extract_all(c, F.lit(f"({EMAIL})"), F.lit(1)), strings.email)
-    return F.array_distinct(F.filter(found, lambda e: e.isNotNull() & ~e.rlike(PORTAL)))
-
-
-def _emails(text: str | None) -> list[str]:
-    shape, portal = re.compile(r"^[^@\s]+@[^@\s.]+\.[^@\s]+$"), re.compile(PORTAL)
-    found = [(m.start(), 0, m[0]) for m in re.finditer(EMAIL, text or "")]
-    if "dot" in (text or "") or "DOT" in (text or ""):  # no disguise without
-        found += [(m.start(), 1, f"{m[1]}@{re.sub(_DOT, '.', m[2])}") for m in re.finditer(DISGUISED, text)]
-    out: dict[str, int] = {}
-    for at, disguised, raw in sorted(found, key=lambda x: (x[1], x[0])):
-        address = raw.lower()
-        if shape.match(address) and not portal.match(address):
-            out.setdefault(address, at)
-    return sorted(out, key=out.__getitem__)
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def find_emails(s: pd.Series) -> pd.Series:
-    """Plain and disguised addresses by place; the two kinds merge by position, which needs offsets."""
-    return s.map(_emails)
-
+def find_emails(c: Column) -> Column:
+    """Distinct addresses in order, plain ones and those written as 'name at host dot end', without the portals' help desks."""
+    text = F.coalesce(c, F.lit(""))
+    dotted = F.regexp_replace(text, DOT_WORDS, DISGUISED_DOT)
+    text = F.when(text.rlike(DOT_WORDS), F.regexp_replace(dotted, AT_WORDS, "@$1")).otherwise(text)
+    words = F.filter(F.split(text, ADDRESS_PARTS), lambda w: w.contains("@"))
+    plain = F.transform(words, lambda w: F.lower(F.regexp_replace(F.replace(w, F.lit(DISGUISED_DOT), F.lit(".")), r"^[.@%+-]+|[.@%+_-]+$", "")))
+    return F.array_distinct(F.filter(plain, lambda e: e.rlike(ADDRESS) & ~e.isin(*PORTALS)))
 
-_LABEL = re.compile(r"(?i)(?:contact\s+person|contact\s+officer|nodal\s+officer|officer\s+in\s+charge|name\s+of\s+(?:the\s+)?contact)\s*[:\-]\s*([^\n;|]{3,80})")
-_POST_END = r",\s*((?:deputy|assistant|joint)\s+registrar|registrar|store\s+officer|purchase\s+officer|warden|superintendent|mess\s+manager|general\s+manager|director)\b"
-_POST = re.compile(r"([^\n,;:]{3,60})" + _POST_END, re.IGNORECASE)
-_HAS_POST = re.compile(_POST_END, re.IGNORECASE)
-_HONORIFIC = re.compile(r"^(?:mr|mrs|ms|dr|prof|shri|smt|sri)\b\.?", re.IGNORECASE)
-_NOT_NAMES = frozenset("page details here address phone email office department tender notice date time the and for with from".split())
 
+def looks_like_person(name: Column) -> Column:
+    """Two capitalised words or more, all of them capitalised or initials, none a word of labels, posts or fields."""
+    words = F.split(name, r"\s+")
+    return (F.size(words) >= 2) & F.forall(words, lambda w: w.rlike(r"^\p{Lu}[\p{L}.'-]*$") & ~F.regexp_replace(F.lower(w), "[.]", "").isin(*NOT_NAMES))
 
-def looks_like_person(name: str) -> bool:
-    """An honorific, or two capitalised words, none of them a word of notices."""
-    words = name.split()
-    if not words or any(w.strip(".,").lower() in _NOT_NAMES for w in words):
-        return False
-    return bool(_HONORIFIC.match(name)) or sum(w[:1].isupper() for w in words) >= 2
 
-
-def _contact_name(text: str | None) -> str | None:
-    for pattern in (_LABEL, _POST):
-        if pattern is _POST and not _HAS_POST.search(text or ""):  # its end, sought from the comma, is much cheaper
-            continue
-        for m in pattern.finditer(text or ""):
-            name = re.split(r",|\(|\s{2,}|(?i:\b(?:phone|email|mobile|tel)\b)", m[1])[0].strip(" .:-") if pattern is _LABEL else m[1].strip(" .:-")
-            if looks_like_person(name):
-                return name
-    return None
-
-
-@F.pandas_udf(T.StringType())
-def find_contact_name(s: pd.Series) -> pd.Series:
+def find_contact_name(c: Column) -> Column:
     """A labelled name, else the name before a post; null unless it looks like a person's."""
-    return s.map(_contact_name)
+    spaced = lambda phrases: "|".join(p.replace(" ", r"\s+") for p in phrases)
+    labelled = rf"(?i)\b(?:{spaced(NAME_LABELS)})\s*[:-]\s*([^\n;|,(0-9]{{3,80}})"
+    before_post = rf"(?i)([^\n,;:]{{3,60}}),\s*(?:{spaced(POSTS)})\b"
+    field = rf"(?i)\b(?:{spaced(FIELD_WORDS)})\b|\s{{2,}}"
+    trimmed = lambda n: F.trim(n, F.lit(" .:-"))
+    of_label = F.transform(F.regexp_extract_all(c, F.lit(labelled), F.lit(1)), lambda n: trimmed(F.get(F.split(n, field), F.lit(0))))
+    # the post alone, sought from its comma, is much cheaper than with the words before it
+    of_post = F.when(c.rlike(rf"(?i),\s*(?:{spaced(POSTS)})\b"), F.transform(F.regexp_extract_all(c, F.lit(before_post), F.lit(1)), trimmed))
+    first = lambda names: F.get(F.filter(names, looks_like_person), F.lit(0))
+    return F.coalesce(first(of_label), first(of_post))
 
 
 def extract_contacts(c: Column) -> Column:
@@ -99,3 +80,11 @@ def extract_contacts(c: Column) -> Column:
     first = lambda a: F.get(a, F.lit(0))
     complete = (F.size(phones) > 0) & (F.size(emails) > 0) & name.isNotNull()
     return F.struct(phones.alias("phones"), emails.alias("emails"), first(phones).alias("phone"), first(emails).alias("email"), name.alias("name"), complete.alias("complete"))
+
+
+def contact_links(links: Column, page: Column) -> Column:
+    """Distinct absolute addresses of the links whose address or text speaks of contact, in order."""
+    from . import markup
+
+    like = F.filter(links, lambda a: F.lower(F.concat_ws(" ", a["href"], a["text"])).rlike("contact|reach[ _-]?us|enquir"))
+    return F.array_distinct(F.filter(F.transform(like, lambda a: markup.clean_url(a["href"], page)), lambda u: u.isNotNull()))

@@ -22,54 +22,117 @@ def query(sql: str | None = None):
     return add
 
 
-NOTICES = [
-    (1, "Supply of 1,500 kg vegetables per month. Last date of submission: 30/09/2026 by 5 pm."),
-    (2, "Requirement: 2 MT per day and 40 quintals onion weekly; bid opening 12-Oct-2026"),
-    (3, "100 kg tomatoes. Dated 05/09/2026, valid till September 25, 2026"),
-    (4, "No quantity here, 31/02/2026 is no date"),
-]
-
-
-@query("SELECT * FROM (VALUES (1, '1,500 kg vegetables per month', 1500.0::DOUBLE, 50.0::DOUBLE), (2, '40 quintals onion weekly', 4000.0, NULL), (2, '2 MT per day', 2000.0, 2000.0), (3, '100 kg', 100.0, NULL)) t(id, phrase, kg, kg_per_day)".replace("'40 quintals onion weekly'", "'40 quintals'"))
+def notices(spark, d):
+    """A notice for each order, in one of four wordings by its key: amounts from the key, issued on the order's date, due 30 days later."""
+    key, issued = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    due = F.date_add(issued, 30)
+    amount = lambda n, least: (key % n + least)
+    wording = (
+        F.when(key % 4 == 0, F.concat(F.lit("Supply of "), F.format_number(amount(9000, 1000), 0), F.lit(" kg vegetables per month. Last date of submission: "), F.date_format(due, "dd/MM/yyyy"), F.lit(" by 5 pm.")))
+        .when(key % 4 == 1, F.concat(F.lit("Requirement: "), amount(50, 1), F.lit(" quintals onion and "), amount(20, 1), F.lit(" MT per day; bid opening "), F.date_format(due, "dd-MMM-yyyy")))
+        .when(key % 4 == 2, F.concat(amount(700, 5), F.lit(" kg tomatoes.\nDated "), F.date_format(issued, "d.M.yyyy"), F.lit(", valid  till "), F.date_format(due, "MMMM d, yyyy"), F.lit(". Open every day")))
+        .otherwise(F.concat(F.lit("No amount here, 31/02/1996 is no date; printed "), F.date_format(issued, "yyyy-MM-dd")))
+    )
+    return read(spark, d, "orders").select(key.alias("id"), issued.alias("issued"), wording.alias("text"))
+
+
+NOTICES_SQL = "WITH n AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS issued, CAST(o_orderdate AS DATE) + 30 AS due FROM orders)"
+
+
+@query(f"""{NOTICES_SQL}
+SELECT id, format('{{:,}} kg vegetables per month', id % 9000 + 1000) AS phrase, CAST(id % 9000 + 1000 AS DOUBLE) AS kg, (id % 9000 + 1000) / 30.0::DOUBLE AS kg_per_day FROM n WHERE id % 4 = 0
+UNION ALL SELECT id, (id % 50 + 1) || ' quintals', CAST(100 * (id % 50 + 1) AS DOUBLE), NULL FROM n WHERE id % 4 = 1
+UNION ALL SELECT id, (id % 20 + 1) || ' MT per day', CAST(1000 * (id % 20 + 1) AS DOUBLE), CAST(1000 * (id % 20 + 1) AS DOUBLE) FROM n WHERE id % 4 = 1
+UNION ALL SELECT id, (id % 700 + 5) || ' kg', CAST(id % 700 + 5 AS DOUBLE), NULL FROM n WHERE id % 4 = 2""")
 def find_quantities(spark, d):
-    rows = spark.createDataFrame(NOTICES, "id int, text string")
-    return rows.select("id", F.explode(quantity.find_quantities(F.col("text"))).alias("q")).select("id", "q.phrase", "q.kg", "q.kg_per_day")
+    """Every quantity of the notices; the SQL twin states the amounts they were written from."""
+    return notices(spark, d).select("id", F.explode(quantity.find_quantities(F.col("text"))).alias("q")).select("id", "q.phrase", "q.kg", "q.kg_per_day")
 
 
-@query("SELECT * FROM (VALUES (1, DATE '2026-09-30'), (2, DATE '2026-10-12'), (3, DATE '2026-09-05'), (3, DATE '2026-09-25')) t(id, date)")
+@query(f"{NOTICES_SQL} SELECT id, due AS date FROM n WHERE id % 4 < 3 UNION ALL SELECT id, issued FROM n WHERE id % 4 > 1")
 def find_dates(spark, d):
-    rows = spark.createDataFrame(NOTICES, "id int, text string")
-    return rows.select("id", F.explode(dates.find_dates(F.col("text"))).alias("date"))
+    """Every date of the notices; the SQL twin states the dates they were written from."""
+    return notices(spark, d).select("id", F.explode(dates.find_dates(F.col("text"))).alias("date"))
 
 
-@query("SELECT * FROM (VALUES (1, DATE '2026-09-30'), (2, DATE '2026-10-12'), (3, DATE '2026-09-25'), (4, NULL)) t(id, deadline)")
+@query(f"{NOTICES_SQL} SELECT id, CASE WHEN id % 4 < 3 THEN due WHEN issued >= DATE '1996-01-01' THEN issued END AS deadline FROM n")
 def find_deadline(spark, d):
-    rows = spark.createDataFrame(NOTICES, "id int, text string")
-    return rows.select("id", dates.find_deadline(F.col("text"), F.lit("2026-09-11").cast("date")).alias("deadline"))
-
-
-@query("SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}'), lambda x: lower(x)))[1] AS email FROM documents WHERE regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')".replace("list_distinct(list_transform(", "(list_transform("))
+    """The deadline of every notice, seen from the first day of 1996."""
+    return notices(spark, d).select("id", dates.find_deadline(F.col("text"), F.lit("1996-01-01").cast("date")).alias("deadline"))
+
+
+def _sql(text: str) -> str:
+    """A text as an SQL literal; control characters by their codes."""
+    return "'" + text.replace("'", "''").replace(contacts.DISGUISED_DOT, "' || chr(1) || '") + "'"
+
+
+_spaced = lambda phrases: "|".join(p.replace(" ", r"\s+") for p in phrases)
+_listed = lambda words: "(" + ", ".join(_sql(w) for w in words) + ")"
+_NAMED = rf"(?i)\b(?:{_spaced(contacts.NAME_LABELS)})\s*[:-]\s*([^\n;|,(0-9]{{3,80}})"
+_BEFORE_POST = rf"(?i)([^\n,;:]{{3,60}}),\s*(?:{_spaced(contacts.POSTS)})\b"
+_FIELD = rf"(?i)\b(?:{_spaced(contacts.FIELD_WORDS)})\b|\s{{2,}}"
+_PERSON = f"len(string_split_regex(x, '\\s+')) >= 2 AND list_bool_and(list_transform(string_split_regex(x, '\\s+'), lambda w: regexp_full_match(w, '\\p{{Lu}}[\\p{{L}}.''-]*') AND replace(lower(w), '.', '') NOT IN {_listed(contacts.NOT_NAMES)}))"
+#: Phones, addresses and names of documents in SQL, each a list in order.
+CONTACTS_SQL = rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS row FROM documents),
+p AS (SELECT row, list_filter(string_split_regex(regexp_replace(text, {_sql(contacts.DATES)}, '|', 'g'), {_sql(contacts.PHONE_PARTS)}), lambda x: len(x) BETWEEN 10 AND 40 AND NOT contains(x, '_')) AS parts FROM t),
+q AS (SELECT row, list_transform(list_transform(parts, lambda x: regexp_replace(x, '^[ \t.)-]+|[ \t.(+-]+$', '', 'g')), lambda x: {{'raw': x, 'd': regexp_replace(x, '[^0-9]', '', 'g')}}) AS raws FROM p),
+r AS (SELECT row, list_transform(raws, lambda x: {{'raw': x.raw, 'n': CASE WHEN x.d LIKE '0091%' THEN x.d[5:] WHEN x.d LIKE '91%' AND len(x.d) >= 12 THEN x.d[3:] WHEN x.d LIKE '0%' AND len(x.d) = 11 THEN x.d[2:] ELSE x.d END}}) AS nums FROM q),
+phones AS (SELECT row, list_transform(list_filter(nums, lambda x: regexp_full_match(x.n, '[1-9][0-9]{{9}}') AND (regexp_matches(x.raw, '^((\+|00)[ \t]?91|\(?0)|[ \t.-]') OR regexp_matches(x.n, '^[6-9]'))), lambda x: '+91' || x.n) AS phones FROM r),
+m AS (SELECT row, list_filter(string_split_regex(CASE WHEN regexp_matches(text, {_sql(contacts.DOT_WORDS)}) THEN regexp_replace(regexp_replace(text, {_sql(contacts.DOT_WORDS)}, chr(1), 'g'), {_sql(contacts.AT_WORDS)}, '@\1', 'g') ELSE text END, {_sql(contacts.ADDRESS_PARTS)}), lambda x: contains(x, '@')) AS words FROM t),
+emails AS (SELECT row, list_filter(list_transform(words, lambda x: lower(regexp_replace(replace(x, chr(1), '.'), '^[.@%+-]+|[.@%+_-]+$', '', 'g'))), lambda x: regexp_matches(x, {_sql(contacts.ADDRESS)}) AND x NOT IN {_listed(contacts.PORTALS)}) AS emails FROM m),
+names AS (SELECT row, list_filter(list_concat(list_transform(regexp_extract_all(text, {_sql(_NAMED)}, 1), lambda x: trim(string_split_regex(x, {_sql(_FIELD)})[1], ' .:-')), []), lambda x: {_PERSON}) AS labelled,
+  list_filter(list_transform(regexp_extract_all(text, {_sql(_BEFORE_POST)}, 1), lambda x: trim(x, ' .:-')), lambda x: {_PERSON}) AS posted FROM t)"""
+
+
+@query(CONTACTS_SQL + " SELECT doc_id, unnest(list_distinct(emails)) AS email FROM t JOIN emails USING (row)")
 def find_emails(spark, d):
-    """Every address of each document, plain or disguised; the SQL twin states the first plain one, which is all that its tables hold."""
+    """Every address of each document, plain or disguised."""
     return read(spark, d, "documents").select("doc_id", F.explode(contacts.find_emails(F.col("text"))).alias("email"))
 
 
-@query()
+@query(CONTACTS_SQL + " SELECT doc_id, unnest(list_distinct(phones)) AS phone FROM t JOIN phones USING (row)")
 def find_phones(spark, d):
-    """Phone numbers of documents; the look-around patterns have no SQL twin."""
+    """Every phone number of each document."""
     return read(spark, d, "documents").select("doc_id", F.explode(contacts.find_phones(F.col("text"))).alias("phone"))
 
 
-@query()
+@query(CONTACTS_SQL + """, c AS (SELECT doc_id, phones[1] AS phone, emails[1] AS email, coalesce(labelled[1], posted[1]) AS name FROM t JOIN phones USING (row) JOIN emails USING (row) JOIN names USING (row))
+SELECT *, phone IS NOT NULL AND email IS NOT NULL AND name IS NOT NULL AS complete FROM c WHERE coalesce(phone, email, name) IS NOT NULL""")
 def extract_contacts(spark, d):
-    """First phone, first plain or disguised e-mail and name of every document that has any of them; the look-around patterns have no SQL twin."""
+    """First phone, first plain or disguised e-mail and name of every document that has any of them."""
     c = contacts.extract_contacts(F.col("text"))
     found = F.coalesce(c["phone"], c["email"], c["name"]).isNotNull()
     # exploded, as a filter would be pushed below the projection and read every text twice
     return read(spark, d, "documents").select("doc_id", F.explode(F.when(found, F.array(c))).alias("c")).select("doc_id", "c.phone", "c.email", "c.name", "c.complete")
 
 
-@query()
+def _passes(text: str, *passes: tuple[str, str]) -> str:
+    for pattern, to in passes:
+        text = f"regexp_replace({text}, {_sql(pattern)}, {_sql(to)}, 'g')"
+    return text
+
+
+def _numeric_sql(column: str, pattern: str, code: str) -> str:
+    """Pieces between numeric entities alternate with the characters the entities stand for."""
+    p, between = _sql(pattern), _sql(pattern.replace("(", "(?:"))
+    char = f"CASE WHEN {code} > 0 AND {code} < 1114112 AND {code} NOT BETWEEN 55296 AND 57343 THEN chr(CAST({code} AS INT)) ELSE ' ' END"
+    return f"array_to_string(list_transform(list_zip(string_split_regex({column}, {between}), list_transform(regexp_extract_all({column}, {p}, 1), lambda e: {char})), lambda z: z[1] || coalesce(z[2], '')), '')"
+
+
+HTML_TEXT_SQL = (
+    "WITH a AS (SELECT page_id, "
+    + _passes("coalesce(html, '')", (r"(?s)<!--.*?-->", " "), (markup.HIDDEN_PARTS, " "), (rf"(?i)<({markup.HIDDEN})\b[^>]*/?>", " "), (rf"(?i)</?(?:{markup.BLOCKS})\b[^>]*>", "\n"), ("<[^>]*>", " "))
+    + f" AS x FROM pages), b AS (SELECT page_id, {_numeric_sql('x', r'&#(\d{1,8});', 'CAST(e AS BIGINT)')} AS y FROM a), c AS (SELECT page_id, "
+    + _numeric_sql("y", r"&#[xX]([0-9a-fA-F]{1,7});", "CAST('0x' || e AS BIGINT)")
+    + " AS z FROM b), d AS (SELECT page_id, replace("
+    + _passes("regexp_replace(" + _passes("z", *((f"(?i){name}", to) for name, to in markup.ENTITIES.items())) + ", '(?i)&amp;', chr(2), 'g')", ("(?i)&[a-z]+;", " "))
+    + ", chr(2), '&') AS t FROM c) SELECT page_id, "
+    + _passes("t", ("[ \t\u00a0]+", " "), (" ?\n ?", "\n"), ("\n{3,}", "\n\n"), (r"^\s+|\s+$", ""))
+    + " AS text FROM d"
+)
+
+
+@query(HTML_TEXT_SQL)
 def html_text(spark, d):
     return read(spark, d, "pages").select("page_id", markup.html_text(F.col("html")).alias("text"))
 
@@ -84,19 +147,32 @@ def page_links(spark, d):
     return read(spark, d, "pages").select("page_id", F.explode(markup.links(F.col("html"))).alias("a")).select("page_id", "a.href")
 
 
-@query("SELECT * FROM (VALUES (1, 'a b|c & d'), (1, '1|2')) t(id, cells)")
+@query("SELECT s_suppkey, 'name b|' || s_name AS cells FROM supplier UNION ALL SELECT s_suppkey, s_nationkey || '|R & D ' || s_suppkey FROM supplier")
 def page_table_rows(spark, d):
-    html = "<table><tr><th>a <b>b</b></th><td>c &amp; d</td></tr><tr></tr><tr><td>1</td><td>2</td></tr></table>"
-    rows = spark.createDataFrame([(1, html)], "id int, html string")
-    return rows.select("id", F.explode(markup.table_rows(F.col("html"))).alias("r")).select("id", F.array_join("r", "|").alias("cells"))
+    """The rows of a page for each supplier; the pages of the tables have no table rows."""
+    html = F.concat(
+        F.lit("<table class=a><tr><th>name <b>b</b></th><TD>"), "s_name", F.lit("</TD></tr><tr></tr>\n<tr><td>"), F.col("s_nationkey").cast("string"),
+        F.lit("</td><td id='x'>R &amp; D&nbsp;"), F.col("s_suppkey").cast("string"), F.lit("</td></tr></table>"),
+    )
+    rows = read(spark, d, "supplier").select("s_suppkey", F.explode(markup.table_rows(html)).alias("r"))
+    return rows.select("s_suppkey", F.array_join("r", "|").alias("cells"))
 
 
-@query("SELECT * FROM (VALUES ('rss', 'One - The Paper', 'http://x.example/1'), ('atom', 'Two', 'http://x.example/2')) t(feed, title, link)")
+@query("""SELECT p_partkey, p_name || ' - ' || p_brand AS title, 'http://parts.example/' || p_partkey AS link FROM part
+UNION ALL SELECT p_partkey, p_type, 'http://types.example/' || p_size FROM part WHERE p_partkey % 2 = 0""")
 def feed_items(spark, d):
-    rss = "<rss><item><title>One - The Paper</title><link>http://x.example/1</link><source url=\"http://x.example\">P</source></item></rss>"
-    atom = '<feed><entry><title><![CDATA[Two]]></title><link rel="self" href="http://x.example/self"/><link rel="alternate" href="http://x.example/2"/></entry></feed>'
-    rows = spark.createDataFrame([("rss", rss), ("atom", atom)], "feed string, xml string")
-    return rows.select("feed", F.explode(markup.feed_items(F.col("xml"))).alias("i")).select("feed", "i.title", "i.link")
+    """The items of a feed for each part: RSS with two items for even keys, Atom with one for odd ones; no table holds feeds."""
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    rss = F.concat(
+        F.lit("<rss><item><title>"), "p_name", F.lit(" - "), "p_brand", F.lit("</title><link>http://parts.example/"), key, F.lit("</link><source url=\"http://x.example\">P</source></item>"),
+        F.lit("<item><title>"), "p_type", F.lit("</title><link>http://types.example/"), size, F.lit("</link></item></rss>"),
+    )
+    atom = F.concat(
+        F.lit("<feed><entry><title><![CDATA["), "p_name", F.lit(" - "), "p_brand", F.lit("]]></title><link rel=\"self\" href=\"http://x.example/self\"/>"),
+        F.lit("<link rel=\"alternate\" href=\"http://parts.example/"), key, F.lit("\"/></entry></feed>"),
+    )
+    xml = F.when(F.col("p_partkey") % 2 == 0, rss).otherwise(atom)
+    return read(spark, d, "part").select("p_partkey", F.explode(markup.feed_items(xml)).alias("i")).select("p_partkey", "i.title", "i.link")
 
 
 @query("SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '(utm_[a-z]+|ref)=[^&]*&?', '', 'g'), '[?&]$', '') AS url FROM pages")
