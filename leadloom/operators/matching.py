@@ -43,8 +43,11 @@ def nearest_words(rows: DataFrame, key: str, text: Column, first: list[str], sec
     words = F.split(F.lower(text), "[^a-z]+")
     places = lambda wanted: F.filter(F.transform(words, lambda w, i: F.when(w.isin(*wanted), i)), lambda i: i.isNotNull())
     placed = rows.select(key, places(first).alias("a"), places(second).alias("b")).where((F.size("a") > 0) & (F.size("b") > 0))
-    least = F.array_min(F.transform("a", lambda x: F.array_min(F.transform("b", lambda y: F.abs(x - y)))))
-    return placed.select(key, least.cast("long").alias("gap")).where(F.col("gap") <= gap)
+    # The nearest two stand side by side once the places of both lists are sorted together.
+    marked = lambda places, kind: F.transform(places, lambda p: F.struct(p.alias("at"), F.lit(kind).alias("kind")))
+    merged = placed.select(key, F.array_sort(F.concat(marked("a", 0), marked("b", 1))).alias("m"))
+    gaps = F.zip_with("m", F.slice("m", 2, F.size("m")), lambda x, y: F.when(x["kind"] != y["kind"], y["at"] - x["at"]))
+    return merged.select(key, F.array_min(gaps).cast("long").alias("gap")).where(F.col("gap") <= gap)
 
 
 def first_rule(text: Column, rules: list[tuple[str, str]], otherwise: str) -> Column:

@@ -16,16 +16,18 @@ def diversified_order(score: str = "score", tie: str = "id") -> list[Column]:
 
 
 def capped(leads: DataFrame, limit: int, share: float = 0.2, score: str = "score", group: str = "segment", source: str = "source", tie: str = "id") -> DataFrame:
-    """At most `limit` leads: each source's best `limit` * share first, the rest in diversified order.
+    """At most `limit` leads: each source's best `limit` * share by score, the rest in diversified order; of more reserved
+    ones than `limit` the first in diversified order.
 
-    Two limits pushed into the sorts: no window over all rows remains.
+    Only the first rows of each source and group are looked at, limited in every task before a shuffle: a lead
+    beyond the first `limit` of its group comes after `limit` others.
     """
-    spread = diversified(leads, score, group, tie)
-    if limit >= 2_000_000_000:
-        return spread
-    quota = int(limit * share)
-    placed = spread.withColumn("__own", F.row_number().over(Window.partitionBy(source).orderBy(*diversified_order(score, tie))))
-    return placed.orderBy((F.col("__own") > quota).cast("int"), *diversified_order(score, tie)).limit(limit).drop("__own", "turn")
+    reserved = top_per(leads, [source], [F.desc(score), tie], int(limit * share), "__own").drop("__own")
+    best = top_per(leads, [group], [F.desc(score), tie], limit, "turn").join(reserved.select(tie), tie, "left_anti")
+    both = reserved.withColumn("turn", F.lit(0)).withColumn("__late", F.lit(0)).unionByName(best.withColumn("__late", F.lit(1)))
+    fill = both.orderBy("__late", *diversified_order(score, tie)).limit(limit).where("__late = 1")
+    chosen = reserved.unionByName(fill.select(*leads.columns))
+    return diversified(chosen, score, group, tie).orderBy(*diversified_order(score, tie)).limit(limit).drop("turn")
 
 
 def top_per(rows: DataFrame, by: list[str], order: list, k: int, name: str = "place") -> DataFrame:
@@ -54,8 +56,18 @@ def cutoffs(rows: DataFrame, caps: dict[str, int], kind: str = "kind", score: st
 
 
 def top_with_rest(counts: DataFrame, key: str, n: str, k: int) -> DataFrame:
-    """The k largest counts and one row '+m more' for the others."""
-    placed = counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc(n), key)))  # counts: one row a key, already aggregated
-    shown = placed.where(F.col("place") <= k).select(key, n)
-    rest = placed.where(F.col("place") > k).agg(F.count("*").alias("m"), F.sum(n).alias(n)).where("m > 0")
+    """The k largest counts and one row '+m more' for the others: a limit, and an aggregate of what it leaves."""
+    shown = counts.orderBy(F.desc(n), key).limit(k).select(key, n)
+    sums = lambda df, sign: df.agg(F.count("*").alias("m"), F.coalesce(F.sum(n), F.lit(0)).alias("s")).select((F.col("m") * sign).alias("m"), (F.col("s") * sign).alias("s"))
+    rest = sums(counts, 1).unionByName(sums(shown, -1)).agg(F.sum("m").alias("m"), F.sum("s").alias(n)).where("m > 0")
     return shown.unionByName(rest.select(F.concat(F.lit("+"), F.col("m").cast("string"), F.lit(" more")).alias(key), n))
+
+
+def signals(leads: DataFrame, limit: int, wrapped: Column, score: str = "score", tier: str = "tier", tie: str = "id") -> DataFrame:
+    """Signals in the order they are read, as rows with place: the first `limit` requirement candidates, direct links before wrapped ones, then all others."""
+    order = [F.col("__wrapped"), F.desc(score), F.col(tie)]
+    marked = leads.withColumn("__wrapped", wrapped.cast("int"))
+    first = marked.where(F.col(tier) == "requirement_candidate").orderBy(*order).limit(limit)
+    rest = marked.where(F.col(tier).isNull() | (F.col(tier) != "requirement_candidate"))
+    placed = first.withColumn("__tier", F.lit(0)).unionByName(rest.withColumn("__tier", F.lit(1)))
+    return placed.orderBy("__tier", *order).drop("__tier", "__wrapped")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import events, leads, reports, texts
+from . import events, leads, loops, reports, texts
 
-MODULES = (leads, reports, events, texts)
+MODULES = (leads, reports, events, loops, texts)
 QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLES.items()}

@@ -33,8 +33,11 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
 
 
 TURNS = "t AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY score DESC, id) AS turn FROM leads)"
-CAPPED = TURNS + """, own AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, turn, id) AS own FROM t),
-cap AS (SELECT * FROM own ORDER BY CASE WHEN own > 20 THEN 1 ELSE 0 END, score DESC, turn, id LIMIT 100)"""
+#: The rule of the cap: a reserve for each source by score, the rest in diversified order, the chosen diversified anew and cut.
+CAPPED = TURNS + """, own AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, id) AS own FROM t),
+chosen AS (SELECT * FROM own WHERE own <= 20 UNION ALL SELECT * FROM (SELECT * FROM own WHERE own > 20 ORDER BY score DESC, turn, id LIMIT (SELECT greatest(0, 100 - count(*)) FROM own WHERE own <= 20))),
+spread AS (SELECT * EXCLUDE (turn), row_number() OVER (PARTITION BY segment ORDER BY score DESC, id) AS turn FROM chosen),
+cap AS (SELECT * FROM spread ORDER BY score DESC, turn, id LIMIT 100)"""
 
 
 @query("{L}, " + CAPPED + ", again AS (SELECT id, segment, source, score, row_number() OVER (PARTITION BY segment ORDER BY score DESC, id) AS turn FROM cap) SELECT id, segment, source, score, CAST(turn AS INT) AS turn FROM again")
