@@ -186,10 +186,10 @@ def dedupe_by_id(spark, d):
     return dedupe.keep_first(read(spark, d, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], ["o_orderkey"])
 
 
-@query("WITH e AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) SELECT user_id, event_type, value FROM e WHERE n = 1")
+@query("WITH e AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events) SELECT user_id, event_type, value FROM e WHERE n = 1")
 def dedupe_external(spark, d):
     rows = read(spark, d, "events")
-    return dedupe.first_per(rows, ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "value")
+    return dedupe.first_per(rows, ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "value")
 
 
 @query("WITH i AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')) AS k FROM documents), b AS (SELECT DISTINCT trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')) AS k FROM benchmark) SELECT min(doc_id) AS doc_id FROM i WHERE k <> '' AND k NOT IN (SELECT k FROM b) GROUP BY k UNION ALL SELECT doc_id FROM i WHERE k = ''")
