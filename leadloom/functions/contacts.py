@@ -86,5 +86,5 @@ def contact_links(links: Column, page: Column) -> Column:
     """Distinct absolute addresses of the links whose address or text speaks of contact, in order."""
     from . import markup
 
-    like = F.filter(links, lambda a: F.lower(F.concat_ws(" ", a["href"], a["text"])).rlike("contact|reach[ _-]?us|enquir"))
+    like = F.filter(links, lambda a: F.lower(F.concat_ws(" ", a["href"], a["text"])).rlike(r"contact|reach[\s_-]*us|get[\s_-]*in[\s_-]*touch|enquir"))
     return F.array_distinct(F.filter(F.transform(like, lambda a: markup.clean_url(a["href"], page)), lambda u: u.isNotNull()))

@@ -112,6 +112,25 @@ def accuracy(cases: DataFrame, results: DataFrame, key: str, fields: list[str],
     return sums.select("cases", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("right")) for f in fields))).alias("x")).select("cases", "x.field", "x.right")
 
 
+def answer_totals(cases: DataFrame, results: DataFrame, key: str, fields: list[str], order: str) -> DataFrame:
+    """Over all cases in one row: valid answers, all-right cases, sums and rounded means of tokens and time, cost, cache hits.
+
+    results have ok, tokens_in, tokens_out, cost, ms, cache_hit and the fields; a case without one counts with nothing, of several the last counts.
+    """
+    last = first_per(results, [key], [F.desc(order)]).select(key, "ok", "tokens_in", "tokens_out", "cost", "ms", "cache_hit", *(F.col(f).alias(f"r_{f}") for f in fields))
+    both = cases.join(last, key, "left")
+    ok = F.coalesce("ok", F.lit(False))
+    right = ok
+    for f in fields:
+        right = right & F.col(f).eqNullSafe(F.col(f"r_{f}"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    mean = lambda c: F.when(F.count("*") > 0, F.floor(total(c) / F.count("*") + 0.5)).otherwise(0).cast("long")
+    return both.agg(
+        F.count("*").alias("cases"), F.count_if(ok).alias("valid"), F.count_if(right).alias("all_right"), total("tokens_in").cast("long").alias("tokens_in"), total("tokens_out").cast("long").alias("tokens_out"),
+        mean("tokens_in").alias("mean_in"), mean("tokens_out").alias("mean_out"), total("cost").alias("cost"), mean("ms").alias("mean_ms"), F.count_if(F.coalesce("cache_hit", F.lit(False))).alias("cache_hits"),
+    )
+
+
 def longest_rule(paths: DataFrame, rules: DataFrame, path: str = "path") -> DataFrame:
     """Whether each path is allowed: the longest matching rule wins, allowing ones on ties, no rule allows.
 

@@ -27,7 +27,7 @@ def segment_of_tags(tags: Column) -> Column:
 
 
 #: The tags of a map element that a candidate keeps.
-KEPT_TAGS = ("amenity", "shop", "tourism", "craft", "industrial", "office", "cuisine", "operator", "brand", "opening_hours", "capacity", "stars")
+KEPT_TAGS = ("amenity", "shop", "tourism", "craft", "industrial", "cuisine", "opening_hours", "operator", "brand", "addr:city", "addr:street", "addr:postcode")
 _POINT = "lat:double,lon:double"
 MAP_BODY = f"struct<elements:array<struct<type:string,id:bigint,{_POINT},center:struct<{_POINT}>,tags:map<string,string>>>>"
 
@@ -213,3 +213,49 @@ def reachable(entries: DataFrame, probe: DataFrame, key: str = "id") -> tuple[Da
 def weekly_due(c: Column) -> Column:
     """Weekly sources run on Mondays."""
     return F.dayofweek(c) == 2
+
+
+def to_lead(candidates: DataFrame, now: Column) -> DataFrame:
+    """Register rows of candidates: ids from source and external id, contacts in one form, texts within their limits, the rest at their defaults."""
+    null = F.lit(None).cast("string")
+    segment = F.coalesce("segment", F.lit("other"))
+    return candidates.select(
+        hashing.lead_id(F.col("source"), F.col("external_id")).alias("id"), F.coalesce("kind", F.lit("buyer")).alias("kind"), segment.alias("segment"), segment.alias("segment_source"), null.alias("segment_model"),
+        null.alias("opener_model"), strings.tidy(F.col("name"), 160).alias("name"), "city", "state", strings.tidy(F.col("address"), 240).alias("address"), strings.phone(F.col("phone")).alias("phone"),
+        strings.email(F.col("email")).alias("email"), strings.website(F.col("website")).alias("website"), strings.tidy(F.col("why_now"), 120).alias("why_now"), "why_now_date", "source", "source_url", "licence",
+        now.alias("first_seen"), now.alias("last_seen"), F.lit(0).alias("score"), F.lit("new").alias("status"), null.alias("notes"), F.col("phone").alias("raw_phone"),
+    )
+
+
+def registrations(entries: DataFrame, checks: DataFrame, segments: dict[str, str]) -> DataFrame:
+    """Candidates of a registry (name, url, type, city, buys, how, contact) and the checks of its pages (url, ok, status, text, reason).
+
+    Contacts come from a page that answered, else from an address that the registry itself states; segments maps types, others are distributors.
+    """
+    met = entries.join(checks.select("url", "ok", F.col("status").alias("page_status"), "text", "reason"), "url", "left").withColumn("live", F.coalesce("ok", F.lit(False)))
+    met = met.withColumn("c", F.when(F.col("live"), contacts.extract_contacts(F.coalesce("text", F.lit("")))))
+    stated = F.when(F.col("contact").contains("@"), F.col("contact"))
+    of_type = F.try_element_at(F.create_map(*[F.lit(x) for kv in segments.items() for x in kv]), F.col("type")) if segments else F.lit(None).cast("string")
+    return met.select(
+        F.lit("registrations").alias("source"), F.concat(F.lit("reg_"), hashing.short_hash(20, F.col("url"))).alias("external_id"), F.lit("registration").alias("kind"),
+        F.coalesce(of_type, F.lit("distributor")).alias("segment"), "name", "city", F.col("c.phone").alias("phone"), F.coalesce(F.col("c.email"), stated).alias("email"), F.col("url").alias("website"),
+        F.when(F.col("live"), "supplier registration page is live").otherwise("supplier registration page did not answer").alias("why_now"), strings.tidy(F.col("buys"), 200).alias("requirement"),
+        strings.tidy(F.col("how"), 200).alias("how"), F.col("c.name").alias("contact_name"), "live", "page_status", F.when(~F.col("live"), F.col("reason")).alias("check_reason"),
+        F.coalesce(F.col("c.phone"), F.col("c.email"), stated).isNotNull().alias("contact_complete"), F.coalesce(F.col("c.phone"), F.col("c.email")).isNotNull().alias("contact_from_page"),
+    )
+
+
+def registry(bodies: DataFrame, fields: dict[str, str], required: tuple[str, ...] = ("name", "url"), body: str = "body") -> DataFrame:
+    """Entries of registry files, which are a JSON list or an object with 'entries'; those without a required field are left out."""
+    entry = "array<struct<" + ",".join(f"{k}:{t}" for k, t in fields.items()) + ">>"
+    listed = F.when(F.ltrim(F.col(body)).startswith("["), F.from_json(body, entry)).otherwise(F.from_json(body, f"struct<entries:{entry}>")["entries"])
+    rows = bodies.select(F.explode(listed).alias("e")).select("e.*")
+    return rows.where(" AND ".join(f"coalesce(CAST(`{f}` AS STRING), '') <> ''" for f in required))
+
+
+def latest_digest(files: DataFrame, path: str = "path") -> DataFrame:
+    """(day, kind): the last day that has a digest file <day>.txt, and the files of that day beside it; none where there is none."""
+    name = F.element_at(F.split(F.col(path), "/"), -1)
+    parts = files.select(F.try_to_date(F.regexp_extract(name, r"^(\d{4}-\d{2}-\d{2})\.", 1), "yyyy-MM-dd").alias("day"), F.regexp_extract(name, r"^\d{4}-\d{2}-\d{2}\.(.+)$", 1).alias("kind"), path).where("day IS NOT NULL")
+    last = parts.where("kind = 'txt'").agg(F.max("day").alias("day"))
+    return parts.join(F.broadcast(last), "day")  # last is one row
