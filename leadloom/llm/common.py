@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import materialize, ship
 
-__all__ = ["materialize", "mix64", "partition_count", "read_table", "shingle_hashes", "word_hashes"]
+__all__ = ["breaks_but", "materialize", "mix64", "partition_count", "place_hashes", "read_table", "shingle_hashes", "word_hashes", "word_places"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,29 +53,50 @@ def _power_table(n: int) -> np.ndarray:
     return _powers
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of every word in order, number of words of each text); A-Z is lower-cased."""
-    if not texts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    raw = b" ".join(texts).translate(_LOWER) + b" "
-    buf = np.frombuffer(raw, dtype=np.uint8)
-    space = _IS_SPACE[buf]
+def word_places(texts: list[bytes], breaks: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(all texts as bytes, A-Z lower-cased; where each word starts; where it ends; number of words of each text).
+
+    Words are runs of bytes that `breaks` does not mark; the space must be marked.
+    """
+    buf = np.frombuffer(b" ".join(texts).translate(_LOWER) + b" ", dtype=np.uint8)
+    space = breaks[buf]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
         edge = np.concatenate([[0], edge])
     starts, ends = edge[0::2], edge[1::2]
     lens = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    text_ends = np.cumsum(lens)
-    counts = np.diff(np.searchsorted(starts, text_ends, side="left"), prepend=0)
+    counts = np.diff(np.searchsorted(starts, np.cumsum(lens), side="left"), prepend=0)
+    return buf, starts, ends, counts
+
+
+def word_hashes(texts: list[bytes], breaks: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of every word in order, number of words of each text); A-Z is lower-cased."""
+    if not texts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    buf, starts, ends, counts = word_places(texts, breaks)
+    return place_hashes(buf, starts, ends, breaks), counts
+
+
+def place_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, breaks: np.ndarray = _IS_SPACE) -> np.ndarray:
+    """64-bit hashes of the words that word_places found."""
     if not len(starts):
-        return np.zeros(0, np.uint64), counts
+        return np.zeros(0, np.uint64)
     size = ends - starts
-    word_bytes = np.flatnonzero(~space)
+    word_bytes = np.flatnonzero(~breaks[buf])
     first = np.cumsum(size) - size
     offset = np.arange(len(word_bytes)) - np.repeat(first, size)
     powers = _power_table(int(size.max()) + 1)
     sums = np.add.reduceat(_BYTE_KEYS[buf[word_bytes]] * powers[offset], first)
-    return mix64(sums + size.astype(np.uint64)), counts
+    return mix64(sums + size.astype(np.uint64))
+
+
+def breaks_but(*ranges: tuple[int, int]) -> np.ndarray:
+    """Marks of the bytes that end a word: all below 0x80 outside `ranges` (both ends included)."""
+    out = np.zeros(256, dtype=bool)
+    out[:0x80] = True
+    for first, last in ranges:
+        out[first : last + 1] = False
+    return out
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:

@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 from .dedup import op3_minhash_bayes
+from .divergence import ORACLE as DIVERGENCE_ORACLE
+from .divergence import op13_count_columns
 from .hamming import ORACLE as HAMMING_ORACLE
 from .hamming import op1_multi_index_hashing
 from .langid import op6_crf_language
+from .lexical import ORACLE as LEXICAL_ORACLE
+from .lexical import op11_impact_postings
 from .lm_score import op8_context_tree
+from .mixing import ORACLE as MIXING_ORACLE
+from .mixing import op12_capped_water_filling
 from .nbest import op10_nbest_segmentation
 from .packing import op9_best_two_fit
 from .permutation_index import op5_permutation_index
@@ -26,8 +32,14 @@ QUERIES = {
     "op8_context_tree": op8_context_tree,
     "op9_best_two_fit": op9_best_two_fit,
     "op10_nbest_segmentation": op10_nbest_segmentation,
+    "op11_impact_postings": op11_impact_postings,
+    "op12_capped_water_filling": op12_capped_water_filling,
+    "op13_count_columns": op13_count_columns,
 }
 ORACLES: dict[str, str] = {
     "op1_multi_index_hashing": HAMMING_ORACLE,
     "op7_ownership_frequency": SECRETS_ORACLE,
+    "op11_impact_postings": LEXICAL_ORACLE,
+    "op12_capped_water_filling": MIXING_ORACLE,
+    "op13_count_columns": DIVERGENCE_ORACLE,
 }
