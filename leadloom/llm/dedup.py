@@ -6,11 +6,11 @@
 3. Proposed pairs are compared by batches of the sketch; a pair goes as soon as the posterior probability
    of its similarity reaching the threshold is below the chosen miss probability.
 4. Survivors are confirmed on their full shingle sets, and links give components.
-5. Only buckets that still hold several components propose pairs again, across components. There a pair must
-   also pass an exact bound: confirming a pair with its leader leaves bitmaps of what the node adds to the
-   leader's set and what it lacks of it, and these bound the intersection of any two nodes with one leader from
-   above. So the members of a large group that fall just short of the threshold leave no pairs behind, and no
-   link is lost.
+5. Buckets that still hold several components propose pairs again, across components: all pairs where the bucket
+   is small. In a large one each member's set is held against the smallest set of the bucket. Two members that link,
+   not both with that one, must share shingles that it lacks, and so one of few keys among these; members with a
+   common key are the next groups, treated alike. Members that share a long passage and nothing else leave no pairs,
+   in whatever number, and no link is lost.
 """
 
 from __future__ import annotations
@@ -21,18 +21,15 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, mix64, read_table, shingle_hashes, word_hashes
 
 HASHES, BANDS = 128, 32
 SKETCH = [f"s{i}" for i in range(HASHES // 16)]
-#: 64-bit parts of the bitmaps of differences from a leader.
-PARTS = 8
-MORE = [f"m{i}" for i in range(PARTS)]
-LESS = [f"l{i}" for i in range(PARTS)]
-DIFF = ["n_more", "n_less", *MORE, *LESS]
+#: Groups of so many nodes propose all their pairs across components; larger ones go by a reference.
+SMALL_GROUP = 8
 #: Hashes compared before each pruning decision.
 BATCH = 32
 #: Wanted texts are found by a broadcast of up to so many keys (24 bytes each), beyond that by a shuffle.
@@ -157,50 +154,38 @@ def plausible_sql(per_cent: int, miss: float) -> str:
 # Exact confirmation and components
 
 
-def _bitmap(shingles: np.ndarray) -> np.ndarray:
-    """A bit for each shingle, by its lowest bits."""
-    bits = np.zeros(PARTS * 64, np.uint8)
-    bits[(shingles & np.uint64(PARTS * 64 - 1)).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").view(np.int64)
-
-
 def _confirm(width: int, per_cent: int):
-    """Of pairs (a, b) with their texts: whether the sets reach the similarity, and how b's set differs from a's."""
+    """Of pairs (a, b) with their texts: whether the sets reach the similarity, and keys of what b's set adds to a's.
+
+    Any set that b links with, a being the smallest of all and not linking both, shares with b at least
+    max(1, per_cent of b's size - shingles common with a) of the shingles that a lacks. So in any fixed order, here that of the
+    hashes, one of the first (added - that number + 1) is among them: these are the keys.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             left, right = batch.column(2), batch.column(3)
-            linked, diffs = [], np.zeros((len(a), len(DIFF)), np.int64)
+            linked, keys = [], []
             for i, node in enumerate(a):
                 if node not in known:
                     if len(known) >= 64:
                         known.clear()
                     known[node] = _sets([left[i].as_py().encode()], width)[0]
                 one, two = known[node], _sets([right[i].as_py().encode()], width)[0]
-                more, less = np.setdiff1d(two, one, assume_unique=True), np.setdiff1d(one, two, assume_unique=True)
+                more = np.setdiff1d(two, one, assume_unique=True)
                 both = len(two) - len(more)
-                linked.append(100 * both >= per_cent * (both + len(more) + len(less)))
-                diffs[i] = [len(more), len(less), *_bitmap(more), *_bitmap(less)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked), *(pa.array(diffs[:, k]) for k in range(len(DIFF)))], ["a", "b", "linked", *DIFF])
+                linked.append(100 * both >= per_cent * (len(one) + len(more)))
+                shared = max(1, -(-per_cent * len(two) // 100) - both)
+                keys.append(more[: max(0, len(more) - shared + 1)].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked), pa.array(keys, pa.list_(pa.int64()))], ["a", "b", "linked", "keys"])
 
     return run
 
 
-def _overlap_sql() -> str:
-    """SQL over aliases x and y with one leader: no fewer than the shingles their sets share.
-
-    Inside the leader's set both lack what either lacks; outside it they share added shingles. Shared shingles
-    are at most the shared bits and the bits that one node's own shingles double.
-    """
-    shared = lambda cols: " + ".join(f"bit_count(x.{c} & y.{c})" for c in cols)
-    double = lambda n, cols: "least(" + ", ".join(f"{t}.{n} - ({' + '.join(f'bit_count({t}.{c})' for c in cols)})" for t in "xy") + ")"
-    return f"(x.n_shingles - x.n_more - y.n_less + {shared(LESS)} + {double('n_less', LESS)} + {shared(MORE)} + {double('n_more', MORE)})"
-
-
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, per_cent: int) -> DataFrame:
-    """(a, b, linked, differences) of every pair, by its full shingle sets. Only the texts of nodes in pairs move."""
+    """(a, b, linked, keys) of every pair, by its full shingle sets. Only the texts of nodes in pairs move."""
     wanted = materialize(
         pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct().join(nodes.select("nid", F.col("rep").alias("w_id"), F.col("text_key").alias("w_key")), "nid"), "wanted"
     )
@@ -212,8 +197,7 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int,
     texts = materialize(texts, "texts")
     left = pairs.join(texts.withColumnRenamed("nid", "a").withColumnRenamed("text", "t"), "a")
     both = left.join(texts.withColumnRenamed("nid", "b").withColumnRenamed("text", "u"), "b").select("a", "b", "t", "u")
-    schema = "a long, b long, linked boolean, " + ", ".join(f"{c} long" for c in DIFF)
-    return materialize(both.mapInArrow(_confirm(width, per_cent), schema), "links")
+    return materialize(both.mapInArrow(_confirm(width, per_cent), "a long, b long, linked boolean, keys array<long>"), "links")
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -235,6 +219,13 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def _plausible(pairs: DataFrame, sketches: DataFrame, test: Column) -> DataFrame:
+    """The pairs (a, b) that the sizes and the sequential test of the sketches leave."""
+    x = pairs.join(sketches.withColumnRenamed("nid", "a"), "a").alias("x")
+    y = sketches.withColumnRenamed("nid", "b").alias("y")
+    return x.join(y, (F.col("x.b") == F.col("y.b")) & test).select(F.col("x.a").alias("a"), F.col("x.b").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80, miss: float = 1e-6) -> DataFrame:
     """Near-duplicate components of whole texts: doc_id, n_shingles, component_id, kept.
 
@@ -263,27 +254,39 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80, miss: f
     test = F.expr(plausible_sql(per_cent, miss))
 
     stars = members.where("a <> nid").select("a", F.col("nid").alias("b")).distinct()
-    x = stars.join(sketches.withColumnRenamed("nid", "a"), "a").alias("x")
-    y = sketches.withColumnRenamed("nid", "b").alias("y")
-    near = x.join(y, (F.col("x.b") == F.col("y.b")) & test).select(F.col("x.a").alias("a"), F.col("x.b").alias("b"))
-    near = materialize(near, "near")
+    near = materialize(_plausible(stars, sketches, test), "near")
     tested = _confirmed(near, nodes, docs, width, per_cent)
     links = tested.where("linked").select("a", "b")
     labels = components(links)
 
-    zero = [F.lit(0).cast("long").alias(c) for c in DIFF]
-    of_leader = tested.select(F.col("b").alias("nid"), F.col("a").alias("ref"), *DIFF).union(tested.select(F.col("a").alias("nid"), F.col("a").alias("ref"), *zero))
-    of_leader = of_leader.groupBy("nid").agg(F.min(F.struct("ref", *DIFF)).alias("d")).select("nid", "d.*")
-    detail = materialize(sketches.join(of_leader, "nid", "left"), "detail")
-    at = members.select("bucket", "nid").join(labels, "nid", "left").select("bucket", "nid", F.coalesce("comp", "nid").alias("comp"))
-    at = materialize(at, "at")
-    mixed = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-    mixed = materialize(at.join(materialize(mixed, "mixed"), "bucket").join(detail, "nid"), "left")
-    x, y = mixed.alias("x"), mixed.alias("y")
-    possible = F.expr(f"NOT coalesce(x.ref = y.ref AND {100 + per_cent} * {_overlap_sql()} < {per_cent} * (x.n_shingles + y.n_shingles), false)")
-    more = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") < F.col("y.comp")) & test & possible)
-    more = more.select(F.col("x.nid").alias("p"), F.col("y.nid").alias("q")).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-    more = materialize(more.join(near, ["a", "b"], "left_anti"), "more")
+    # Groups whose members stand in several components. Small ones propose their pairs. The members of a large one are
+    # held against its smallest set, and those that a key of their additions joins are the next groups.
+    groups, small = members.select(F.lit(0).cast("long").alias("ref"), F.col("bucket").alias("part"), "nid"), []
+    exact = None
+    while True:
+        at = groups.join(nodes.select("nid", "n_shingles"), "nid").join(labels, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
+        at = materialize(at, "at")
+        mixed = at.groupBy("ref", "part").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("n_shingles", "nid")).alias("least"))
+        mixed = materialize(mixed.where("lo < hi").select("ref", "part", "n", F.col("least.nid").alias("a")), "mixed")
+        few = at.join(mixed.where(F.col("n") <= SMALL_GROUP), ["ref", "part"])
+        x, y = few.alias("x"), few.alias("y")
+        pairs = x.join(y, (F.col("x.ref") == F.col("y.ref")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.comp") < F.col("y.comp")))
+        small.append(materialize(pairs.select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct(), "small"))
+        many = at.join(mixed.where(F.col("n") > SMALL_GROUP), ["ref", "part"]).where("a <> nid")
+        many = materialize(many.select("a", F.col("nid").alias("b")).distinct(), "many")
+        if many.limit(1).count() == 0:
+            break
+        fresh = many if exact is None else many.join(exact.select("a", "b"), ["a", "b"], "left_anti")
+        now = _confirmed(fresh, nodes, docs, width, per_cent)
+        exact = now if exact is None else exact.union(now)
+        links = links.union(now.where("linked").select("a", "b"))
+        labels = components(links)
+        groups = many.join(exact, ["a", "b"]).select(F.col("a").alias("ref"), F.explode("keys").alias("part"), F.col("b").alias("nid"))
+    now = labels.select("nid", "comp")
+    more = reduce(DataFrame.union, small).distinct().join(near, ["a", "b"], "left_anti")
+    more = more.join(now.select(F.col("nid").alias("a"), F.col("comp").alias("of_a")), "a", "left").join(now.select(F.col("nid").alias("b"), F.col("comp").alias("of_b")), "b", "left")
+    more = more.where(~F.col("of_a").eqNullSafe(F.col("of_b")) | F.col("of_a").isNull()).select("a", "b")
+    more = materialize(_plausible(more, sketches, test), "more")
     if more.limit(1).count():
         links = links.union(_confirmed(more, nodes, docs, width, per_cent).where("linked").select("a", "b"))
         labels = components(links)
