@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..names import free_names
 from .common import read_table, word_hashes
 
 #: Labelled texts of each language to fit on, in expectation.
@@ -298,7 +299,8 @@ def identify(docs: DataFrame, training: Column, per_language: int = PER_LANGUAGE
     model = docs.sparkSession.sparkContext.broadcast(crf)
     kept = docs.drop("lang_pred", "score")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    given = kept.select("*", F.col("text").cast("string").alias("__text"))
+    (text,) = free_names(kept.columns, "text_read")
+    given = kept.select("*", F.col("text").cast("string").alias(text))
     return given.mapInArrow(_predict(model, len(kept.columns)), f"{schema}, lang_pred string, score double")
 
 
