@@ -30,6 +30,7 @@ STEP_BYTES = 4_000_000
 #: Sources on one side of a block of pairs: a block's sums take 8 MB at most.
 SOURCE_BLOCK = 512
 #: Groups the report may have; it has a row for every pair of a language's groups, so far fewer already fill a disk.
+#: Tables of groups are broadcast behind this check.
 MAX_GROUPS = 1_000_000
 #: Counts from here on no longer fit a product with SCALE in 64 bits.
 _WIDE = 9_000_000_000
@@ -173,9 +174,9 @@ def source_divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top_terms:
         first.setdefault(lang_of[lang], gid)
     table = spark.createDataFrame([(gid, lang_of[lang], gid - first[lang_of[lang]], lang, source) for gid, (lang, source) in enumerate(names)], "gid long, lang_id long, number int, lang string, source string")
 
-    texts = given.join(table, ["lang", "source"]).select("gid", "text")
+    texts = given.join(F.broadcast(table), ["lang", "source"]).select("gid", "text")
     counts = texts.mapInArrow(_counted, "gid long, term string, n long, docs long").where("term IS NOT NULL").groupBy("gid", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    counts = counts.join(table.select("gid", "lang_id", "number"), "gid")
+    counts = counts.join(F.broadcast(table.select("gid", "lang_id", "number")), "gid")
     terms = counts.groupBy("lang_id", "term").agg(F.sum("docs").alias("docs"), F.array_sort(F.collect_list(F.struct("number", "n"))).alias("column"))
     terms = materialize(terms.where(F.col("docs") >= least_docs).select("lang_id", "term", "column"), "terms")
     columns = materialize(terms.groupBy("lang_id", "column").agg(F.count("*").alias("times")), "columns")
@@ -188,7 +189,7 @@ def source_divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top_terms:
     zero = {k: shares(np.zeros(len(t), np.int64), t) for k, t in totals.items()}
 
     # Pairs: every column once for each pair of blocks that holds a count of it; with one block, that is once.
-    whole = columns.join(spark.createDataFrame([(k, -(-w // SOURCE_BLOCK)) for k, w in width.items()], "lang_id long, blocks int"), "lang_id")
+    whole = columns.join(F.broadcast(spark.createDataFrame([(k, -(-w // SOURCE_BLOCK)) for k, w in width.items()], "lang_id long, blocks int")), "lang_id")
     one = whole.where("blocks = 1").select("lang_id", F.lit(0).alias("i"), F.lit(0).alias("j"), "column", "times")
     cells = F.expr(f"filter(flatten(transform(sequence(0, blocks - 1), i -> transform(sequence(i, blocks - 1), j -> named_struct('i', i, 'j', j)))), b -> exists(column, c -> c.number div {SOURCE_BLOCK} IN (b.i, b.j)))")
     many = whole.where("blocks > 1").select("lang_id", "column", "times", F.explode(cells).alias("b")).select("lang_id", "b.i", "b.j", F.expr(f"filter(column, c -> c.number div {SOURCE_BLOCK} IN (b.i, b.j))").alias("column"), "times")
@@ -205,7 +206,7 @@ def source_divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top_terms:
     # Terms: the value of a column for each source that has a count in it.
     wide = lambda c: f"cast({c} AS decimal(38, 0))"
     sizes = spark.createDataFrame([(first[k] + i, k, i, int(t), int(totals[k].sum() - len(totals[k]) * kept[k] + kept[k])) for k in totals for i, t in enumerate(totals[k])], "gid long, lang_id long, number int, size long, lang_size long")
-    each = columns.select("lang_id", "column", "times", F.expr("aggregate(column, 0L, (a, c) -> a + c.n)").alias("all"), F.explode("column").alias("c")).select("*", "c.number", "c.n").join(sizes, ["lang_id", "number"])
+    each = columns.select("lang_id", "column", "times", F.expr("aggregate(column, 0L, (a, c) -> a + c.n)").alias("all"), F.explode("column").alias("c")).select("*", "c.number", "c.n").join(F.broadcast(sizes), ["lang_id", "number"])
     each = each.withColumn("p", F.expr(f"1 + {SCALE} * {wide('n + 1')} div size")).withColumn("q", F.expr(f"1 + {SCALE} * {wide('all + 1')} div lang_size"))
     each = each.where("p > q").select("gid", "lang_id", "column", "times", F.expr("(p - q) * (p - q) div q").cast("long").alias("value"))
     best = each.withColumn("r", F.rank().over(Window.partitionBy("gid").orderBy(F.desc("value")))).where(F.col("r") <= top_terms).select("gid", "lang_id", "column", "value")
@@ -213,7 +214,7 @@ def source_divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top_terms:
 
     order = Window.partitionBy("gid").orderBy(F.desc("value"), "item")
     ranked = pairs.withColumn("rank", F.row_number().over(order)).unionByName(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_terms))
-    return ranked.join(table, "gid").select("lang", "source", "part", "item", "value", "rank")
+    return ranked.join(F.broadcast(table), "gid").select("lang", "source", "part", "item", "value", "rank")
 
 
 def op13_count_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
