@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Profile
 from ..functions import contacts, dates, labels, markup, quantity, strings
 from . import matching
+from .scans import running_sums
 
 CANDIDATE, AWARENESS = "requirement_candidate", "awareness"
 
@@ -51,14 +52,15 @@ def outcomes(
 
     links (id, url, link_reason), articles (url, article_ok, host, html, text, article_reason), answers (id, answer_ok, is_requirement,
     confidence, organisation, said_site, requirement, quantity, deadline, answer_reason) and site_contacts (site, contact_ok, phone, email,
-    name, contact_reason) hold one row of each key; what is missing there was not fetched. Only candidates are joined, and these are
-    the first few of a run (ranking.signals), so that the window which counts articles against the cap is small.
+    name, contact_reason) hold one row of each key; what is missing there was not fetched. Only candidates are joined. Articles are
+    counted against the cap by running sums over the candidates' places, however many there are; places must tell candidates apart.
     """
     waiting = signals.where(F.col("tier") == CANDIDATE)
     yes = lambda name: F.coalesce(F.col(name), F.lit(False))
     read = waiting.join(links, "id", "left").join(articles, "url", "left")
-    before = F.count(F.when(yes("article_ok"), 1)).over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
-    met = read.withColumn("reads_before", before).join(answers, "id", "left")
+    own = yes("article_ok").cast("long")
+    counted = running_sums(read, [F.asc("place"), F.asc("id")], {"reads_before": own})
+    met = counted.withColumn("reads_before", F.col("reads_before") - own).join(answers, "id", "left")
     site = labels.site_from_article(markup.links(F.col("html")), F.col("host"), F.col("organisation"), F.col("said_site"), refused)
     met = met.withColumn("site", site).join(site_contacts, "site", "left")
     worded = F.coalesce(matching.mentions(F.col("text"), list(profile.requirement_words)), F.lit(False))

@@ -5,9 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import ordinals
+
 
 def diversified(leads: DataFrame, score: str = "score", group: str = "segment", tie: str = "id") -> DataFrame:
-    """Adds turn: a lead's place in its group. Ordered by score, turn and tie, equal scores take turns between groups."""
+    """Adds turn: a lead's place in its group. Ordered by score, turn and tie, equal scores take turns between groups.
+
+    Groups are few and hold the whole register, so places are counted over ranges of the order and no task holds a group.
+    """
+    return ordinals(leads, [F.desc(score), F.asc(tie)], "turn", [group])
+
+
+def diversified_few(leads: DataFrame, score: str = "score", group: str = "segment", tie: str = "id") -> DataFrame:
+    """diversified() of a list that a limit has bounded: one window."""
     return leads.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), tie)))
 
 
@@ -27,7 +37,7 @@ def capped(leads: DataFrame, limit: int, share: float = 0.2, score: str = "score
     both = reserved.withColumn("turn", F.lit(0)).withColumn("__late", F.lit(0)).unionByName(best.withColumn("__late", F.lit(1)))
     fill = both.orderBy("__late", *diversified_order(score, tie)).limit(limit).where("__late = 1")
     chosen = reserved.unionByName(fill.select(*leads.columns))
-    return diversified(chosen, score, group, tie).orderBy(*diversified_order(score, tie)).limit(limit).drop("turn")
+    return diversified_few(chosen, score, group, tie).orderBy(*diversified_order(score, tie)).limit(limit).drop("turn")
 
 
 def top_per(rows: DataFrame, by: list[str], order: list, k: int, name: str = "place") -> DataFrame:
@@ -42,17 +52,20 @@ def first_per(rows: DataFrame, by: list[str], order: list) -> DataFrame:
 def section_labels(rows: DataFrame, prefixes: dict[str, str], caps: dict[str, int], kind: str = "kind", score: str = "score", tie: str = "id") -> DataFrame:
     """Label R1, L1, G1 ... of the shown leads of each section."""
     letter = F.create_map(*[F.lit(x) for kv in prefixes.items() for x in kv])[F.col(kind)]
-    cap = F.create_map(*[F.lit(x) for kv in caps.items() for x in kv])[F.col(kind)]
-    placed = rows.where(F.col(kind).isin(*prefixes)).withColumn("place", F.row_number().over(Window.partitionBy(kind).orderBy(F.desc(score), tie)))
+    placed, cap = _shown(rows.where(F.col(kind).isin(*prefixes)), caps, kind, score, tie)
     return placed.where(F.col("place") <= cap).withColumn("label", F.concat(letter, F.col("place").cast("string")))
 
 
+def _shown(rows: DataFrame, caps: dict[str, int], kind: str, score: str, tie: str) -> tuple[DataFrame, Column]:
+    """The first rows of each kind, no more than the largest cap, limited in every task before the shuffle; and each row's cap."""
+    cap = F.create_map(*[F.lit(x) for kv in caps.items() for x in kv])[F.col(kind)]
+    return top_per(rows, [kind], [F.desc(score), tie], max(caps.values(), default=0)), cap
+
+
 def cutoffs(rows: DataFrame, caps: dict[str, int], kind: str = "kind", score: str = "score", tie: str = "id") -> DataFrame:
     """The score of the last shown lead of each section; 0 where the section is not full."""
-    cap = F.create_map(*[F.lit(x) for kv in caps.items() for x in kv])[F.col(kind)]
-    placed = rows.where(F.col(kind).isin(*caps)).withColumn("place", F.row_number().over(Window.partitionBy(kind).orderBy(F.desc(score), tie)))
-    last = placed.where(F.col("place") <= cap)
-    return last.groupBy(kind).agg(F.coalesce(F.max(F.when(F.col("place") == cap, F.col(score))), F.lit(0)).alias("cutoff"))
+    placed, cap = _shown(rows.where(F.col(kind).isin(*caps)), caps, kind, score, tie)
+    return placed.groupBy(kind).agg(F.coalesce(F.max(F.when(F.col("place") == cap, F.col(score))), F.lit(0)).alias("cutoff"))
 
 
 def top_with_rest(counts: DataFrame, key: str, n: str, k: int) -> DataFrame:

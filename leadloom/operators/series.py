@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates
+from ..names import free_names
 from .ranking import first_per
+from .scans import running_sums
 
 
 def count_by(rows: DataFrame, key: Column, name: str = "key") -> DataFrame:
@@ -85,12 +87,18 @@ def open_window(messages: DataFrame, sender: str, at: str, now: Column, hours: i
 
 
 def admitted(calls: DataFrame, day: str, order: list[str], cost: str, estimate: str, cap: float) -> DataFrame:
-    """Calls in order until the first whose estimate no longer fits the day's cap beside what was spent before."""
-    w = Window.partitionBy(day).orderBy(*order)
-    before = F.coalesce(F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    fits = before + F.col(estimate) <= cap
-    stopped = F.max(F.when(~fits, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return calls.withColumn("spent_before", before).withColumn("admitted", stopped == 0)
+    """Calls in order until the first whose estimate no longer fits the day's cap beside what was spent before.
+
+    Spending is summed over ranges of the order and the first refusal of a day is an aggregate, so a day of any size is
+    spread over tasks. `order` must tell the calls of a day apart; a null cost or estimate counts as nothing.
+    """
+    key, *_ = free_names(calls.columns, "first_refused")
+    summed = running_sums(calls, [F.asc(c) for c in order], {"spent_before": F.col(cost)}, [day])
+    summed = summed.withColumn("spent_before", F.col("spent_before") - F.coalesce(cost, F.lit(0)))
+    refused = F.col("spent_before") + F.coalesce(estimate, F.lit(0)) > cap
+    first = summed.where(refused).groupBy(F.col(day).alias(f"{key}_day")).agg(F.min(F.struct(*order)).alias(key))
+    met = summed.join(first, F.col(day).eqNullSafe(F.col(f"{key}_day")), "left")
+    return met.withColumn("admitted", F.col(key).isNull() | (F.struct(*order) < F.col(key))).drop(key, f"{key}_day")
 
 
 def enrich_reason(cache_hit: Column, has_text: Column, segment: Column, size: Column, score: Column, cutoff: Column, kind: Column, deadline: Column, band: int = 10) -> Column:

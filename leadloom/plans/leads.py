@@ -44,7 +44,7 @@ cap AS (SELECT * FROM spread ORDER BY score DESC, turn, id LIMIT 100)"""
 def ranked_register(spark, d):
     """The capped, diversified short list: scan, join, rules, windows, limit."""
     kept = ranking.capped(scored(spark, d), 100)
-    return ranking.diversified(kept).select("id", "segment", "source", "score", "turn").orderBy(*ranking.diversified_order())
+    return ranking.diversified_few(kept).select("id", "segment", "source", "score", "turn").orderBy(*ranking.diversified_order())
 
 
 @query("{L} SELECT id, p_segment, p_contact, p_recency, p_city, p_detail, p_penalty, score FROM leads")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import Profile
 from ..functions import contacts, labels, markup
-from ..operators import changes, openings, ranking, series
+from ..operators import changes, openings, ranking, scans, series
 from ..sources import candidates
 from .leads import scored
 from .tables import REGISTER_SQL, read, register
@@ -55,16 +55,15 @@ def plain_reads(spark, d):
     return rows.withColumn("g", gate).select("id", "r.quantity", "r.deadline", "g.needed", "g.reason")
 
 
-_CANDIDATES, _CAP = 400, 60
+_CAP = 60
 
 
 def _signals(spark, d):
     """Leads as signals in the order they are read, with what was fetched for them by fixed rules of the key."""
     key = F.col("id")
     rows = scored(spark, d).select("id", "kind", "name", "score", "segment", F.when(key % 4 == 0, "requirement_candidate").otherwise("awareness").alias("tier"), F.lit("https://paper.example/x").alias("url"))
-    first = rows.where("tier = 'requirement_candidate'").orderBy(F.desc("score"), "id").limit(_CANDIDATES)
-    placed = first.withColumn("place", F.row_number().over(ranking.Window.orderBy(F.desc("score"), "id")))  # at most _CANDIDATES rows
-    signals = placed.unionByName(rows.where("tier <> 'requirement_candidate'").withColumn("place", F.lit(None).cast("int"))).select("id", "place", "tier")
+    placed = scans.ordinals(rows.where("tier = 'requirement_candidate'"), [F.desc("score"), F.asc("id")])
+    signals = placed.unionByName(rows.where("tier <> 'requirement_candidate'").withColumn("place", F.lit(None).cast("long"))).select("id", "place", "tier")
     u = F.concat(F.lit("https://paper.example/"), key.cast("string"))
     ids = rows.select("id", "name")
     links = ids.select("id", F.when(key % 5 != 0, u).alias("url"), F.when(key % 5 == 0, "robots").alias("link_reason"))
@@ -82,7 +81,7 @@ def _signals(spark, d):
     return openings.outcomes(signals, links, articles, answers, met, PROFILE, _CAP)
 
 
-_OUTCOMES = f"""{{L}}, c AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS place FROM leads WHERE id % 4 = 0 ORDER BY place LIMIT {_CANDIDATES}),
+_OUTCOMES = f"""{{L}}, c AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS place FROM leads WHERE id % 4 = 0),
 o AS (SELECT id, CASE WHEN coalesce(sum(CASE WHEN id % 3 <> 0 AND id % 5 <> 0 THEN 1 ELSE 0 END) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= {_CAP} THEN 'capped' WHEN id % 5 = 0 THEN 'link_unresolved'
   WHEN id % 3 = 0 THEN 'article_skipped' WHEN id % 11 = 0 THEN 'not_needed' WHEN id % 13 = 0 THEN 'no_answer' WHEN id % 17 = 0 THEN 'no_requirement' WHEN id % 19 = 0 THEN 'below_gate' WHEN id % 7 = 0 THEN 'no_site' WHEN id % 23 = 0 THEN 'no_contact' ELSE 'upgraded' END AS outcome FROM c
   UNION ALL SELECT id, 'awareness' FROM leads WHERE id % 4 <> 0)"""
