@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, hashing, strings
 from ..operators import dedupe, series
+from ..streaming import register as stream_register
 from ..streaming import replay
 from .tables import read
 
@@ -122,3 +125,23 @@ def hourly_windows(spark, d):
 def streaming_idempotent_counts(spark, d):
     """A replay of the log through the streaming ingest: every (sender, status) counts once."""
     return replay.idempotent_counts(spark, f"{d}/events.parquet")
+
+
+@query("""WITH s AS (SELECT 'u' || user_id AS key, ts, CASE WHEN event_type IN ('click', 'purchase') THEN event_type END AS status FROM events)
+SELECT key, CAST(count(*) AS BIGINT) AS sightings, max(ts) AS last_seen, (list(status ORDER BY ts DESC, status DESC) FILTER (status IS NOT NULL))[1] AS status, max(ts) + INTERVAL 5 DAY <= (SELECT max(ts) FROM s) - INTERVAL 1 DAY AS quiet FROM s GROUP BY key""")
+def running_register(spark, d):
+    """Users as leads: a stream over the log keeps each one's state, and tells who was not seen for five days."""
+    seen = read(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("key"), F.col("ts").cast("timestamp").alias("at"), F.when(F.col("event_type").isin("click", "purchase"), F.col("event_type")).alias("status"))
+    return replay.running_register(seen, "1 day", datetime.timedelta(days=5)).select("key", "sightings", "last_seen", "status", "quiet")
+
+
+@query("""WITH a AS (SELECT event_id AS message, ts FROM events WHERE event_id % 3 = 0), f AS (SELECT event_id - event_id % 3 + CASE WHEN event_id % 7 = 0 THEN 1000000 ELSE 0 END AS message, ts FROM events WHERE event_id % 3 > 0 AND event_type = 'error')
+SELECT message, CASE WHEN (SELECT min(f.ts) FROM f WHERE f.message = a.message AND f.ts BETWEEN a.ts AND a.ts + INTERVAL 2 DAY) IS NULL THEN 'sent' ELSE 'failed later' END AS state FROM a""")
+def late_failures(spark, d):
+    """Each third event as a message sent, the two after it as reports of it, some of none; errors make it fail later."""
+    key, at = F.col("event_id"), F.col("ts").cast("timestamp").alias("at")
+    events = read(spark, d, "events")
+    sent = events.where(key % 3 == 0).select(key.alias("message"), at)
+    reports = events.where(key % 3 > 0).select((key - key % 3 + F.when(key % 7 == 0, 1_000_000).otherwise(0)).alias("message"), F.when(F.col("event_type") == "error", "failed").otherwise("read").alias("status"), at)
+    failures = replay.late_failures(sent, reports, "1 day", "2 days")
+    return stream_register.corrected(sent.select("message", F.lit("sent").alias("state")), failures).select("message", "state")
