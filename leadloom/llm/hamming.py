@@ -5,10 +5,9 @@ exactly r from the query's. After it every code within m * (r + 1) - 1 of the qu
 segments: so a query is done as soon as its k-th verified distance is within that radius, and only the others go on. A
 pair is verified once, at the segment and radius where it is first met.
 
-Segments are about as wide as the logarithm of the number of codes, so that a value stays rare as the index grows: 16
-bits, and 32 from WIDE_CODES codes on. Radii of wide segments end at WIDE_RADIUS, where their values would become more
-than the codes; the queries that are not done by then, if any, go through the index of 16-bit segments, which always
-ends.
+Segments have 16 bits at every number of codes. A query sends C(16, r) probes a segment in round r, 6,885 up to radius 5,
+and a probe meets N / 2**16 codes where codes are random. Wider segments meet fewer codes a probe but need more probes
+and, as fewer segments cover less by the same radius, larger radii: of random codes none would end sooner.
 """
 
 from __future__ import annotations
@@ -22,8 +21,6 @@ from pyspark.sql import functions as F
 from .common import materialize, partition_count, read_table
 
 SEGMENT_BITS = 16
-#: Distinct codes from which on two segments are joined into one, and the last radius of these.
-WIDE_CODES, WIDE_RADIUS = 1 << 24, 5
 #: Shares into which the ids of one code are dealt, to find its smallest ids without one task reading all.
 SHARES = (64, 8, 1)
 
@@ -57,34 +54,25 @@ def _distance(x: str, y: str, segment: str) -> Column:
     return F.bit_count(F.col(f"{x}.{segment}").bitwiseXOR(F.col(f"{y}.{segment}")))
 
 
-def _masks(radius: int, width: int) -> Column:
-    """All values of `width` bits with `radius` bits set. Of wide ones both halves are constants, combined row by row."""
-    values = lambda r: F.split(F.lit(",".join(str(sum(1 << b for b in c)) for c in combinations(range(SEGMENT_BITS), r))), ",").cast("array<bigint>")
-    if width == SEGMENT_BITS:
-        return values(radius)
+def _masks(radius: int) -> Column:
+    """All values of a segment with `radius` bits set."""
+    values = ",".join(str(sum(1 << b for b in c)) for c in combinations(range(SEGMENT_BITS), radius))
+    return F.split(F.lit(values), ",").cast("array<bigint>")
 
-    def joined(high: int) -> Column:
-        low = values(radius - high)
-        return F.flatten(F.transform(values(high), lambda h: F.transform(low, lambda x: x + h * (1 << SEGMENT_BITS))))
 
-    return F.concat(*map(joined, range(radius + 1)))
-
-
-def _rounds(asked: DataFrame, index: DataFrame, segments: list[str], width: int, need: int, last: int) -> tuple[DataFrame, DataFrame | None]:
-    """(qid, cid, first, n, d) of the queries that are done by radius `last`, and the queries that are not."""
-    per = width // SEGMENT_BITS
-    values = [reduce(lambda a, b: a + b, [F.col(s).cast("long") * (1 << SEGMENT_BITS * i) for i, s in enumerate(segments[at : at + per])]) for at in range(0, len(segments), per)]
+def _rounds(asked: DataFrame, index: DataFrame, segments: list[str], need: int) -> DataFrame:
+    """(qid, cid, first, n, d): the nearest codes of each query, by rounds until every query is done."""
+    values = [F.col(s).cast("long") for s in segments]
     m = len(values)
     keyed = lambda df: df.select("*", F.posexplode(F.array(*values)).alias("j", "value"))
     posted = materialize(keyed(index.select("cid", "first", "n", *segments)), "posted")
     active, best = asked, None
     finished: list[DataFrame] = []
     by_distance = Window.partitionBy("qid").orderBy("d", "first")
-    apart = [_distance("p", "x", s) for s in segments]
-    each = [reduce(lambda a, b: a + b, apart[at : at + per]) for at in range(0, len(apart), per)]
-    for radius in range(last + 1):
+    each = [_distance("p", "x", s) for s in segments]
+    for radius in range(SEGMENT_BITS + 1):
         # Dealt over all tasks before a query becomes thousands of probes.
-        probes = keyed(active.repartition(partition_count(asked.sparkSession), "qid")).withColumn("mask", F.explode(_masks(radius, width)))
+        probes = keyed(active.repartition(partition_count(asked.sparkSession), "qid")).withColumn("mask", F.explode(_masks(radius)))
         probes = probes.withColumn("value", F.col("value").bitwiseXOR(F.col("mask"))).drop("mask")
         # First met here: no segment is nearer than `radius`, and none before this one is as near.
         fresh = reduce(lambda a, b: a & b, [(d > radius) | ((d == radius) & (F.col("p.j") <= i)) for i, d in enumerate(each)])
@@ -95,13 +83,13 @@ def _rounds(asked: DataFrame, index: DataFrame, segments: list[str], width: int,
         ranked = both.withColumn("r", F.row_number().over(by_distance)).where(F.col("r") <= need).drop("r")
         covered = m * (radius + 1) - 1
         enough = F.sum(F.when(F.col("d") <= covered, F.col("n")).otherwise(0)).over(Window.partitionBy("qid")) >= need
-        state = materialize(ranked.withColumn("done", enough if radius < width else F.lit(True)), f"round{radius}")
+        state = materialize(ranked.withColumn("done", enough if radius < SEGMENT_BITS else F.lit(True)), f"round{radius}")
         finished.append(state.where("done").drop("done"))
         best = state.where("not done").drop("done")
         active = materialize(active.join(state.where("done").select("qid").distinct(), "qid", "left_anti"), f"active{radius}")
         if active.limit(1).count() == 0:
-            return reduce(DataFrame.unionByName, finished), None
-    return reduce(DataFrame.unionByName, finished), active
+            break
+    return reduce(DataFrame.unionByName, finished)
 
 
 def exact_nearest(queries: DataFrame, codes: DataFrame, bits: int, k: int = 20) -> DataFrame:
@@ -115,11 +103,7 @@ def exact_nearest(queries: DataFrame, codes: DataFrame, bits: int, k: int = 20)
     need = k + 1  # the query itself is among the ids
     index = materialize(_smallest_ids(codes, segments, need).withColumn("cid", F.monotonically_increasing_id()), "codes")
     asked = materialize(queries.select(*segments).distinct().withColumn("qid", F.monotonically_increasing_id()), "asked")
-    wide = index.count() >= WIDE_CODES and len(segments) % 2 == 0
-    found, active = _rounds(asked, index, segments, 2 * SEGMENT_BITS, need, WIDE_RADIUS) if wide else (None, asked)
-    if active is not None:
-        rest, _ = _rounds(active, index, segments, SEGMENT_BITS, need, SEGMENT_BITS)
-        found = rest if found is None else found.unionByName(rest)
+    found = _rounds(asked, index, segments, need)
     # The ids of each query code's nearest codes: at most k + 1 codes of at most k + 1 ids each.
     ids = found.join(index.select("cid", "ids"), "cid").groupBy("qid").agg(F.collect_list(F.struct("d", "ids")).alias("near"))
     pairs = F.array_sort(F.flatten(F.transform("near", lambda x: F.transform(x["ids"], lambda i: F.struct(x["d"].alias("d"), i.alias("id"))))))
