@@ -5,9 +5,9 @@ exactly r from the query's. After it every code within m * (r + 1) - 1 of the qu
 segments: so a query is done as soon as its k-th verified distance is within that radius, and only the others go on. A
 pair is verified once, at the segment and radius where it is first met.
 
-Segments have 16 bits at every number of codes. A query sends C(16, r) probes a segment in round r, 6,885 up to radius 5,
-and a probe meets N / 2**16 codes where codes are random. Wider segments meet fewer codes a probe but need more probes
-and, as fewer segments cover less by the same radius, larger radii: of random codes none would end sooner.
+Segments have 16 bits at every number of codes. Four of them cover distance 23 with 27,540 probes a query, which meet 0.42 of
+random codes; three of 21 and 22 bits would cover it with 677,480 probes that meet 0.26 of them. Random codes of 64
+bits have no near neighbours; codes that do end in the first rounds, at 68 to 548 probes.
 """
 
 from __future__ import annotations

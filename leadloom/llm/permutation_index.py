@@ -27,7 +27,7 @@ PIVOTS, SAMPLE = 256, 8
 #: Share of the files that a query reads. Vectors without clusters need this much; clustered ones far less.
 READ_SHARE = 0.72
 #: Slices of the index at least, and vectors of a slice on average at most; queries of a block.
-SHELVES, SHELF_ROWS, BLOCK_QUERIES = 16, 4_000_000, 4096
+SHELVES, SHELF_ROWS, BLOCK_QUERIES = 16, 4_000_000, 32_768
 #: Vectors that a query reranks by the exact inner product, dealt over the shelves.
 RERANK = 1024
 #: Cells of a distance table that a worker fills at a time.
