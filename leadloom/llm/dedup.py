@@ -6,11 +6,12 @@
 3. Proposed pairs are compared by batches of the sketch; a pair goes as soon as the posterior probability
    of its similarity reaching the threshold is below the chosen miss probability.
 4. Survivors are confirmed on their full shingle sets, and links give components.
-5. Buckets that still hold several components propose pairs again, across components: all pairs where the bucket
-   is small. In a large one each member's set is held against the smallest set of the bucket. Two members that link,
-   not both with that one, must share shingles that it lacks, and so one of few keys among these; members with a
-   common key are the next groups, treated alike. Members that share a long passage and nothing else leave no pairs,
-   in whatever number, and no link is lost.
+5. Buckets that still hold several components propose pairs again, each between a node outside the bucket's largest
+   component and any other. Where few are outside, at once. Else every member's set is held against the smallest set of
+   the bucket: two members that link, not both with that one, must share shingles that it lacks, and so one of few
+   keys among these. Members with a common key are compared, and a pair must also pass an exact bound: bitmaps of what
+   either adds to the smallest set and lacks of it bound their intersection from above. So members that share a long
+   passage and nothing else leave no pairs, in whatever number, and no link is lost.
 """
 
 from __future__ import annotations
@@ -28,8 +29,13 @@ from .common import materialize, mix64, read_table, shingle_hashes, word_hashes
 
 HASHES, BANDS = 128, 32
 SKETCH = [f"s{i}" for i in range(HASHES // 16)]
-#: Groups of so many nodes propose all their pairs across components; larger ones go by a reference.
-SMALL_GROUP = 8
+#: Buckets with so many nodes outside their largest component propose pairs at once; others go by a reference.
+FEW_OUTSIDE = 8
+#: 64-bit parts of the bitmaps of differences from a reference.
+PARTS = 8
+MORE = [f"m{i}" for i in range(PARTS)]
+LESS = [f"l{i}" for i in range(PARTS)]
+DIFF = ["n_more", "n_less", *MORE, *LESS]
 #: Hashes compared before each pruning decision.
 BATCH = 32
 #: Wanted texts are found by a broadcast of up to so many keys (24 bytes each), beyond that by a shuffle.
@@ -154,8 +160,26 @@ def plausible_sql(per_cent: int, miss: float) -> str:
 # Exact confirmation and components
 
 
+def _bitmap(shingles: np.ndarray) -> np.ndarray:
+    """A bit for each shingle, by its lowest bits."""
+    bits = np.zeros(PARTS * 64, np.uint8)
+    bits[(shingles & np.uint64(PARTS * 64 - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
+def _overlap_sql() -> str:
+    """SQL over aliases x and y with one reference: no fewer than the shingles their sets share.
+
+    Inside the reference's set both lack what either lacks; outside it they share added shingles. Shared shingles
+    are at most the shared bits and the bits that one node's own shingles double.
+    """
+    shared = lambda cols: " + ".join(f"bit_count(x.{c} & y.{c})" for c in cols)
+    double = lambda n, cols: "least(" + ", ".join(f"{t}.{n} - ({' + '.join(f'bit_count({t}.{c})' for c in cols)})" for t in "xy") + ")"
+    return f"(x.n_shingles - x.n_more - y.n_less + {shared(LESS)} + {double('n_less', LESS)} + {shared(MORE)} + {double('n_more', MORE)})"
+
+
 def _confirm(width: int, per_cent: int):
-    """Of pairs (a, b) with their texts: whether the sets reach the similarity, and keys of what b's set adds to a's.
+    """Of pairs (a, b) with their texts: whether the sets reach the similarity, how b's differs from a's, and keys of what it adds.
 
     Any set that b links with, a being the smallest of all and not linking both, shares with b at least
     max(1, per_cent of b's size - shingles common with a) of the shingles that a lacks. So in any fixed order, here that of the
@@ -167,25 +191,26 @@ def _confirm(width: int, per_cent: int):
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             left, right = batch.column(2), batch.column(3)
-            linked, keys = [], []
+            linked, keys, diffs = [], [], np.zeros((len(a), len(DIFF)), np.int64)
             for i, node in enumerate(a):
                 if node not in known:
                     if len(known) >= 64:
                         known.clear()
                     known[node] = _sets([left[i].as_py().encode()], width)[0]
                 one, two = known[node], _sets([right[i].as_py().encode()], width)[0]
-                more = np.setdiff1d(two, one, assume_unique=True)
+                more, less = np.setdiff1d(two, one, assume_unique=True), np.setdiff1d(one, two, assume_unique=True)
+                diffs[i] = [len(more), len(less), *_bitmap(more), *_bitmap(less)]
                 both = len(two) - len(more)
                 linked.append(100 * both >= per_cent * (len(one) + len(more)))
                 shared = max(1, -(-per_cent * len(two) // 100) - both)
                 keys.append(more[: max(0, len(more) - shared + 1)].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked), pa.array(keys, pa.list_(pa.int64()))], ["a", "b", "linked", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked), pa.array(keys, pa.list_(pa.int64())), *(pa.array(diffs[:, k]) for k in range(len(DIFF)))], ["a", "b", "linked", "keys", *DIFF])
 
     return run
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, per_cent: int) -> DataFrame:
-    """(a, b, linked, keys) of every pair, by its full shingle sets. Only the texts of nodes in pairs move."""
+    """(a, b, linked, keys, differences) of every pair, by its full shingle sets. Only the texts of nodes in pairs move."""
     wanted = materialize(
         pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct().join(nodes.select("nid", F.col("rep").alias("w_id"), F.col("text_key").alias("w_key")), "nid"), "wanted"
     )
@@ -197,7 +222,7 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int,
     texts = materialize(texts, "texts")
     left = pairs.join(texts.withColumnRenamed("nid", "a").withColumnRenamed("text", "t"), "a")
     both = left.join(texts.withColumnRenamed("nid", "b").withColumnRenamed("text", "u"), "b").select("a", "b", "t", "u")
-    return materialize(both.mapInArrow(_confirm(width, per_cent), "a long, b long, linked boolean, keys array<long>"), "links")
+    return materialize(both.mapInArrow(_confirm(width, per_cent), "a long, b long, linked boolean, keys array<long>, " + ", ".join(f"{c} long" for c in DIFF)), "links")
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -226,6 +251,29 @@ def _plausible(pairs: DataFrame, sketches: DataFrame, test: Column) -> DataFrame
     return x.join(y, (F.col("x.b") == F.col("y.b")) & test).select(F.col("x.a").alias("a"), F.col("x.b").alias("b"))
 
 
+def _mixed(groups: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (ref, part, nid, n_shingles, comp) of the groups (ref, part) that hold several components, each group of nodes once.
+
+    With the group's largest component (top), the number of nodes outside it, and the node of the smallest set (least).
+    """
+    at = groups.join(nodes.select("nid", "n_shingles"), "nid").join(labels, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
+    at = materialize(at, "at")
+    mark = lambda seed: F.bit_xor(F.xxhash64("nid", F.lit(seed)))
+    per = at.groupBy("ref", "part", "comp").agg(F.count("*").alias("n"), F.min(F.struct("n_shingles", "nid")).alias("least"), mark(1).alias("one"), mark(2).alias("two"))
+    whole = per.groupBy("ref", "part").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"), F.min("least").alias("least"), F.bit_xor("one").alias("one"), F.bit_xor("two").alias("two"))
+    # Groups of the same nodes have the same marks.
+    once = whole.where("comps > 1").groupBy("ref", "n", "one", "two").agg(F.min(F.struct("part", "top", "least")).alias("g"))
+    once = materialize(once.select("ref", "g.part", (F.col("n") - F.col("g.top.n")).alias("outside"), F.col("g.top.comp").alias("top"), F.col("g.least.nid").alias("least")), "mixed")
+    return at.join(once, ["ref", "part"])
+
+
+def _across(groups: DataFrame, test: Column) -> DataFrame:
+    """Pairs (a < b) of nodes of one group and different components that pass the test over x and y; x lies outside the largest component."""
+    x, y = groups.where("comp <> top").alias("x"), groups.alias("y")
+    met = x.join(y, (F.col("x.ref") == F.col("y.ref")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.comp") != F.col("y.comp")) & test)
+    return met.select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80, miss: float = 1e-6) -> DataFrame:
     """Near-duplicate components of whole texts: doc_id, n_shingles, component_id, kept.
 
@@ -259,34 +307,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80, miss: f
     links = tested.where("linked").select("a", "b")
     labels = components(links)
 
-    # Groups whose members stand in several components. Small ones propose their pairs. The members of a large one are
-    # held against its smallest set, and those that a key of their additions joins are the next groups.
-    groups, small = members.select(F.lit(0).cast("long").alias("ref"), F.col("bucket").alias("part"), "nid"), []
-    exact = None
-    while True:
-        at = groups.join(nodes.select("nid", "n_shingles"), "nid").join(labels, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
-        at = materialize(at, "at")
-        mixed = at.groupBy("ref", "part").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("n_shingles", "nid")).alias("least"))
-        mixed = materialize(mixed.where("lo < hi").select("ref", "part", "n", F.col("least.nid").alias("a")), "mixed")
-        few = at.join(mixed.where(F.col("n") <= SMALL_GROUP), ["ref", "part"])
-        x, y = few.alias("x"), few.alias("y")
-        pairs = x.join(y, (F.col("x.ref") == F.col("y.ref")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.comp") < F.col("y.comp")))
-        small.append(materialize(pairs.select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct(), "small"))
-        many = at.join(mixed.where(F.col("n") > SMALL_GROUP), ["ref", "part"]).where("a <> nid")
-        many = materialize(many.select("a", F.col("nid").alias("b")).distinct(), "many")
-        if many.limit(1).count() == 0:
-            break
-        fresh = many if exact is None else many.join(exact.select("a", "b"), ["a", "b"], "left_anti")
-        now = _confirmed(fresh, nodes, docs, width, per_cent)
-        exact = now if exact is None else exact.union(now)
-        links = links.union(now.where("linked").select("a", "b"))
+    buckets = _mixed(members.select(F.lit(0).cast("long").alias("ref"), F.col("bucket").alias("part"), "nid"), nodes, labels)
+    few = buckets.where(F.col("outside") <= FEW_OUTSIDE)
+    pairs = materialize(_plausible(_across(few, F.lit(True)), sketches, test), "few")
+    many = buckets.where((F.col("outside") > FEW_OUTSIDE) & (F.col("least") != F.col("nid"))).select(F.col("least").alias("a"), F.col("nid").alias("b")).distinct()
+    many = materialize(many, "many")
+    if many.limit(1).count():
+        exact = _confirmed(many, nodes, docs, width, per_cent)
+        links = links.union(exact.where("linked").select("a", "b"))
         labels = components(links)
-        groups = many.join(exact, ["a", "b"]).select(F.col("a").alias("ref"), F.explode("keys").alias("part"), F.col("b").alias("nid"))
+        groups = _mixed(exact.select(F.col("a").alias("ref"), F.explode("keys").alias("part"), F.col("b").alias("nid")), nodes, labels)
+        detail = exact.select(F.col("a").alias("ref"), F.col("b").alias("nid"), *DIFF).join(sketches.drop("n_shingles"), "nid")
+        groups = materialize(groups.join(detail, ["ref", "nid"]), "keyed")
+        possible = F.expr(f"{100 + per_cent} * {_overlap_sql()} >= {per_cent} * (x.n_shingles + y.n_shingles)")
+        keyed = _across(groups, test & possible).join(exact.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+        pairs = pairs.union(materialize(keyed, "across"))
     now = labels.select("nid", "comp")
-    more = reduce(DataFrame.union, small).distinct().join(near, ["a", "b"], "left_anti")
+    more = pairs.distinct().join(near, ["a", "b"], "left_anti")
     more = more.join(now.select(F.col("nid").alias("a"), F.col("comp").alias("of_a")), "a", "left").join(now.select(F.col("nid").alias("b"), F.col("comp").alias("of_b")), "b", "left")
     more = more.where(~F.col("of_a").eqNullSafe(F.col("of_b")) | F.col("of_a").isNull()).select("a", "b")
-    more = materialize(_plausible(more, sketches, test), "more")
+    more = materialize(more, "more")
     if more.limit(1).count():
         links = links.union(_confirmed(more, nodes, docs, width, per_cent).where("linked").select("a", "b"))
         labels = components(links)
