@@ -8,10 +8,10 @@
 4. Survivors are confirmed on their full shingle sets, and links give components.
 5. Buckets that still hold several components propose pairs again, each between a node outside the bucket's largest
    component and any other. Where few are outside, at once. Else every member's set is held against the smallest set of
-   the bucket: two members that link, not both with that one, must share shingles that it lacks, and so one of few
-   keys among these. Members with a common key are compared, and a pair must also pass an exact bound: bitmaps of what
-   either adds to the smallest set and lacks of it bound their intersection from above. So members that share a long
-   passage and nothing else leave no pairs, in whatever number, and no link is lost.
+   the bucket, and a pair must also pass an exact bound: bitmaps of what either adds to that set and lacks of it bound
+   their intersection from above. So members that share a long passage and nothing else leave no pairs, and no link is
+   lost. In buckets with very many nodes outside, only members with a common key are compared: two members that
+   link, not both with the smallest set, must share shingles that it lacks, and so one of few keys among these.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ HASHES, BANDS = 128, 32
 SKETCH = [f"s{i}" for i in range(HASHES // 16)]
 #: Buckets with so many nodes outside their largest component propose pairs at once; others go by a reference.
 FEW_OUTSIDE = 8
+#: From so many nodes outside on, members are compared by common keys instead of all within their bucket.
+KEYED_OUTSIDE = 16_384
 #: 64-bit parts of the bitmaps of differences from a reference.
 PARTS = 8
 MORE = [f"m{i}" for i in range(PARTS)]
@@ -316,7 +318,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80, miss: f
         exact = _confirmed(many, nodes, docs, width, per_cent)
         links = links.union(exact.where("linked").select("a", "b"))
         labels = components(links)
-        groups = _mixed(exact.select(F.col("a").alias("ref"), F.explode("keys").alias("part"), F.col("b").alias("nid")), nodes, labels)
+        wide = buckets.where((F.col("outside") > FEW_OUTSIDE) & (F.col("least") != F.col("nid"))).select(F.col("least").alias("ref"), "part", "nid", "outside")
+        of_buckets = wide.where(F.col("outside") <= KEYED_OUTSIDE).select("ref", "part", "nid")
+        huge = wide.where(F.col("outside") > KEYED_OUTSIDE).select("ref", "nid").distinct()
+        of_keys = exact.select(F.col("a").alias("ref"), F.col("b").alias("nid"), "keys").join(huge, ["ref", "nid"]).select("ref", F.explode("keys").alias("part"), "nid")
+        groups = _mixed(of_buckets.union(of_keys), nodes, labels)
         detail = exact.select(F.col("a").alias("ref"), F.col("b").alias("nid"), *DIFF).join(sketches.drop("n_shingles"), "nid")
         groups = materialize(groups.join(detail, ["ref", "nid"]), "keyed")
         possible = F.expr(f"{100 + per_cent} * {_overlap_sql()} >= {per_cent} * (x.n_shingles + y.n_shingles)")

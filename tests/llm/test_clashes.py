@@ -99,10 +99,11 @@ def test_masks_over_slices(spark, monkeypatch):
         assert got.get(uid, text) == out + text[at:]
 
 
-@pytest.mark.parametrize("own", [64, 33])
-def test_shared_passages_leave_few_pairs(spark, monkeypatch, own):
+@pytest.mark.parametrize("own,keyed", [(64, 16_384), (33, 0)])
+def test_shared_passages_leave_few_pairs(spark, monkeypatch, own, keyed):
     """Documents of one long common passage: the pairs that are confirmed grow with the documents, not with their square."""
     made = []
+    monkeypatch.setattr(dedup, "KEYED_OUTSIDE", keyed)
     confirmed = dedup._confirmed
 
     def counting(*args):
