@@ -97,37 +97,3 @@ def test_masks_over_slices(spark, monkeypatch):
             if b > at:
                 out, at = out + (text[at:a] + "#" if a >= at else ""), b
         assert got.get(uid, text) == out + text[at:]
-
-
-@pytest.mark.parametrize("own,keyed", [(64, 16_384), (33, 0)])
-def test_shared_passages_leave_few_pairs(spark, monkeypatch, own, keyed):
-    """Documents of one long common passage: the pairs that are confirmed grow with the documents, not with their square."""
-    made = []
-    monkeypatch.setattr(dedup, "KEYED_OUTSIDE", keyed)
-    confirmed = dedup._confirmed
-
-    def counting(*args):
-        made.append((out := confirmed(*args)).count())
-        return out
-
-    monkeypatch.setattr(dedup, "_confirmed", counting)
-    rng = random.Random(9)
-    common = [f"c{rng.randrange(10**6)}" for _ in range(230)]
-    counts = []
-    for n in (150, 600):
-        rows = [(i, " ".join(common + [f"u{rng.randrange(10**9)}" for _ in range(own)])) for i in range(n)]
-        rows += [(1000 + i, rows[i][1] + " tail") for i in range(0, n, 10)]
-        made.clear()
-        got = {r["doc_id"]: r["component_id"] for r in dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-        counts.append(sum(made) / len(rows))
-        sets = {i: {" ".join(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
-        if n == 150:
-            first = {i: i for i in sets}
-            for i in sets:
-                for j in sets:
-                    if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
-                        first = {k: min(first[i], first[j]) if v in (first[i], first[j]) else v for k, v in first.items()}
-            assert got == first
-        else:
-            assert all(got[1000 + i] == i for i in range(0, n, 10))
-    assert counts[1] < 2 * counts[0]
