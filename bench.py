@@ -14,6 +14,7 @@ HEADLINE = (
     "ranked_register", "lead_score_parts", "requirement_score", "cap_candidates", "per_city_buyers", "search_with_counts", "weekly_price_moves", "price_series_dense", "best_price_per_commodity",
     "orders_by_product", "match_order_to_lead", "dedupe_prices", "webhook_daily", "digest_deliveries", "event_idempotency", "message_sessions", "budget_admission", "find_phones", "find_emails", "html_text",
     "page_links", "url_hygiene", "keyword_match", "proximity_pairs", "weekly_report_sets", "entity_resolution_fold",
+    "matched_items", "robots_hosts", "late_failures", "opening_outcomes", "weekly_report", "status_register", "order_loop_leads", "diversify_ties",
 )
 
 
