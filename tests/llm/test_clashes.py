@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from leadloom.llm import dedup, hamming, langid, lm_score, nbest, packing, permutation_index, quotes, secret_scan, url_lists
+from leadloom.llm import dedup, hamming, langid, lm_score, nbest, packing, permutation_index, secret_scan
 
 NAMES = ("uid", "row", "base", "own", "repo", "owner", "j", "hash", "start", "end", "rank", "value", "masked", "__c", "__t", "__row", "__text", "text_read", "__n", "node", "nid", "text_key", "n_shingles", "kept", "group", "score", "lang_pred", "h", "block", "n", "size", "token", "piece", "length", "id", "cid", "qid", "lines", "body", "runs", "month", "host", "list")
 ALIKE = "the same nine words stand here in this one row"
