@@ -199,9 +199,8 @@ def dedupe_against_news(spark, d):
     return dedupe.against_lane(read(spark, d, "documents").select("doc_id", "text"), read(spark, d, "benchmark"), key, key, ["doc_id"]).select("doc_id")
 
 
-@query()
-def entity_resolution_fold(spark, d):
-    """The register's own rule over customers and suppliers; tested against a plain fold."""
+def _resolved(spark, d):
+    """Suppliers as leads that come in, against the customers: by phone, else by name and city."""
     leads = register(spark, d)
     shape = {"why_now": "segment", "first_seen": "why_now_date", "last_seen": "why_now_date", "notes": "status"}
     old = leads.select(*[F.col(shape.get(c, c)).alias(c) for c in resolve.FIELDS], F.col("id").alias("ord"))
@@ -216,6 +215,31 @@ def entity_resolution_fold(spark, d):
     return resolve.resolve(old, new)
 
 
+#: What each supplier meets: its customer by phone where both have one, or by name where that one is in Asia.
+MET_SQL = """
+came AS (SELECT s_suppkey AS k, 's' || s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'Customer ' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') || ' Ltd' ELSE s_name END AS name, CASE WHEN s_suppkey % 3 <> 0 THEN '+9198' || lpad(CAST(s_suppkey AS VARCHAR), 8, '0') END AS phone FROM supplier),
+met AS (SELECT came.*, r.id AS lead FROM came LEFT JOIN register r ON r.id = came.k AND (came.phone = r.phone OR (came.phone IS NULL AND came.k % 2 = 0 AND lower(r.city) = 'asia')))
+"""
+
+
+@query(f"""WITH {REGISTER_SQL}, {MET_SQL}
+SELECT CAST(r.id AS VARCHAR) AS id, kind, CASE WHEN m.id IS NOT NULL AND r.segment NOT IN ('wholesale', 'food_manufacturer', 'restaurant') THEN 'hotel' ELSE r.segment END AS segment,
+  CASE WHEN length(m.name) > length(r.name) THEN m.name ELSE r.name END AS name, city, state, address, coalesce(r.phone, m.phone) AS phone, email, website, r.segment AS why_now, CAST(why_now_date AS VARCHAR) AS why_now_date, source, CAST(why_now_date AS VARCHAR) AS first_seen,
+  CAST(why_now_date AS VARCHAR) AS last_seen, status, status AS notes, source || CASE WHEN m.id IS NOT NULL THEN '; suppliers' ELSE '' END AS sources, 0 AS n_updated, CASE WHEN m.id IS NOT NULL THEN 1 ELSE 0 END AS n_duplicate, CASE WHEN m.id IS NOT NULL THEN 1 ELSE 0 END AS n_merged, false AS is_new
+  FROM register r LEFT JOIN met m ON m.lead = r.id
+UNION ALL SELECT id, 'buyer', 'hotel', name, 'Asia', NULL, NULL, phone, NULL, NULL, NULL, NULL, 'suppliers', NULL, NULL, 'new', NULL, 'suppliers', 0, 0, 0, true FROM met WHERE lead IS NULL""")
+def entity_resolution_fold(spark, d):
+    """The register after the suppliers; tested against a plain fold over random leads too. Ids taken in are entity_resolution_links."""
+    leads = _resolved(spark, d).leads
+    return leads.withColumns({"sources": F.array_join("sources", "; "), **{c: F.col(c).cast("int") for c in ("n_updated", "n_duplicate", "n_merged")}})
+
+
+@query(f"WITH {REGISTER_SQL}, {MET_SQL} SELECT CAST(lead AS VARCHAR) AS lead_id, id AS merged_id, k AS first_ord FROM met WHERE lead IS NOT NULL")
+def entity_resolution_links(spark, d):
+    """Every id that a lead took in."""
+    return _resolved(spark, d).links
+
+
 @query("WITH o AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 <> 0 THEN '+9198' || lpad(CAST(o_custkey AS VARCHAR), 8, '0') END AS phone, 'customer ' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS name FROM orders), c AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '+9198' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') END AS phone, replace(lower(c_name), '#', ' ') AS name FROM customer) SELECT o_orderkey, coalesce(p.c_custkey, n.c_custkey) AS lead, CASE WHEN p.c_custkey IS NOT NULL THEN 'phone' WHEN n.c_custkey IS NOT NULL THEN 'name' END AS matched FROM o LEFT JOIN c p ON o.phone = p.phone LEFT JOIN c n ON o.name = n.name")
 def match_order_to_lead(spark, d):
     pad = lambda c, n: F.lpad(c.cast("string"), n, "0")

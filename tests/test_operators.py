@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from leadloom.config import Profile
-from leadloom.operators import dedupe, digest, ranking, resolve, scoring, series
+from leadloom.operators import dedupe, digest, ranking, scoring, series
 
 
 def test_diversified_equals_greedy(spark):
@@ -40,34 +40,6 @@ def test_scores(spark):
     assert got["score"] == 85
 
 
-def _leads(rng, n, start):
-    pick = lambda xs: rng.choice(xs)
-    rows = []
-    for i in range(n):
-        rows.append({f: None for f in resolve.FIELDS} | {"id": pick("abcdef") + pick("12"), "kind": pick(["buyer", "buyer", "requirement"]), "segment": pick(["hotel", "other"]), "name": pick(["Ann", "Bob Ltd", "Cy", None]), "city": pick(["X", "Y", None]), "phone": pick(["p1", "p2", "p3", None]), "source": pick("st"), "ord": start + i})
-    return rows
-
-
-def test_resolution_by_components_equals_one_fold(spark):
-    rng = random.Random(5)
-    schema = ", ".join(f"{f} string" for f in resolve.FIELDS) + ", ord long"
-    for _ in range(2):
-        known, seen = [], set()
-        for r in _leads(rng, 8, 0):
-            if r["id"] not in seen:
-                seen.add(r["id"])
-                known.append(r)
-        new = _leads(rng, 14, 0)
-        as_df = lambda rows: spark.createDataFrame([tuple(r[f] for f in (*resolve.FIELDS, "ord")) for r in rows], schema)
-        got = {r["id"]: r for r in resolve.resolve(as_df(known), as_df(new)).collect()}
-        key = {None: "", "Ann": "ann", "Bob Ltd": "bob", "Cy": "cy"}
-        rows = [r | {"incoming": inc, "name_key": key[r["name"]], "city_key": (r["city"] or "").lower()} for inc, part in ((False, known), (True, new)) for r in part]
-        want = {r["id"]: r for r in resolve.fold(rows)}
-        assert got.keys() == want.keys()
-        for k, w in want.items():
-            assert [got[k][c] for c in ("name", "city", "phone", "segment", "merged_from", "n_updated", "n_duplicate", "is_new")] == [w[c] for c in ("name", "city", "phone", "segment", "merged_from", "n_updated", "n_duplicate", "is_new")]
-
-
 def test_appends_are_keyed(spark):
     log = spark.createDataFrame([("a", "1")], "type string, key string")
     new = spark.createDataFrame([("a", "1", 1), ("a", "2", 2), ("a", "2", 3), ("a", None, 4), ("a", None, 5)], "type string, key string, n int")
