@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Profile
 from ..functions import hashing, strings
-from ..operators import dedupe, ranking, resolve, scoring
+from ..operators import dedupe, digest, ranking, resolve, scoring
 from .tables import REGISTER_SQL, read, register, today
 
 PROFILE = Profile(city="Asia", state="NATION_1")
@@ -119,6 +119,49 @@ def digest_cutoffs(spark, d):
     return ranking.cutoffs(_kinds(spark, d), CAPS)
 
 
+DIGEST_CAPS = {"requirements": 5, "buyers": 5, "registrations": 3}
+#: Every city's section rows in order; plans are stated as all that the rules allow, and taken by what they give up.
+DIGEST_SQL = """
+s AS (SELECT city, id, score, segment, CASE WHEN id % 3 = 0 THEN 'R' WHEN id % 7 = 1 THEN 'G' ELSE 'L' END AS section, name || ' (' || score || ')' AS l1, 'since ' || why_now_date AS l2, coalesce(phone, email) AS l3 FROM leads WHERE status = 'new'),
+t AS (SELECT *, row_number() OVER (PARTITION BY city, section, segment ORDER BY score DESC, id) AS turn FROM s),
+u AS (SELECT *, row_number() OVER (PARTITION BY city, section ORDER BY score DESC, turn, id) AS place FROM t),
+b AS (SELECT *, section || place AS label, section || place || ' ' || l1 AS b1, section || place || ' ' || l1 || coalesce(chr(10) || l2, '') AS b2, section || place || ' ' || l1 || coalesce(chr(10) || l2, '') || coalesce(chr(10) || l3, '') AS b3 FROM u)
+"""
+PLAN_SQL = """
+c AS (SELECT city, count(*) FILTER (section = 'R') AS tr, count(*) FILTER (section = 'L') AS tb, count(*) FILTER (section = 'G') AS tg, count(*) FILTER (section = 'R' AND l3 IS NOT NULL) AS with_contact FROM b GROUP BY city),
+w AS (SELECT *, least(tr, 5) AS nr, least(tb, 5) AS nb, least(tg, 3) AS ng FROM c),
+p AS (SELECT w.*, r, x AS xb, g, rl, bl FROM w, range(6) AS a(r), range(6) AS e(x), range(4) AS f(g), range(1, 4) AS h(rl), range(1, 4) AS i(bl)
+  WHERE r <= nr AND x <= nb AND g <= ng AND (x = nb OR (g = 0 AND bl = 1)) AND (g = ng OR bl = 1) AND (r = nr OR (rl = 1 AND x = 0 AND g = 0 AND bl = 1))),
+sections AS (SELECT p.*, s.section, s.n, s.h FROM p, LATERAL (VALUES ('R', r, tr, 'REQUIREMENTS POSTED', rl), ('L', xb, tb, 'BUYERS TO APPROACH', bl), ('G', g, tg, 'WHERE TO REGISTER', 1)) AS q(section, n, total, title, lines), LATERAL (SELECT q.section, q.n, CASE WHEN q.n > 0 THEN chr(10) || q.title || ' (' || q.n || CASE WHEN q.total > q.n THEN ' of ' || q.total ELSE '' END || ')' ELSE '' END AS h, q.lines) AS s),
+texts AS (SELECT sections.city, r, xb, g, rl, bl, sections.section, any_value(h) || coalesce(string_agg(chr(10) || CASE CASE sections.section WHEN 'R' THEN rl WHEN 'L' THEN bl ELSE 1 END WHEN 1 THEN b1 WHEN 2 THEN b2 ELSE b3 END, '' ORDER BY place), '') AS part
+  FROM sections LEFT JOIN b ON b.city = sections.city AND b.section = sections.section AND b.place <= sections.n GROUP BY sections.city, r, xb, g, rl, bl, sections.section),
+whole AS (SELECT city, r, xb, g, rl, bl, 'Morning - ' || city || string_agg(part, '' ORDER BY CASE section WHEN 'R' THEN 0 WHEN 'L' THEN 1 ELSE 2 END) AS t FROM texts GROUP BY city, r, xb, g, rl, bl),
+d AS (SELECT p.*, t || CASE WHEN p.r + p.xb + p.g = 0 THEN chr(10) || 'No new leads today.' ELSE '' END || CASE WHEN tr = 0 THEN chr(10) || 'No requirement was posted anywhere we can read today.' ELSE '' END || chr(10) || 'Reply with R<n>/L<n>/G<n> won/lost/contacted to update.' AS text FROM p JOIN whole USING (city, r, xb, g, rl, bl))
+"""
+
+
+def _digest_leads(spark, d):
+    kind = F.when(F.col("id") % 3 == 0, "requirement").when(F.col("id") % 7 == 1, "registration").otherwise("buyer")
+    return scored(spark, d).withColumns({"kind": kind, "why_now": F.concat(F.lit("since "), F.col("why_now_date").cast("string"))})
+
+
+@query("{L}, " + DIGEST_SQL + ", " + PLAN_SQL + """, limits AS (SELECT d.*, m FROM d, (VALUES (400), (700), (1500)) AS v(m)), chosen AS (SELECT * FROM limits WHERE length(text) <= m QUALIFY row_number() OVER (PARTITION BY city, m ORDER BY nr - r, 3 - rl, nb - xb, ng - g, 3 - bl) = 1)
+SELECT city, CAST(m AS INT) AS max_chars, text, CAST(r + xb + g AS INT) AS shown, CAST(tr + tb + tg AS INT) AS considered, CAST(tr AS INT) AS requirements_considered, CAST(with_contact AS INT) AS with_contact, CAST(rl AS INT) AS r_lines, CAST(bl AS INT) AS b_lines FROM chosen""")
+def digest_by_city(spark, d):
+    """The digest of every city at three limits."""
+    leads, out = _digest_leads(spark, d), None
+    for limit in (400, 700, 1500):
+        one = digest.digests(leads, DIGEST_CAPS, "Morning", limit).drop("index").withColumn("max_chars", F.lit(limit))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("{L}, " + DIGEST_SQL + " SELECT city, section, row_number() OVER (PARTITION BY city ORDER BY CASE section WHEN 'R' THEN 0 WHEN 'L' THEN 1 ELSE 2 END, score DESC, turn, id) AS position, id, b3 AS block FROM b")
+def digest_full_sheets(spark, d):
+    """Every new lead of every city with all its lines."""
+    return digest.full_sheets(_digest_leads(spark, d))
+
+
 @query("{L}, p AS (SELECT *, row_number() OVER (PARTITION BY city ORDER BY score DESC, id) AS place FROM leads WHERE status = 'new') SELECT city, CAST(place AS INT) AS place, id, score, CAST(row_number() OVER (ORDER BY city, place) AS INT) AS label FROM p WHERE place <= 3")
 def per_city_buyers(spark, d):
     top = ranking.top_per(scored(spark, d).where("status = 'new'"), ["city"], [F.desc("score"), "id"], 3)

@@ -72,12 +72,37 @@ def test_robots(spark):
     assert {r["path"]: r["allowed"] for r in series.longest_rule(paths, rules).collect()} == {"/a/x": False, "/a/b/c": True, "/z": True, "/z.pdf": False, "/z.pdf.html": True}
 
 
-def test_digest_stays_within_its_limit():
-    rows = [{"kind": k, "label": f"{p}{i}", "id": f"{p}{i}", "name": "n" * 80, "score": 50, "why_now": "w" * 60, "contact": "c" * 40, "total": 9} for k, p in (("requirement", "R"), ("buyer", "L")) for i in range(5)]
-    for limit in (1500, 700, 300, 120):
-        text, index = digest.render(rows, limit)
-        assert len(text) <= limit
-    assert set(digest.render(rows, 1500)[1]) >= {"R0", "R4"}
+def test_digest_gives_up_in_its_order(spark):
+    rows = [(f"{p}{i}", k, "Pune", f"{p}{i} " + "n" * 60, 50 - i, "new", "w" * 50, "c" * 30, "hotel") for k, p in (("requirement", "r"), ("tender", "b"), ("registration", "g")) for i in range(6)]
+    rows += [("q", "buyer", None, None, None, "new", None, None, None), ("old", "buyer", "Goa", "x", 9, "won", None, None, None)]
+    leads = spark.createDataFrame(rows, "id string, kind string, city string, name string, score int, status string, why_now string, contact string, segment string")
+    caps = {"requirements": 4, "buyers": 3, "registrations": 2}
+
+    def at(limit, city="Pune"):
+        return next(r for r in digest.digests(leads, caps, "T", limit).collect() if r["city"] == city)
+
+    def plan(r):
+        return [sum(x.startswith(letter) for x in r["index"]) for letter in "RLG"], r["r_lines"], r["b_lines"]
+
+    plans = [plan(at(limit)) for limit in (150, 350, 600, 800, 1100, 1500, 1900)]
+    ordered = [(4 - n[0], 3 - rl, 3 - n[1], 2 - n[2], 3 - bl) for n, rl, bl in plans]
+    assert ordered == sorted(ordered, reverse=True) and ordered[-1] == (0, 0, 0, 0, 0) and ordered[0][0] == 4
+    for limit in (1200, 600, 120, 20):
+        assert len(at(limit)["text"]) <= limit
+    full = at(1900)
+    assert full["index"]["R1"] == "r0" and (full["shown"], full["considered"], full["with_contact"]) == (9, 18, 6) and "REQUIREMENTS POSTED (4 of 6)" in full["text"]
+    assert digest.NO_LEADS in at(500, "Goa")["text"] and at(500, "Goa")["index"] == {}
+    assert "L1  (?)" in at(500, "")["text"] and digest.NO_REQUIREMENT in at(500, "")["text"]
+    assert digest.digests(leads.limit(0), caps, "T").count() == 0
+
+
+def test_digest_files(spark, tmp_path):
+    leads = spark.createDataFrame([(i, "buyer", f"C{i % 2}", f"n{i}", i, "new", "hotel") for i in range(40)], "id int, kind string, city string, name string, score int, status string, segment string")
+    digest.write_digests(leads, {"buyers": 5}, "T", str(tmp_path))
+    sheet = "".join(p.read_text() for p in sorted((tmp_path / "full" / "city=C1").glob("part-*.txt")))
+    assert [line.split(" ")[1] for line in sheet.splitlines()] == [f"n{i}" for i in range(39, 0, -2)]
+    assert spark.read.text(str(tmp_path / "text")).where("city = 'C0'").first()["value"].startswith("T - C0")
+    assert spark.read.json(str(tmp_path / "index")).where("label = 'L1'").count() == 2
 
 
 def test_accuracy_counts_missing_as_wrong(spark):
