@@ -15,6 +15,8 @@ ADVERTISING = (
     "excited", "thrilled", "delighted", "leading", "best in", "best-in", "world class", "world-class", "cutting edge", "cutting-edge",
     "synergy", "revolution", "passionate", "premier", "unparalleled", "partner with you",
 )
+#: What may stand around a line of an opener, and before it.
+AROUND, LIST_MARKS = " \t\r`\"'“”", "-*>"
 #: Ranges of code points that hold pictographs.
 PICTOGRAPHS = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}]"
 
@@ -110,17 +112,21 @@ def parse_requirement(text: Column) -> Column:
 
 
 def parse_opener(text: Column) -> Column:
-    """struct(ok, reason, opener): the first two lines that say something, each short, without advertising and pictographs."""
-    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?i)```[a-z]*\n?", "")
-    cleaned = F.transform(F.split(plain, "\n"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"^\s*[-*>]\s*", ""), "^[\"'“”]+|[\"'“”]+$", "")))
-    lines = F.filter(cleaned, lambda x: x != "")
-    two = F.slice(lines, 1, 2)
-    long = F.get(F.filter(F.transform(two, F.length), lambda n: n > OPENER_CHARS), F.lit(0))
-    advertises = F.exists(two, lambda x: x.rlike(r"(?i)\b(?:" + "|".join(ADVERTISING) + r")\b"))
-    reason = (
-        F.when(F.size(lines) < 2, F.concat(F.lit("expected two lines, got "), F.size(lines).cast("string")))
-        .when(long.isNotNull(), F.concat(F.lit("a line is "), long.cast("string"), F.lit(f" characters, over the {OPENER_CHARS} limit")))
-        .when(advertises, "the reply uses marketing language")
-        .when(F.exists(two, lambda x: x.rlike(PICTOGRAPHS)), "the reply contains an emoji")
-    )
-    return F.struct(reason.isNull().alias("ok"), reason.alias("reason"), F.when(reason.isNull(), F.array_join(two, "\n")).alias("opener"))
+    """struct(ok, reason, opener): the first two lines that say something, each short, without advertising and pictographs.
+
+    Fences, list marks and quotes around a line say nothing. The reason is the first that holds, in the order of
+    the list below.
+    """
+    unfenced = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"^\s*```\w*", ""))
+    said = F.filter(F.transform(unfenced, lambda x: F.ltrim(F.rtrim(x, F.lit(AROUND)), F.lit(AROUND + LIST_MARKS))), lambda x: x != "")
+    opener = F.slice(said, 1, 2)
+    over = F.get(F.filter(F.transform(opener, F.length), lambda n: n > OPENER_CHARS), F.lit(0))
+    holds = lambda pattern: F.array_join(opener, "\n").rlike(pattern)
+    reasons = [
+        (F.size(said) < 2, F.concat(F.lit("expected two lines, got "), F.size(said).cast("string"))),
+        (over.isNotNull(), F.concat(F.lit("a line is "), over.cast("string"), F.lit(f" characters, over the {OPENER_CHARS} limit"))),
+        (holds(r"(?i)\b(?:" + "|".join(ADVERTISING) + r")\b"), F.lit("the reply uses marketing language")),
+        (holds(PICTOGRAPHS), F.lit("the reply contains an emoji")),
+    ]
+    reason = F.coalesce(*(F.when(wrong, why) for wrong, why in reasons))
+    return F.struct(reason.isNull().alias("ok"), reason.alias("reason"), F.when(reason.isNull(), F.array_join(opener, "\n")).alias("opener"))

@@ -10,10 +10,14 @@ from . import strings
 #: A text falls into stretches that may be numbers; all other characters and wide gaps part them. A stretch with an
 #: underscore is a code, and what is shaped like a date is blanked out before.
 PHONE_PARTS = r"[^0-9_ \t.()+-]+|[ \t]{2,}"
+#: Digits with neither a blank, dot or dash between them nor a zero or the country's code before them.
+BARE_RUN = r"^(?!\+91)[(+]*[1-9][0-9()+]*$"
+#: Shapes of dates.
 DATES = r"\b[0-9]{1,2}[.-][0-9]{1,2}[.-](?:[0-9]{4}|[0-9]{2})\b|\b[0-9]{4}[.-][0-9]{1,2}[.-][0-9]{1,2}\b"
 #: Addresses are words of these characters that hold one @; a disguised dot is one of them until the end.
 DISGUISED_DOT = "\u0001"
 ADDRESS_PARTS = f"[^A-Za-z0-9@._%+{DISGUISED_DOT}-]+"
+#: How a dot and an at sign are written out.
 DOT_WORDS = r"\s*[\[({]\s*(?:dot|DOT)\s*[\])}]\s*|\s+(?:dot|DOT)\s+"
 AT_WORDS = r"(?:\s*[\[({]\s*(?:at|AT)\s*[\])}]\s*|\s+(?:at|AT)\s+)([A-Za-z0-9-]+" + DISGUISED_DOT + ")"
 ADDRESS = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$"
@@ -31,9 +35,8 @@ NOT_NAMES = tuple(sorted({w for phrase in (*NAME_LABELS, *POSTS, *FIELD_WORDS) f
 
 
 def looks_like_phone(raw: Column, number: Column) -> Column:
-    """Announced by a code, a zero or a separator, or else in the mobile range."""
-    announced = raw.rlike(r"^(?:\+|00)[ \t]?91") | raw.rlike(r"^\(?0") | raw.rlike(r"[ \t.-]")
-    return number.isNotNull() & (announced | number.rlike(r"^\+91[6-9]"))
+    """A number that is written as one, or lies in the mobile range: a bare run of digits may be any reference number."""
+    return number.isNotNull() & (~raw.rlike(BARE_RUN) | number.rlike(r"^\+91[6-9]"))
 
 
 def find_phones(c: Column) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import answers, labels
 from ..operators import orders as loop
 from ..operators import ranking, report
+from ..session import scratch
+from ..sources import bundles
 from .leads import scored
 from .reports import WEEK
 from .tables import REGISTER_SQL, read, register
@@ -257,6 +259,26 @@ def runs_to_bundles(spark, d):
     return runs.join(bundles, "run", "left").select("run", F.col("there").isNotNull().alias("sealed"))
 
 
+@query("""WITH o AS (SELECT *, strftime(o_orderdate, '%Y-%m') AS run, CAST(strftime(o_orderdate, '%m') AS INT) + CAST(strftime(o_orderdate, '%Y') AS INT) AS k, row_number() OVER (PARTITION BY strftime(o_orderdate, '%Y-%m') ORDER BY o_orderkey) - 1 AS seq FROM orders),
+p AS (SELECT run, k, seq, '{"seq":' || seq || ',"type":"order.received","at":"' || strftime(o_orderdate, '%Y-%m-%d') || '","role":"desk","data":{"key":' || o_orderkey || ',"status":"' || o_orderstatus || '"}}' AS payload FROM o
+  UNION ALL SELECT run, any_value(k), count(*), '{"seq":' || count(*) || ',"type":"evidence.sealed","at":"' || strftime(max(o_orderdate), '%Y-%m-%d') || '","role":"auditor","runId":"' || run || '","receiptCount":' || count(*) || '}' FROM o GROUP BY run),
+h AS (SELECT run, any_value(k) AS k, sha256('evidence/1' || chr(10) || count(*) || chr(10) || string_agg(payload || chr(10), '' ORDER BY seq)) AS good, sha256('evidence/1' || chr(10) || count(*) || chr(10) || string_agg(replace(payload, '"status":"O"', '"status":"F"') || chr(10), '' ORDER BY seq)) AS bad FROM p GROUP BY run)
+SELECT run, CASE WHEN k % 11 = 3 THEN 0 ELSE 1 END AS files, CASE WHEN k % 11 = 3 THEN '' WHEN k % 7 = 0 THEN bad ELSE good END AS recomputed, CASE WHEN k % 11 = 3 THEN 'no file' WHEN k % 7 = 0 AND bad <> good THEN 'hash mismatch; not the hash of the run' ELSE '' END AS problems FROM h
+UNION ALL SELECT 'stray-' || run, 1, good, 'no run' FROM h WHERE k % 13 = 5""")
+def bundle_files_verified(spark, d):
+    """A bundle of each month's orders, written as a file, scanned and held against the runs; some are changed, some missing, some of no run."""
+    orders = read(spark, d, "orders").withColumn("day", F.col("o_orderdate").cast("date"))
+    entries = orders.select(F.date_format("day", "yyyy-MM").alias("bundle"), F.col("o_orderkey").alias("ord"), F.lit("order.received").alias("type"), F.col("day").cast("string").alias("at"), F.lit(None).cast("string").alias("role"), F.struct(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status")).alias("data"))
+    none = entries.select("bundle", F.lit(0).cast("long").alias("seq"), F.lit("").alias("payload")).limit(0)
+    runs = bundles.sealed(bundles.numbered(none, entries))
+    k = F.substring("bundle", 6, 2).cast("int") + F.substring("bundle", 1, 4).cast("int")
+    changed = F.when(k % 7 == 0, F.replace("body", F.lit('"status":"O"'), F.lit('"status":"F"'))).otherwise(F.col("body"))
+    kept = runs.where(k % 11 != 3).select("bundle", changed.alias("body"))
+    path = scratch(spark, "bundles")
+    bundles.write_bundles(kept.unionByName(runs.where(k % 13 == 5).select(F.concat(F.lit("stray-"), "bundle").alias("bundle"), "body")), path)
+    return bundles.against_runs(runs.select(F.col("bundle").alias("run"), "hash"), bundles.problems(bundles.scan(spark, path)))
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'a' || doc_id END AS answer, doc_id % 4 = 0 AS hit FROM documents")
 def calls_to_cache(spark, d):
     """Calls with the cached answer of their key, if any."""
