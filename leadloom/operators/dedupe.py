@@ -51,6 +51,13 @@ def append_keyed(log: DataFrame, events: DataFrame, order: list) -> DataFrame:
     return keyed.unionByName(events.where("key IS NULL"))
 
 
+def latest_events(log: DataFrame, order: list[str]) -> DataFrame:
+    """The last event of every (type, key) in `order`; events without type or key are found by nobody. Combined before the shuffle."""
+    rest = [c for c in log.columns if c not in ("type", "key")]
+    last = F.max_by(F.struct(*rest), F.struct(*order)).alias("last")
+    return log.where((F.col("type") != "") & (F.col("key") != "")).groupBy("type", "key").agg(last).select("type", "key", *(F.col("last")[c].alias(c) for c in rest))
+
+
 def ordered_union(a: Column, b: Column, without: Column | None = None) -> Column:
     """Distinct members of two arrays in the order they come in."""
     both = F.array_distinct(F.concat(F.coalesce(a, F.array()), F.coalesce(b, F.array())))

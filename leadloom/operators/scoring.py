@@ -58,6 +58,11 @@ def effective_segment(segment: Column, model_segment: Column, confidence: Column
     return F.when(F.coalesce(usable, F.lit(False)), model_segment).otherwise(segment)
 
 
+def describe_segment(segment: Column, model_segment: Column, confidence: Column) -> Column:
+    """The segment that the score uses, in words."""
+    return strings.segment_label(effective_segment(segment, model_segment, confidence))
+
+
 def score_leads(leads: DataFrame, profile: C.Profile, today: Column) -> DataFrame:
     """Adds the parts p_segment, p_contact, p_recency, p_city, p_detail, p_penalty and their clamped sum, score.
 

@@ -8,7 +8,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, hashing, strings
-from ..operators import dedupe, series
+from ..operators import dedupe, scoring, series
+from ..session import scratch
+from ..sources import sinks
 from ..streaming import register as stream_register
 from ..streaming import replay
 from .tables import read
@@ -33,6 +35,29 @@ def event_idempotency(spark, d):
     return dedupe.keep_first(read(spark, d, "events").select("user_id", "event_type", "event_id"), ["user_id", "event_type"], ["event_id"])
 
 
+@query("SELECT event_type AS type, user_id, event_id, value FROM events WHERE event_type <> '' AND user_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) = 1")
+def latest_events(spark, d):
+    """The last event of each type and user."""
+    log = read(spark, d, "events").select(F.col("event_type").alias("type"), F.col("user_id").cast("string").alias("key"), "ts", "event_id", "value")
+    return dedupe.latest_events(log, ["ts", "event_id"]).select("type", F.col("key").cast("long").alias("user_id"), "event_id", "value")
+
+
+@query("SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN 'done' ELSE 'begun' END AS state FROM supplier WHERE s_suppkey % 2 = 0 OR s_suppkey % 3 = 0")
+def runs_swapped(spark, d):
+    """A run table put twice: what is known is replaced, and readers see the version the pointer names."""
+    path, runs = scratch(spark, "runs"), read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
+    sinks.put_run(spark, runs.where("id % 2 = 0").withColumn("state", F.lit("begun")), path)
+    return sinks.put_run(spark, runs.where("id % 3 = 0").withColumn("state", F.lit("done")), path)
+
+
+@query("SELECT c_custkey, replace(CASE WHEN c_custkey % 4 IN (1, 3) THEN 'food_manufacturer' ELSE 'other' END, '_', ' ') AS said FROM customer")
+def segments_described(spark, d):
+    """What a lead's segment is called: the model's where it is sure and the segment is one of the rules'."""
+    key = F.col("c_custkey")
+    model, sure = F.when(key % 4 == 2, "odd").otherwise("food_manufacturer"), F.when(key % 4 == 0, 0.69).otherwise(0.7)
+    return read(spark, d, "customer").select("c_custkey", scoring.describe_segment(F.lit("other"), model, sure).alias("said"))
+
+
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) >= 50")
 def json_props_extract(spark, d):
     k = F.get_json_object("props", "$.k").try_cast("bigint")

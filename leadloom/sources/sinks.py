@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -32,6 +34,59 @@ def upsert_table(spark: SparkSession, incoming: DataFrame, key: str, path: str,
     return spark.read.schema(incoming.schema).parquet(next_path)
 
 
+def _pointer(spark: SparkSession, path: str):
+    """The file that names the version of the table at `path` that holds, and Hadoop's classes for paths."""
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    return fs, fs.Path(f"{path}/current")
+
+
+def current_version(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """The version of a swapped table that holds now, or no rows where none was put. A plan made from it keeps reading that version."""
+    fs, pointer = _pointer(spark, path)
+    if not pointer.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(pointer):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/{spark.read.text(pointer.toString()).first()['value']}")
+
+
+def swap_table(rows: DataFrame, path: str) -> None:
+    """Write `rows` as a new version, then let the pointer name it by one rename: readers see the old table or the new one, whole.
+
+    `rows` may read the version before. A job that fails leaves the pointer, and so the table, as it was. One
+    writer at a time; earlier versions stay until someone clears them.
+    """
+    spark = rows.sparkSession
+    version = f"v-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{path}/{version}")
+    fs, pointer = _pointer(spark, path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    draft = fs.Path(f"{path}/_next-{version}")
+    out = pointer.getFileSystem(conf).create(draft)
+    out.write(bytearray(version.encode()))
+    out.close()
+    how = spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 1)
+    how[0] = getattr(fs, "Options$Rename").OVERWRITE
+    files = fs.FileContext.getFileContext(pointer.getFileSystem(conf).getUri(), conf)
+    files.rename(draft, pointer, how)
+
+
+def put_run(spark: SparkSession, runs: DataFrame, path: str, key: str = "id") -> DataFrame:
+    """Runs into the run table: those of a known id replace it; returns the table after."""
+    swap_table(dedupe.upsert(current_version(spark, path, runs.schema), runs, key), path)
+    return current_version(spark, path, runs.schema)
+
+
+def jdbc_table(spark: SparkSession, url: str, table: str, by: str, parts: int, **options: str) -> DataFrame:
+    """A table of a database, read by `parts` tasks, each a range of the number `by`; the range is asked of the database.
+
+    Filters and columns are pushed to it. A row whose `by` is null is read by the first task; an empty table is no rows.
+    """
+    reader = lambda **more: spark.read.format("jdbc").options(url=url, **options, **more)
+    lowest, highest = reader(query= f"SELECT MIN({by}) AS a, MAX({by}) AS b FROM {table}").load().first()
+    if lowest is None:
+        return reader(dbtable=table).load()
+    return reader(dbtable=table, partitionColumn=by, lowerBound=int(lowest), upperBound=int(highest) + 1, numPartitions=parts).load()
+
+
 def append_events(log: DataFrame, events: DataFrame, path: str, order: list) -> None:
     dedupe.append_keyed(log, events, order).write.mode("append").parquet(path)
 
