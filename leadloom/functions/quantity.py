@@ -67,7 +67,7 @@ def cost_inr(tokens_in: Column, tokens_out: Column, usd_in: Column, usd_out: Col
 def readable_ratio(c: Column) -> Column:
     """Share of letters, digits and common signs among characters that are not white space."""
     dense = F.regexp_replace(c, r"\s+", "")
-    plain = F.regexp_replace(dense, r"[^A-Za-z0-9.,;:()/&%'\"+@#*_=?!\[\]-]", "")
+    plain = F.regexp_replace(dense, r"[^A-Za-z0-9.,;:()/&%'\"+@#*?!\[\]-]", "")
     return F.when(F.length(dense) > 0, F.length(plain) / F.length(dense)).otherwise(F.lit(0.0))
 
 

@@ -207,7 +207,7 @@ def command_parse(spark, d):
     return read(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", strings.command(text).alias("c")).select("conv_id", "turn", "c.label", "c.status")
 
 
-@query("SELECT doc_id, round(length(regexp_replace(regexp_replace(text, '\\s+', '', 'g'), '[^A-Za-z0-9.,;:()/&%''\"+@#*_=?!\\[\\]-]', '', 'g')) / length(regexp_replace(text, '\\s+', '', 'g')), 6) AS ratio FROM documents")
+@query("SELECT doc_id, round(length(regexp_replace(regexp_replace(text, '\\s+', '', 'g'), '[^A-Za-z0-9.,;:()/&%''\"+@#*?!\\[\\]-]', '', 'g')) / length(regexp_replace(text, '\\s+', '', 'g')), 6) AS ratio FROM documents")
 def readable_ratio(spark, d):
     return read(spark, d, "documents").select("doc_id", F.round(quantity.readable_ratio(F.col("text")), 6).alias("ratio"))
 

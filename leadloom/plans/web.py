@@ -1,11 +1,17 @@
-"""Queries over texts and pages by offsets and prefixes: items that say who buys, paths that robots rules allow."""
+"""Queries over texts, pages and files: items that say who buys, paths that robots rules allow, PDFs read by streams."""
 
 from __future__ import annotations
 
+import zlib
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import Profile
 from ..operators import proximity, robots
+from ..sources import pdf
 from .tables import read
 
 QUERIES: dict = {}
@@ -78,3 +84,46 @@ def robots_hosts(spark, d):
     of_all = F.concat(F.lit("Sitemap: /x\r\nUser-agent: other\r\nDisallow: /\r\nUser-agent: *\r\nDisallow: /es # all\r\nAllow: /es/*/\r\nno colon\r\nDisallow:\r\nDisallow: /*.html$\r\nDisallow: /fr/7\r\nAllow: /fr/7*\r\nDisallow: /*?\r\nAllow: /"), F.expr("left(host, 2)"))
     files = pages.select("host").distinct().where(F.length("host") % 5 != 0).select("host", F.when(F.length("host") % 3 == 0, own).otherwise(of_all).alias("body"))
     return robots.allowed_paths(pages, robots.robots_rules(files, "leadbot"))
+
+
+@F.pandas_udf(T.ArrayType(T.BinaryType()))
+def _deflated(pages: pd.Series) -> pd.Series:
+    return pages.map(lambda p: None if p is None else [zlib.compress(x.encode("latin-1")) for x in p])
+
+
+def printed(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(path, content): every text as a PDF with an image first and 40 lines on a page; every second page is deflated. Null texts have no bytes.
+
+    Words are strings of an array, with wide pushes between them; words beyond one byte a character are hexadecimal.
+    """
+
+    def word(w):
+        return F.when(w.rlike("[^\\x00-\\xFF]"), F.concat(F.lit("<FEFF"), F.hex(F.encode(w, "UTF-16BE")), F.lit(">"))).otherwise(F.concat(F.lit("("), F.regexp_replace(w, r"([\\()])", r"\\$1"), F.lit(")")))
+
+    def line(x):
+        return F.concat(F.lit("["), F.array_join(F.transform(F.split(x, " "), word), " -250.5 "), F.lit("] TJ T*\n"))
+
+    lines = F.split(text, "\n")
+    pages = F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 40).cast("int")), lambda i: F.concat(F.lit("BT /F1 12 Tf 50 750 Td\n"), F.array_join(F.transform(F.slice(lines, i * 40 + 1, F.lit(40)), line), ""), F.lit("ET")))
+    rows = rows.select(F.col(key).alias("path"), F.when(F.col(text).isNotNull(), pages).alias("pages"))
+    rows = rows.withColumn("packed", _deflated("pages"))
+    plain = lambda p: F.concat(F.lit("8 0 obj << /Length 1 >>\nstream\n"), p, F.lit("\nendstream endobj\n"))
+    deflated = lambda z: F.concat(F.lit("9 0 obj << /Filter /FlateDecode >> stream\r\n"), F.decode(z, "ISO-8859-1"), F.lit("\r\nendstream endobj\n"))
+    numbered = F.transform(F.arrays_zip("pages", "packed"), lambda x, i: F.when(i % 2 == 0, plain(x["pages"])).otherwise(deflated(x["packed"])))
+    body = F.concat(F.lit("%PDF-1.4\n1 0 obj << /Subtype /Image /Filter /DCTDecode >> stream\n\xff\xd8(BT) Tj\nendstream endobj\n"), F.array_join(numbered, ""), F.lit("%%EOF"))
+    return rows.select("path", F.encode(body, "ISO-8859-1").alias("content"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, n, (n - 1) // 40 AS page, trim(regexp_replace(line, '[ \\t]+', ' ', 'g')) AS line FROM l),
+p AS (SELECT doc_id, page, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (line <> ''), '') AS t FROM c GROUP BY doc_id, page),
+d AS (SELECT *, regexp_replace(t, '\\s+', '', 'g') AS dense FROM p),
+r AS (SELECT *, CASE WHEN dense = '' THEN 0 ELSE length(regexp_replace(dense, '[^A-Za-z0-9.,;:()/&%''"+@#*?!\\[\\]-]', '', 'g')) / length(dense) END AS ratio FROM d),
+j AS (SELECT doc_id, count(*) AS pages, count(*) FILTER (t <> '' AND ratio < 0.85) AS unreadable, coalesce(string_agg(t, chr(10) ORDER BY page) FILTER (ratio >= 0.85), '') AS text FROM r GROUP BY doc_id),
+k AS (SELECT *, length(regexp_replace(text, '\\s+', '', 'g')) >= 40 AND len(regexp_extract_all(text, '\\b[A-Za-z]{3,}\\b')) >= 8 AS ok FROM j)
+SELECT doc_id, coalesce(ok, false) AS ok, CASE WHEN k.doc_id IS NULL THEN 'not a pdf' WHEN NOT ok THEN 'unreadable' END AS reason, coalesce(pages + 1, 0) AS streams, coalesce(pages, 0) AS decoded, coalesce(unreadable, 0) AS unreadable, length(coalesce(k.text, '')) AS chars, CASE WHEN ok THEN md5(k.text) END AS text_md5
+FROM documents LEFT JOIN k USING (doc_id)""")
+def pdf_texts(spark, d):
+    """The texts of the documents, printed as PDFs, read again stream by stream."""
+    got = pdf.read_pdfs(printed(read(spark, d, "documents"), "doc_id", "text"), "path", "content", max_chars=None)
+    return got.select(F.col("path").alias("doc_id"), "ok", "reason", "streams", "decoded", "unreadable", "chars", F.md5("text").alias("text_md5"))

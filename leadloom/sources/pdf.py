@@ -1,92 +1,189 @@
-"""Text of PDF documents, from binary columns: content streams, Flate only, text operators, a readability test."""
+"""Text of PDF documents: every stream of a file is a row, inflated and read by itself, and the texts are joined in order.
+
+Files are scanned as characters, one for each byte. What a stream paints is read by column expressions; only inflating
+needs Python. A stream is one row and a file's text is one row; files of any number spread over the tasks.
+"""
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import quantity
+from ..names import free_names
+
+# Fixed values of the format, and the limits that a readable text must meet.
 #: A push of so many thousandths of an em inside a text array is a blank.
 BLANK_PUSH = -120
-_TOKEN = re.compile(rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|[-+]?\d*\.?\d+|[A-Za-z'\"*]+", re.DOTALL)
-_ESCAPED = re.compile(rb"\\([0-7]{1,3}|\r\n|.)", re.DOTALL)
-_PLAIN = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"\n": b"", b"\r": b"", b"\r\n": b""}
-_READABLE = re.compile(r"[A-Za-z0-9.,\-/:()&'\"%@+#*;?!\[\]]")
-
-
-def _string(token: bytes) -> str:
-    if token[:1] == b"<":
-        digits = re.sub(rb"\s", b"", token[1:-1])
-        raw = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
-    else:
-        raw = _ESCAPED.sub(lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() and m[1][:1] < b"8" else _PLAIN.get(m[1], m[1]), token[1:-1])
-    return raw[2:].decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("latin-1")
-
-
-def content_text(content: bytes) -> str:
-    """Shown strings in painting order, a line for each move of the text position."""
-    lines, line, shown, array = [], "", [], False
-    for m in _TOKEN.finditer(content):
-        token = m[0]
-        if token == b"[":
-            array = True
-        elif token == b"]":
-            array = False
-        elif token[:1] in b"(<":
-            shown.append(_string(token))
-        elif token[:1] in b"0123456789+-.":
-            if array and float(token) <= BLANK_PUSH:
-                shown.append(" ")
-        else:
-            if token in (b"'", b'"', b"Td", b"TD", b"T*", b"ET", b"BT") and line:
-                lines.append(line)
-                line = ""
-            if token in (b"Tj", b"TJ", b"'", b'"'):
-                line += "".join(shown)
-            shown = []
-    return "\n".join([*lines, line]).strip("\n")
-
-
-def is_readable(text: str) -> bool:
-    dense = re.sub(r"\s+", "", text)
-    return len(dense) >= 40 and len(_READABLE.findall(dense)) / len(dense) >= 0.85 and len(re.findall(r"\b[A-Za-z]{3,}\b", text)) >= 8
-
-
-def pdf_text(data: bytes | None) -> dict:
-    """ok, text, reason, streams and decoded: the number of streams and of those that held text operators."""
-    out = {"ok": False, "text": None, "reason": None, "streams": 0, "decoded": 0}
-    if not data or not data.lstrip()[:5] == b"%PDF-":
-        return out | {"reason": "not a PDF"}
-    if b"/Encrypt" in data:
-        return out | {"reason": "encrypted"}
-    texts = []
-    for m in re.finditer(rb"<<(.{0,2000}?)>>\s*stream\r?\n(.*?)\r?\n?endstream", data, re.DOTALL):
-        out["streams"] += 1
-        content = m[2]
-        if b"/Filter" in m[1]:
-            if b"FlateDecode" not in m[1]:
-                continue
+SHOWING = ("Tj", "TJ", "'", '"')
+ENDING_LINES = ("Td", "TD", "T*", "ET", "BT", "'", '"')
+IMAGES = r"/Subtype\s*/Image\b|/(?:DCT|JPX|CCITTFax|JBIG2)Decode\b"
+UNSUPPORTED = r"/(?:LZW|RunLength|ASCII85|ASCIIHex)Decode\b|/Crypt\b"
+READABLE_RATIO = 0.85
+MAX_CHARS = 20_000
+
+#: Brackets within a string may nest so deep; possessive, so no text is too long for the matcher's stack.
+_NESTED = 6
+
+
+def _string_pattern() -> str:
+    inner = r"\((?:[^\\()]++|\\.)*+\)"
+    for _ in range(_NESTED):
+        inner = rf"\((?:[^\\()]++|\\.|{inner})*+\)"
+    return inner
+
+
+_SHOWN = rf"(?:{_string_pattern()}|<(?!<)[^>]*+>)"
+#: Operands, then the operator they belong to; at the end of a stream there may be none.
+_STEP = rf"(?s)((?:{_SHOWN}|[^A-Za-z'\"*(])*+)([A-Za-z'\"*][A-Za-z0-9*'\"]*+|\z)"
+_ARRAY = rf"(?s)\[(?:{_SHOWN}|[^\]\[(])*+\]|{_SHOWN}"
+#: A string and what stands between it and the next.
+_UNIT = rf"(?s)({_SHOWN})([^(<]*+)"
+_STREAM = r"(?s)<<.{0,8000}?>>\s*stream(?:\r\n|\r|\n).*?endstream"
+_HEAD = r"(?s)^<<.{0,8000}?>>\s*stream(?:\r\n|\r|\n)"
+
+
+@F.pandas_udf(T.BinaryType())
+def inflate(packed: pd.Series) -> pd.Series:
+    """The inflated bytes, with or without a zlib header; null where they are neither or end early. What follows their end is not read."""
+
+    def one(data: bytes | None) -> bytes | None:
+        for window in (zlib.MAX_WBITS, -zlib.MAX_WBITS):
+            reader = zlib.decompressobj(window)
             try:
-                content = zlib.decompressobj().decompress(content)
+                out = reader.decompress(data) if data is not None else None
             except zlib.error:
                 continue
-        if re.search(rb"\bBT\b", content):
-            out["decoded"] += 1
-            text = content_text(content)
-            if is_readable(text):
-                texts.append(text)
-    if not texts:
-        return out | {"reason": "no readable text" if out["decoded"] else "no text streams"}
-    return out | {"ok": True, "text": "\n".join(texts)}
+            if reader.eof:
+                return out
+        return None
+
+    return packed.map(one)
 
 
-_RESULT = T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("text", T.StringType()), T.StructField("reason", T.StringType()), T.StructField("streams", T.IntegerType()), T.StructField("decoded", T.IntegerType())])
+def _all(c: Column, pattern: str, group: int = 0) -> Column:
+    return F.regexp_extract_all(c, F.lit(pattern), group)
 
 
-@F.pandas_udf(_RESULT)
-def read_pdf(data: pd.Series) -> pd.DataFrame:
-    """struct(ok, text, reason, streams, decoded) of a binary column."""
-    return pd.DataFrame([pdf_text(x) for x in data], columns=[f.name for f in _RESULT])
+def _bytes_as_text(c: Column) -> Column:
+    return F.decode(c, "ISO-8859-1")
+
+
+def _utf16(hexed: Column) -> Column:
+    """Text of UTF-16BE code units in hexadecimal; half pairs become U+FFFD, an odd byte at the end goes."""
+    units = _all(hexed, "(?i)D[89AB]..D[C-F]..|....")
+    return F.decode(F.unhex(F.array_join(F.transform(units, lambda u: F.when((F.length(u) == 4) & u.rlike("(?i)^D[89A-F]"), "FFFD").otherwise(u)), "")), "UTF-16BE")
+
+
+def _string(token: Column) -> Column:
+    """What a literal or hexadecimal string stands for."""
+    inner = F.substring(token, F.lit(2), F.length(token) - 2)
+    digits = F.regexp_replace(inner, "[^0-9A-Fa-f]", "")
+    even = F.when(F.length(digits) % 2 == 1, F.concat(digits, F.lit("0"))).otherwise(digits)
+
+    def unescaped(u: Column) -> Column:
+        rest = F.substring(u, F.lit(2), F.length(u) - 1)
+        control = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f", "\n": "", "\r": "", "\r\n": ""}
+        out = F.when(~u.startswith("\\"), u).when(rest.rlike("^[0-7]"), F.chr(F.conv(rest, 8, 10).cast("long") % 256))
+        for name, char in control.items():
+            out = out.when(rest == name, F.lit(char))
+        return out.otherwise(rest)
+
+    units = _all(inner, r"(?s)\\[0-7]{1,3}|\\\r\n|\\.|[^\\]++")
+    literal = F.when(~F.contains(inner, F.lit("\\")), inner).otherwise(F.array_join(F.transform(units, unescaped), ""))
+    hexed = F.when(token.startswith("<"), F.upper(even)).when(literal.startswith("þÿ"), F.hex(F.encode(literal, "ISO-8859-1")))
+    wide = _utf16(F.substring(hexed, F.lit(5), F.length(hexed)))
+    return F.when(hexed.startswith("FEFF"), wide).when(token.startswith("<"), _bytes_as_text(F.unhex(even))).otherwise(literal)
+
+
+def _shown(operands: Column) -> Column:
+    """The strings of an operator; within an array, a wide push after a string is a blank."""
+
+    def of_array(token: Column) -> Column:
+        def unit(text: Column, gap: Column) -> Column:
+            pushed = F.exists(_all(gap, "[-.0-9]++"), lambda n: F.coalesce(n.try_cast("double") <= BLANK_PUSH, F.lit(False)))
+            return F.concat(_string(text), F.when(pushed & ~_string(text).rlike(r"\s\z"), " ").otherwise(""))
+
+        return F.array_join(F.zip_with(_all(token, _UNIT, 1), _all(token, _UNIT, 2), unit), "")
+
+    return F.array_join(F.transform(_all(operands, _ARRAY), lambda t: F.when(t.startswith("["), of_array(t)).otherwise(_string(t))), "")
+
+
+def content_text(content: Column) -> Column:
+    """What a decoded content stream paints, in painting order: blanks are drawn together, empty lines go.
+
+    A line break within a string ends a line too. A string whose brackets are never closed, or nest deeper than seven, is
+    passed over up to the next bracket. Null stays null.
+    """
+
+    def step(operands: Column, operator: Column) -> Column:
+        shown = F.when(operator.isin(*SHOWING, ""), _shown(operands)).otherwise("")
+        return F.concat(shown, F.when(operator.isin(*ENDING_LINES), "\n").otherwise(""))
+
+    painted = F.array_join(F.zip_with(_all(content, _STEP, 1), _all(content, _STEP, 2), step), "")
+    lines = F.transform(F.split(painted, "\n"), lambda x: F.regexp_replace(F.regexp_replace(x, "[ \\t]+", " "), r"^\s+|\s+$", ""))
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+
+
+def pdf_streams(files: DataFrame, key: str = "path", data: str = "content") -> DataFrame:
+    """(key, digest, is_pdf, at, reason, content) with a row for each stream of each file, in the file's order from 0.
+
+    `content` is the decoded stream, a character for each byte, or null with the reason. A file without streams, or
+    that is no PDF, has one row whose `at` is null. `digest` tells files apart that bear one key.
+    """
+    chars = _bytes_as_text(F.col(data))
+    is_pdf = F.coalesce(F.contains(F.substring(chars, 1, 1024), F.lit("%PDF-")), F.lit(False))
+    rows = files.select(F.col(key).alias("key"), F.sha2(F.col(data), 256).alias("digest"), is_pdf.alias("is_pdf"), F.when(is_pdf, chars).alias("chars"))
+    rows = rows.select("key", "digest", "is_pdf", F.posexplode_outer(_all(F.col("chars"), _STREAM)).alias("at", "stream"))
+    head = F.regexp_extract("stream", _HEAD, 0)
+    body = F.substring("stream", F.length("head") + 1, F.length("stream") - F.length("head") - len("endstream"))
+    rows = rows.withColumn("head", head).withColumn("body", body)
+    image, flate = F.col("head").rlike(IMAGES), F.col("head").rlike(r"/FlateDecode\b")
+    rows = rows.withColumn("kind", F.when(image, "image stream").when(flate, "flate").when(F.col("head").rlike(UNSUPPORTED), "unsupported filter"))
+    packed = F.when(F.col("kind") == "flate", F.encode("body", "ISO-8859-1"))
+    rows = rows.withColumn("inflated", inflate(packed))
+    # the line end before the closing word is none of the data, but inflated bytes know their own end, which may be such a sign
+    tail = F.when(F.col("body").endswith("\r\n"), 2).when(F.col("body").endswith("\n") | F.col("body").endswith("\r"), 1).otherwise(0)
+    bare = F.substring("body", F.lit(1), F.length("body") - tail)
+    content = F.when(F.col("kind").isNull(), bare).when(F.col("kind") == "flate", _bytes_as_text(F.col("inflated")))
+    reason = F.when((F.col("kind") == "flate") & F.col("inflated").isNull(), "inflating failed").when(F.col("kind") != "flate", F.col("kind"))
+    return rows.select("key", "digest", "is_pdf", "at", reason.alias("reason"), content.alias("content"))
+
+
+def read_pdfs(files: DataFrame, key: str = "path", data: str = "content", max_chars: int | None = MAX_CHARS) -> DataFrame:
+    """The text of every file: (`key`, ok, text, reason, detail, streams, decoded, unreadable, chars, truncated).
+
+    `files` is what `spark.read.format("binaryFile")` gives, or any table with a key and bytes; other columns are not
+    read. Rows equal in key and bytes are one file; files of one key that differ are a row each; a null key is a key.
+    Null or empty bytes and other formats are "not a pdf". A stream that paints no words is left out, the rest is kept;
+    text beyond `max_chars` is cut and said to be truncated, and None keeps all. An empty table gives no rows.
+    """
+    paints = F.col("content").rlike(r"\b(?:Tj|TJ|BT)\b")
+    rows = pdf_streams(files, key, data).withColumn("text", F.when(paints, content_text(F.col("content"))))
+    rows = rows.withColumn("text", F.when(F.col("text") != "", F.col("text")))
+    worded = quantity.readable_ratio(F.col("text")) >= READABLE_RATIO
+    stream = F.struct("at", F.col("content").isNotNull().alias("decoded"), (F.col("text").isNotNull() & ~worded).alias("noise"), F.when(worded, F.col("text")).alias("text"), "reason")
+    folded = rows.groupBy("key", "digest", "is_pdf").agg(F.array_sort(F.collect_set(F.when(F.col("at").isNotNull(), stream))).alias("s"))
+    texts = F.filter(F.transform("s", lambda x: x["text"]), lambda x: x.isNotNull())
+    count = lambda field: F.size(F.filter("s", lambda x: x[field]))
+    out = folded.select("key", "is_pdf", F.size("s").alias("streams"), count("decoded").alias("decoded"), count("noise").alias("unreadable"), F.array_join(texts, "\n").alias("joined"), F.array_sort(F.array_distinct(F.filter(F.transform("s", lambda x: x["reason"]), lambda x: x.isNotNull()))).alias("reasons"))
+    ok = F.col("is_pdf") & quantity.is_readable(F.col("joined"), READABLE_RATIO)
+    detail = (
+        F.when(~F.col("is_pdf") | ok, F.lit(None))
+        .when(F.col("streams") == 0, "no streams")
+        .when(F.col("decoded") == 0, F.concat(F.lit("no stream decoded: "), F.array_join("reasons", ", ")))
+        .when((F.col("joined") == "") & (F.col("unreadable") == 0), "no text operators")
+        .otherwise("no words")
+    )
+    text = F.col("joined") if max_chars is None else F.substring("joined", 1, max_chars)
+    chars = F.length("joined")
+    (name,) = free_names(["ok", "text", "reason", "detail", "streams", "decoded", "unreadable", "chars", "truncated"], key)
+    return out.select(
+        F.col("key").alias(name), ok.alias("ok"), F.when(ok, text).alias("text"),
+        F.when(~F.col("is_pdf"), "not a pdf").when(~ok, "unreadable").alias("reason"), detail.alias("detail"),
+        "streams", "decoded", "unreadable", chars.alias("chars"), (ok & (F.lit(False) if max_chars is None else chars > max_chars)).alias("truncated"),
+    )
