@@ -72,5 +72,5 @@ def readable_ratio(c: Column) -> Column:
 
 
 def is_readable(c: Column, ratio: float = 0.85, least_chars: int = 40, least_words: int = 8) -> Column:
-    words = F.size(F.regexp_extract_all(c, F.lit(r"\b([A-Za-z]{3,})\b"), F.lit(1)))
+    words = F.size(F.regexp_extract_all(c, F.lit("(?<![A-Za-z0-9_])([A-Za-z]{3,})(?![A-Za-z0-9_])"), F.lit(1)))
     return (F.length(F.regexp_replace(c, r"\s+", "")) >= least_chars) & (readable_ratio(c) >= ratio) & (words >= least_words)

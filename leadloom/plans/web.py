@@ -97,11 +97,18 @@ def printed(rows: DataFrame, key: str, text: str) -> DataFrame:
     Words are strings of an array, with wide pushes between them; words beyond one byte a character are hexadecimal.
     """
 
+    wide = "[^\\x00-\\xFF]"
+
     def word(w):
-        return F.when(w.rlike("[^\\x00-\\xFF]"), F.concat(F.lit("<FEFF"), F.hex(F.encode(w, "UTF-16BE")), F.lit(">"))).otherwise(F.concat(F.lit("("), F.regexp_replace(w, r"([\\()])", r"\\$1"), F.lit(")")))
+        return F.when(w.rlike(wide), F.concat(F.lit("<FEFF"), F.hex(F.encode(w, "UTF-16BE")), F.lit(">"))).otherwise(F.concat(F.lit("("), escaped(w), F.lit(")")))
+
+    def escaped(x):
+        return F.regexp_replace(x, r"([\\()])", r"\\$1")
 
     def line(x):
-        return F.concat(F.lit("["), F.array_join(F.transform(F.split(x, " "), word), " -250.5 "), F.lit("] TJ T*\n"))
+        narrow = F.concat(F.lit("("), F.replace(escaped(x), F.lit(" "), F.lit(") -250.5 (")), F.lit(")"))
+        words = F.when(x.rlike(wide), F.array_join(F.transform(F.split(x, " "), word), " -250.5 ")).otherwise(narrow)
+        return F.concat(F.lit("["), words, F.lit("] TJ T*\n"))
 
     lines = F.split(text, "\n")
     pages = F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 40).cast("int")), lambda i: F.concat(F.lit("BT /F1 12 Tf 50 750 Td\n"), F.array_join(F.transform(F.slice(lines, i * 40 + 1, F.lit(40)), line), ""), F.lit("ET")))

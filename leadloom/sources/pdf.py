@@ -43,6 +43,10 @@ _STEP = rf"(?s)((?:{_SHOWN}|[^A-Za-z'\"*(])*+)([A-Za-z'\"*][A-Za-z0-9*'\"]*+|\z)
 _ARRAY = rf"(?s)\[(?:{_SHOWN}|[^\]\[(])*+\]|{_SHOWN}"
 #: A string and what stands between it and the next.
 _UNIT = rf"(?s)({_SHOWN})([^(<]*+)"
+#: An array whose strings have neither escapes, marks nor brackets, and whose numbers are short, is read by replacing what stands between them.
+_PLAIN_ARRAY = r"(?s)\A\[[^\\<()þ]*+(?:\([^\\<()þ]*+\)\s*+(?:-?\d{1,6}(?:\.\d{1,6})?)?\s*+)++\]\z"
+#: A push of BLANK_PUSH or wider between two strings.
+_WIDE_GAP = r"\)\s*+-0*+(?:1[2-9]\d|[2-9]\d\d|[1-9]\d{3,})(?:\.\d++)?\s*+\("
 _STREAM = r"(?s)<<.{0,8000}?>>\s*stream(?:\r\n|\r|\n).*?endstream"
 _HEAD = r"(?s)^<<.{0,8000}?>>\s*stream(?:\r\n|\r|\n)"
 
@@ -80,10 +84,8 @@ def _utf16(hexed: Column) -> Column:
 
 
 def _string(token: Column) -> Column:
-    """What a literal or hexadecimal string stands for."""
+    """What a literal or hexadecimal string stands for; most have neither escapes nor marks and are cut out as they are."""
     inner = F.substring(token, F.lit(2), F.length(token) - 2)
-    digits = F.regexp_replace(inner, "[^0-9A-Fa-f]", "")
-    even = F.when(F.length(digits) % 2 == 1, F.concat(digits, F.lit("0"))).otherwise(digits)
 
     def unescaped(u: Column) -> Column:
         rest = F.substring(u, F.lit(2), F.length(u) - 1)
@@ -93,11 +95,17 @@ def _string(token: Column) -> Column:
             out = out.when(rest == name, F.lit(char))
         return out.otherwise(rest)
 
-    units = _all(inner, r"(?s)\\[0-7]{1,3}|\\\r\n|\\.|[^\\]++")
-    literal = F.when(~F.contains(inner, F.lit("\\")), inner).otherwise(F.array_join(F.transform(units, unescaped), ""))
-    hexed = F.when(token.startswith("<"), F.upper(even)).when(literal.startswith("þÿ"), F.hex(F.encode(literal, "ISO-8859-1")))
-    wide = _utf16(F.substring(hexed, F.lit(5), F.length(hexed)))
-    return F.when(hexed.startswith("FEFF"), wide).when(token.startswith("<"), _bytes_as_text(F.unhex(even))).otherwise(literal)
+    literal = F.array_join(F.transform(_all(inner, r"(?s)\\[0-7]{1,3}|\\\r\n|\\.|[^\\]++"), unescaped), "")
+    digits = F.upper(F.regexp_replace(inner, "[^0-9A-Fa-f]", ""))
+    even = F.concat(digits, F.when(F.length(digits) % 2 == 1, "0").otherwise(""))
+    wide = lambda hexed: _utf16(F.substring(hexed, F.lit(5), F.length(hexed)))
+    escaped = F.contains(token, F.lit("\\"))
+    return (
+        F.when(token.startswith("<"), F.when(digits.startswith("FEFF"), wide(even)).otherwise(_bytes_as_text(F.unhex(even))))
+        .when(token.rlike(r"^\((?:þ|\\376)(?:ÿ|\\377)"), wide(F.hex(F.encode(literal, "ISO-8859-1"))))
+        .when(escaped, literal)
+        .otherwise(inner)
+    )
 
 
 def _shown(operands: Column) -> Column:
@@ -106,11 +114,18 @@ def _shown(operands: Column) -> Column:
     def of_array(token: Column) -> Column:
         def unit(text: Column, gap: Column) -> Column:
             pushed = F.exists(_all(gap, "[-.0-9]++"), lambda n: F.coalesce(n.try_cast("double") <= BLANK_PUSH, F.lit(False)))
-            return F.concat(_string(text), F.when(pushed & ~_string(text).rlike(r"\s\z"), " ").otherwise(""))
+            return F.concat(_string(text), F.when(pushed, " ").otherwise(""))
 
         return F.array_join(F.zip_with(_all(token, _UNIT, 1), _all(token, _UNIT, 2), unit), "")
 
-    return F.array_join(F.transform(_all(operands, _ARRAY), lambda t: F.when(t.startswith("["), of_array(t)).otherwise(_string(t))), "")
+    def of_plain_array(token: Column) -> Column:
+        strings = F.regexp_replace(F.regexp_replace(token, _WIDE_GAP, " "), r"\)[^()]*+\(", "")
+        return F.regexp_replace(strings, r"^[^(]*+\(|\)[^)]*+\z", "")
+
+    def of_operand(token: Column) -> Column:
+        return F.when(token.rlike(_PLAIN_ARRAY), of_plain_array(token)).when(token.startswith("["), of_array(token)).otherwise(_string(token))
+
+    return F.array_join(F.transform(_all(operands, _ARRAY), of_operand), "")
 
 
 def content_text(content: Column) -> Column:
