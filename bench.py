@@ -15,7 +15,7 @@ HEADLINE = (
     "orders_by_product", "match_order_to_lead", "dedupe_prices", "webhook_daily", "digest_deliveries", "event_idempotency", "message_sessions", "budget_admission", "find_phones", "find_emails", "html_text",
     "page_links", "url_hygiene", "keyword_match", "proximity_pairs", "weekly_report_sets", "entity_resolution_fold",
     "matched_items", "robots_hosts", "late_failures", "opening_outcomes", "weekly_report", "status_register", "order_loop_leads", "diversify_ties",
-    "entity_resolution_links", "digest_by_city", "digest_full_sheets", "bundle_files_verified", "latest_events",
+    "entity_resolution_links", "digest_by_city", "digest_full_sheets", "bundle_files_verified", "latest_events", "pdf_texts",
 )
 
 

@@ -38,9 +38,10 @@ def _string_pattern() -> str:
 
 
 _SHOWN = rf"(?:{_string_pattern()}|<(?!<)[^>]*+>)"
-#: Operands, then the operator they belong to; at the end of a stream there may be none.
-_STEP = rf"(?s)((?:{_SHOWN}|[^A-Za-z'\"*(])*+)([A-Za-z'\"*][A-Za-z0-9*'\"]*+|\z)"
-_ARRAY = rf"(?s)\[(?:{_SHOWN}|[^\]\[(])*+\]|{_SHOWN}"
+#: Operands, then the operator they belong to; at the end of a stream there may be none. The first class holds what is
+#: common, as Java tests it six times as fast as the second.
+_STEP = rf"(?s)((?:[\[\] .0-9\n-]++|[^A-Za-z'\"*(<]|{_SHOWN}|<)*+)([A-Za-z'\"*][A-Za-z0-9*'\"]*+|\z)"
+_ARRAY = rf"(?s)\[(?:[^\]\[(<]++|{_SHOWN}|<)*+\]|{_SHOWN}"
 #: A string and what stands between it and the next.
 _UNIT = rf"(?s)({_SHOWN})([^(<]*+)"
 #: An array whose strings have neither escapes, marks nor brackets, and whose numbers are short, is read by replacing what stands between them.
@@ -186,7 +187,8 @@ def read_pdfs(files: DataFrame, key: str = "path", data: str = "content", max_ch
     texts = F.filter(F.transform("s", lambda x: x["text"]), lambda x: x.isNotNull())
     count = lambda field: F.size(F.filter("s", lambda x: x[field]))
     out = folded.select("key", "is_pdf", F.size("s").alias("streams"), count("decoded").alias("decoded"), count("noise").alias("unreadable"), F.array_join(texts, "\n").alias("joined"), F.array_sort(F.array_distinct(F.filter(F.transform("s", lambda x: x["reason"]), lambda x: x.isNotNull()))).alias("reasons"))
-    ok = F.col("is_pdf") & quantity.is_readable(F.col("joined"), READABLE_RATIO)
+    out = out.withColumn("ok", F.col("is_pdf") & quantity.is_readable(F.col("joined"), READABLE_RATIO))
+    ok = F.col("ok")
     detail = (
         F.when(~F.col("is_pdf") | ok, F.lit(None))
         .when(F.col("streams") == 0, "no streams")
@@ -198,7 +200,7 @@ def read_pdfs(files: DataFrame, key: str = "path", data: str = "content", max_ch
     chars = F.length("joined")
     (name,) = free_names(["ok", "text", "reason", "detail", "streams", "decoded", "unreadable", "chars", "truncated"], key)
     return out.select(
-        F.col("key").alias(name), ok.alias("ok"), F.when(ok, text).alias("text"),
+        F.col("key").alias(name), "ok", F.when(ok, text).alias("text"),
         F.when(~F.col("is_pdf"), "not a pdf").when(~ok, "unreadable").alias("reason"), detail.alias("detail"),
         "streams", "decoded", "unreadable", chars.alias("chars"), (ok & (F.lit(False) if max_chars is None else chars > max_chars)).alias("truncated"),
     )
