@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, hashing, quantity, strings
 from ..operators import dedupe, ranking, series
+from ..sources import sinks
 from .leads import scored
 from .tables import REGISTER_SQL, read, register, today
 
@@ -116,6 +117,20 @@ def orders_filter(spark, d):
     return read(spark, d, "orders").where("o_orderdate >= DATE'1998-01-01'").join(lines, "o_orderkey", "left_semi").select("o_orderkey", "o_custkey")
 
 
+@query("""WITH l AS (SELECT l_orderkey, string_agg(p_name, '; ' ORDER BY l_linenumber, p_name) AS lines FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
+r AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, c_name AS buyer, n_name AS city, lines, o_orderpriority AS frequency, CASE WHEN o_orderkey % 5 = 0 THEN 'call, then "knock"' END AS notes, o_orderstatus FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey LEFT JOIN l ON l_orderkey = o_orderkey)
+SELECT o_orderkey AS id, concat_ws(',', o_orderkey, day, buyer, city, coalesce(lines, ''), frequency, coalesce('"' || replace(notes, '"', '""') || '"', ''), o_orderstatus) AS line FROM r""")
+def orders_csv(spark, d):
+    """Every order as a line of CSV: its products in the order of its lines, then by name, joined in one cell."""
+    names = read(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    lines = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(names, "l_partkey").groupBy(F.col("l_orderkey").alias("id"))
+    lines = lines.agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "p_name"))), lambda x: x["p_name"]).alias("lines"))
+    buyers = read(spark, d, "customer").join(F.broadcast(read(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("buyer"), F.col("n_name").alias("city"))
+    orders = read(spark, d, "orders").join(buyers, "o_custkey").withColumnRenamed("o_orderkey", "id").join(lines, "id", "left")
+    notes = F.when(F.col("id") % 5 == 0, 'call, then "knock"')
+    return sinks.csv_lines(orders.withColumns({"day": F.col("o_orderdate").cast("date"), "notes": notes}), ["id", "day", "buyer", "city", "lines", "o_orderpriority", "notes", "o_orderstatus"], keep=["id"])
+
+
 @query("SELECT lower(p_name) AS product, count(DISTINCT l_orderkey) AS orders FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
 def orders_by_product(spark, d):
     names = read(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.lower("p_name").alias("product"))

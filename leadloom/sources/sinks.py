@@ -91,11 +91,11 @@ def append_events(log: DataFrame, events: DataFrame, path: str, order: list) ->
     dedupe.append_keyed(log, events, order).write.mode("append").parquet(path)
 
 
-def csv_lines(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """One line a row, cells quoted only where needed; arrays joined by '; '."""
+def csv_lines(rows: DataFrame, columns: list[str], keep: list[str] | None = None) -> DataFrame:
+    """One line a row, beside the columns to keep; cells quoted only where needed, nulls empty, arrays joined by '; '."""
     kinds = dict(rows.dtypes)
     cell = lambda c: strings.csv_cell(F.array_join(c, "; ") if kinds[c].startswith("array") else F.col(c))
-    return rows.select(F.concat_ws(",", *map(cell, columns)).alias("line"))
+    return rows.select(*(keep or []), F.concat_ws(",", *map(cell, columns)).alias("line"))
 
 
 def write_csv(rows: DataFrame, columns: list[str], path: str) -> None:
