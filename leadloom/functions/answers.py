@@ -23,10 +23,10 @@ PICTOGRAPHS = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}]"
 
 def extract_json(text: Column) -> Column:
     """The JSON of an answer as a variant: fenced, bare, or from the first brace to the last; null if none of them parses."""
-    raw = F.trim(F.coalesce(text, F.lit("")))
-    fenced = strings.blank_to_null(F.trim(F.regexp_extract(raw, r"(?is)```(?:json)?\s*(.*?)```", 1)))
     braces = lambda c: strings.blank_to_null(F.regexp_extract(c, r"(?s)(\{.*\})", 1))
-    return F.coalesce(*(F.try_parse_json(c) for c in (fenced, braces(fenced), strings.blank_to_null(raw), braces(raw))))
+    fenced = lambda raw: strings.blank_to_null(F.trim(F.regexp_extract(raw, r"(?is)```(?:json)?\s*(.*?)```", 1)))
+    parsed = lambda raw, inner: F.coalesce(*(F.try_parse_json(c) for c in (inner, braces(inner), strings.blank_to_null(raw), braces(raw))))
+    return strings.once(F.trim(F.coalesce(text, F.lit(""))), lambda raw: strings.once(fenced(raw), lambda inner: parsed(raw, inner)))
 
 
 def _kind(v: Column, path: str) -> Column:
@@ -57,7 +57,7 @@ def _checked(v: Column, problems: list[Column], fields: list[Column]) -> Column:
     is_object = _kind(v, "$").startswith("OBJECT")
     said = F.array_join(F.filter(F.array(*problems), lambda p: p.isNotNull()), "; ")
     reason = F.when(v.isNull(), "reply is not JSON").when(~is_object, "reply is not a JSON object").when(said != "", said)
-    return F.struct(reason.isNull().alias("ok"), reason.alias("reason"), *(F.when(reason.isNull(), f).alias(n) for n, f in fields))
+    return strings.once(reason, lambda why: F.struct(why.isNull().alias("ok"), why.alias("reason"), *(F.when(why.isNull(), f).alias(n) for n, f in fields)))
 
 
 def _confidence(v: Column) -> tuple[Column, Column]:
@@ -79,7 +79,10 @@ def parse_enrich(text: Column) -> Column:
     Segment, size and confidence must be there, and the first two among the known values; a confidence out of range
     is clamped; lists hold 8 and 4 members at most.
     """
-    v = extract_json(text)
+    return strings.once(extract_json(text), _enrich)
+
+
+def _enrich(v: Column) -> Column:
     no_confidence, confidence = _confidence(v)
     date, dropped = _deadline(v)
     problems = []
@@ -98,7 +101,10 @@ def parse_enrich(text: Column) -> Column:
 
 def parse_requirement(text: Column) -> Column:
     """struct(ok, reason, is_requirement, organisation, city, requirement, quantity, deadline, deadline_dropped, contact_hint, site, evidence, confidence); only is_requirement and confidence must be there."""
-    v = extract_json(text)
+    return strings.once(extract_json(text), _requirement)
+
+
+def _requirement(v: Column) -> Column:
     no_confidence, confidence = _confidence(v)
     date, dropped = _deadline(v)
     problems = [F.when(_kind(v, "$.is_requirement") != "BOOLEAN", "is_requirement is missing or not true/false"), no_confidence]
@@ -119,6 +125,10 @@ def parse_opener(text: Column) -> Column:
     """
     unfenced = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"^\s*```\w*", ""))
     said = F.filter(F.transform(unfenced, lambda x: F.ltrim(F.rtrim(x, F.lit(AROUND)), F.lit(AROUND + LIST_MARKS))), lambda x: x != "")
+    return strings.once(said, _opener)
+
+
+def _opener(said: Column) -> Column:
     opener = F.slice(said, 1, 2)
     over = F.get(F.filter(F.transform(opener, F.length), lambda n: n > OPENER_CHARS), F.lit(0))
     holds = lambda pattern: F.array_join(opener, "\n").rlike(pattern)

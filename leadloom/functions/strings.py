@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -14,6 +15,11 @@ from pyspark.sql import types as T
 SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
 
+def once(c: Column, body: Callable[[Column], Column]) -> Column:
+    """body(c), with `c` worked out once a row however often the body reads it: a plain expression would be repeated at every use."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def blank_to_null(c: Column) -> Column:
     return F.when(c != "", c)
 

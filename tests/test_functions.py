@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from leadloom.functions import contacts, dates, hashing, markup, quantity, strings
+from leadloom.functions import answers, contacts, dates, hashing, markup, quantity, strings
 
 
 def one(spark, text, expression, kind="string"):
@@ -116,3 +116,9 @@ def test_signature(spark):
     good = "sha256=" + hmac.new(b"k", b"body", hashlib.sha256).hexdigest()
     rows = spark.createDataFrame([("body", good), ("body", "sha256=0"), (None, None)], "b string, h string")
     assert [r[0] for r in rows.select(hashing.signature_holds("k")("b", "h")).collect()] == [True, False, False]
+
+
+def test_answers_and_values_are_worked_out_once(spark):
+    """An expression that reads its argument often repeats it at every use; the text of the column shows how often."""
+    c = F.col("c")
+    assert str(answers.parse_enrich(c)).count("parse_json") == 4 and str(answers.parse_requirement(c)).count("parse_json") == 4
