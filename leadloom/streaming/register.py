@@ -10,14 +10,14 @@ from __future__ import annotations
 import datetime
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: State in RocksDB: what the state processors need, set on the session before a stream starts.
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-STATE = "first_seen timestamp, last_seen timestamp, sightings long, status string, status_at timestamp"
+#: Times are kept in microseconds, which no time zone of a worker touches.
+STATE = "first_seen long, last_seen long, sightings long, status string, status_at long"
 LEAD = f"key string, event string, {STATE}"
 
 
@@ -28,58 +28,60 @@ def linking_key(phone: Column, name_key: Column, city_key: Column, external: Col
 
 
 class _Register(StatefulProcessor):
-    """State of one key: the span and number of its sightings, and its last status by time, the greater one on ties."""
+    """State of one key: the span and number of its sightings, and its last status by time, the greater one on ties.
+
+    Rows are taken one by one: a key has few in a batch, and a data frame for each key costs more than all of them. The
+    timer to take back follows from the state, so none are listed.
+    """
 
     def __init__(self, quiet: datetime.timedelta):
-        self._quiet = quiet
+        self._quiet = quiet // datetime.timedelta(microseconds=1)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._lead = handle.getValueState("lead", STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first, last, n, status, at = self._lead.get() if self._lead.exists() else (None, None, 0, None, None)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        first, last, n, status, at = self._lead.get() or (None, None, 0, None, None)
         old = last
-        for batch in rows:
-            seen = batch["at"].dropna()
-            n += len(batch)
-            if len(seen):
-                low, high = seen.min().to_pydatetime(), seen.max().to_pydatetime()
-                first, last = min(first or low, low), max(last or high, high)
-            told = batch[batch["status"].notna() & batch["at"].notna()]
-            if len(told):
-                best = max(zip(told["at"], told["status"], strict=True))
-                if at is None or (best[0].to_pydatetime(), best[1]) > (at, status):
-                    at, status = best[0].to_pydatetime(), best[1]
+        for row in rows:
+            n += 1
+            seen, told = row["micros"], row["status"]
+            if seen is None:
+                continue
+            first, last = min(seen if first is None else first, seen), max(seen if last is None else last, seen)
+            if told is not None and (at is None or (seen, told) > (at, status)):
+                at, status = seen, told
         self._lead.update((first, last, n, status, at))
-        if last is not None and last != old:
-            for timer in list(self._handle.listTimers()):
-                self._handle.deleteTimer(timer)
-            self._handle.registerTimer(_millis(last + self._quiet))
-        yield pd.DataFrame([(key[0], "seen", first, last, n, status, at)], columns=[c.split()[0] for c in LEAD.split(", ")])
+        if last != old:
+            if old is not None:
+                self._handle.deleteTimer(self._due(old))
+            self._handle.registerTimer(self._due(last))
+        yield self._row(key, "seen", (first, last, n, status, at))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        first, last, n, status, at = self._lead.get()
-        yield pd.DataFrame([(key[0], "quiet", first, last, n, status, at)], columns=[c.split()[0] for c in LEAD.split(", ")])
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        yield self._row(key, "quiet", self._lead.get())
 
-    def close(self) -> None:
-        pass
+    def _due(self, last: int) -> int:
+        return (last + self._quiet) // 1000
 
+    def _row(self, key, event: str, state: tuple) -> Row:
+        return Row(**dict(zip((c.split()[0] for c in LEAD.split(", ")), (key[0], event, *state), strict=True)))
 
-def _millis(at: datetime.datetime) -> int:
-    return int((at - datetime.datetime(1970, 1, 1)) / datetime.timedelta(milliseconds=1))
+    def close(self) -> None:
+        pass
 
 
 def running_register(sightings: DataFrame, delay: str, quiet: datetime.timedelta) -> DataFrame:
     """A row of the key's whole state after each batch that saw it (event 'seen'), and one when it has not been seen for `quiet`.
 
-    sightings (key, at, status), a stream; null statuses change none, and null times count as a sighting only. Times
-    are taken in the session's zone, which should be UTC. Sightings later than `delay` are dropped by the watermark.
+    sightings (key, at, status), a stream; null statuses change none, and null times count as a sighting only. Sightings later than `delay` are dropped by the watermark.
     Null keys are left out.
     """
     rows = sightings.select(F.col("key").cast("string").alias("key"), F.col("at").cast("timestamp").alias("at"), F.col("status").cast("string").alias("status"))
-    rows = rows.where("key IS NOT NULL").withWatermark("at", delay)
-    return rows.groupBy("key").transformWithStateInPandas(_Register(quiet), LEAD, "Update", "EventTime")
+    rows = rows.where("key IS NOT NULL").withWatermark("at", delay).withColumn("micros", F.unix_micros("at"))
+    out = rows.groupBy("key").transformWithState(_Register(quiet), LEAD, "Update", "EventTime")
+    return out.withColumns({c: F.timestamp_micros(c) for c in ("first_seen", "last_seen", "status_at")})
 
 
 def register_fold(sightings: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import datetime
 import random
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from leadloom.streaming import register, replay
@@ -55,3 +56,36 @@ def test_late_failures(spark):
         assert {r["number"] for r in got} == {1, 2, 3, 4, 5, 6, 7}
     states = {r["message"]: r["state"] for r in register.corrected(sent.select("message", F.when(F.col("number") == 2, "failed later").otherwise("sent").alias("state")), replay.late_failures(sent, reports, "1 day", "2 days")).collect()}
     assert states == {"kept": "sent", "late": "failed later", "twice": "failed later", "too late": "sent", "before": "sent", None: "sent", "read": "sent", "last": "sent"}
+
+
+class Handle:
+    """A state handle that notes what it is asked: one read and one write of the state a visit, no lists of timers."""
+
+    def __init__(self):
+        self.asked, self.kept, self.timers = [], None, set()
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.asked.append("get")
+        return self.kept
+
+    def update(self, value):
+        self.asked.append("update")
+        self.kept = value
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+def test_a_visit_reads_and_writes_its_state_once(spark):
+    lead, handle = register._Register(DAY), Handle()
+    lead.init(handle)
+    visits = [[(5_000, "won"), (None, "lost"), (3_000, None)], [(4_000, "lost")], [(9_000, None), (5_000, "zzz")]]
+    got = [[tuple(r) for r in lead.handleInputRows(("k",), iter([Row(micros=m, status=s) for m, s in rows]), None)] for rows in visits]
+    assert got == [[("k", "seen", 3_000, 5_000, 3, "won", 5_000)], [("k", "seen", 3_000, 5_000, 4, "won", 5_000)], [("k", "seen", 3_000, 9_000, 6, "zzz", 5_000)]]
+    assert handle.asked == ["get", "update"] * 3 and handle.timers == {86_400_009}
