@@ -7,7 +7,7 @@ Requirements and registrations meet by id only.
 Which lead a row meets depends on the rows before it, what a lead becomes does not: every field is an ordered
 aggregate of the rows it took in. So the work has three steps.
 
-1. Rows fall into components by shared ids, phones and names.
+1. Rows fall into components by shared ids, phones and names, as far as incoming rows bear them (`deciding_keys`).
 2. Within a component, rows that can only go where the row before them went are folded into runs (`_runs`), so a key
    that a third of all rows share leaves a few runs and not a task with a third of the rows. What is left of a
    component is decided in order, by its keys alone (`_decide`).
@@ -16,6 +16,7 @@ aggregate of the rows it took in. So the work has three steps.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import pandas as pd
@@ -40,10 +41,21 @@ class Resolution(NamedTuple):
     links: DataFrame
 
 
-def linking_keys(rows: DataFrame) -> DataFrame:
-    """(rid, key) for ids, phones and names. City stays out: a merge can pair one row's name with another's city."""
+def linking_keys(rows: DataFrame, *more: str) -> DataFrame:
+    """(rid, key, and the columns of `more`) for ids, phones and names. City stays out: a merge can pair one row's name with another's city."""
     keys = F.array(F.concat(F.lit("i:"), "id"), F.when(F.col("phone") != "", F.concat(F.lit("p:"), "phone")), F.when(F.col("name_key") != "", F.concat(F.lit("n:"), "name_key")))
-    return rows.select("rid", F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("key"))
+    return rows.select("rid", *more, F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("key"))
+
+
+def deciding_keys(rows: DataFrame) -> DataFrame:
+    """(rid, key) of the keys that can decide where a row goes: several rows bear them and, but for ids, an incoming one does.
+
+    Only incoming rows look for a lead, each by its own keys, so a phone or name that none of them bears is never asked
+    for; of ids the register's last row stays. What is left grows with the incoming rows and what they meet.
+    """
+    keys = linking_keys(rows, "incoming")
+    asked = keys.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("incoming").alias("asked")).where((F.col("n") > 1) & (F.col("asked") | F.col("key").startswith("i:")))
+    return keys.join(asked.select("key"), "key").select("rid", "key")
 
 
 def key_components(keys: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -125,42 +137,51 @@ def _runs(rows: DataFrame) -> DataFrame:
     return counted.join(ends, ["comp", "stretch"], "left").select(*rows.columns, run.alias("run"))
 
 
-def _decide(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The rule over the runs of one component, in order: (comp, run, lead, lead_id, same)."""
-    leads: dict[str, dict] = {}
-    found_by: dict[tuple, str] = {}
-    met = []
-    for row in pdf.sort_values(["incoming", "ord", "rid"]).astype(object).where(lambda d: d.notna(), None).to_dict("records"):
-        own = f"i{row['id']}" if row["id"] is not None else f"r{row['rid']}"
-        phone = ("phone", row["phone"]) if row["phone"] else None
-        name = ("name", row["name_key"], row["city_key"]) if row["name_key"] else None
-        to = None
-        if row["incoming"]:
-            ways = [] if row["document"] else [found_by.get(k) for k in (phone, name) if k]
-            to = own if own in leads else next((w for w in ways if w), None)
-        if to is None:
-            to = own
-            leads[own] = dict(row)
-        else:
+def _decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rule over runs that come by component, in order: (comp, run, lead, lead_id, same). Only one component is held."""
+    comp, leads, found_by, met = None, {}, {}, []
+    rows = lambda: [(comp, run, leads[to]["rid"], leads[to]["id"], same) for run, to, same in met]
+    table = lambda out: pd.DataFrame(out, columns=["comp", "run", "lead", "lead_id", "same"])
+    for pdf in batches:
+        out = []
+        for row in pdf.astype(object).where(pdf.notna(), None).to_dict("records"):
+            if row["comp"] != comp:
+                out += rows()
+                comp, leads, found_by, met = row["comp"], {}, {}, []
+            own = f"i{row['id']}" if row["id"] is not None else f"r{row['rid']}"
+            phone = ("phone", row["phone"]) if row["phone"] else None
+            name = ("name", row["name_key"], row["city_key"]) if row["name_key"] else None
+            to = None
+            if row["incoming"]:
+                ways = [] if row["document"] else [found_by.get(k) for k in (phone, name) if k]
+                to = own if own in leads else next((w for w in ways if w), None)
+            if to is None:
+                to = own
+                leads[own] = dict(row)
+            else:
+                lead = leads[to]
+                lead["phone"] = lead["phone"] or row["phone"]
+                if row["name_size"] > lead["name_size"]:
+                    lead["name_size"], lead["name_key"] = row["name_size"], row["name_key"]
+                if not lead["has_city"] and row["has_city"]:
+                    lead["has_city"], lead["city_key"] = True, row["city_key"]
+            met.append((row["run"], to, to == own))
             lead = leads[to]
-            lead["phone"] = lead["phone"] or row["phone"]
-            if row["name_size"] > lead["name_size"]:
-                lead["name_size"], lead["name_key"] = row["name_size"], row["name_key"]
-            if not lead["has_city"] and row["has_city"]:
-                lead["has_city"], lead["city_key"] = True, row["city_key"]
-        met.append((row["run"], to, to == own))
-        lead = leads[to]
-        if not lead["document"]:
-            if lead["phone"]:
-                found_by["phone", lead["phone"]] = to
-            if lead["name_key"]:
-                found_by["name", lead["name_key"], lead["city_key"]] = to
-    comp = pdf["comp"].iloc[0]
-    return pd.DataFrame([(comp, run, leads[to]["rid"], leads[to]["id"], same) for run, to, same in met], columns=["comp", "run", "lead", "lead_id", "same"])
+            if not lead["document"]:
+                if lead["phone"]:
+                    found_by["phone", lead["phone"]] = to
+                if lead["name_key"]:
+                    found_by["name", lead["name_key"], lead["city_key"]] = to
+        yield table(out)
+    yield table(rows())
 
 
 def _decide_runs(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("comp").applyInPandas(_decide, "comp long, run string, lead long, lead_id string, same boolean")
+    """Components are dealt over the tasks and come one after the other; a group for each of them costs more than its rows."""
+    spark = runs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    dealt = runs.repartition(parts, "comp").sortWithinPartitions("comp", "incoming", F.asc_nulls_last("ord"), "rid")
+    return dealt.mapInPandas(_decide, "comp long, run string, lead long, lead_id string, same boolean")
 
 
 def _leads(met: DataFrame) -> DataFrame:
@@ -196,7 +217,7 @@ def resolve(register: DataFrame, incoming: DataFrame) -> Resolution:
     both = register.select(*text, order, F.lit(False).alias("incoming")).unionByName(incoming.select(*text, order, F.lit(True).alias("incoming")))
     rows = both.withColumns({"name_key": strings.name_key(F.col("name")), "city_key": F.coalesce(strings.city_key(F.col("city")), F.lit("")), "document": F.coalesce(F.col("kind").isin(*DOCUMENT_KINDS), F.lit(False))})
     rows = materialize(rows.withColumn("rid", F.monotonically_increasing_id()), "rows")
-    labels = key_components(linking_keys(rows))
+    labels = key_components(deciding_keys(rows))
     shared = labels.groupBy("comp").agg((F.count("*") > 1).alias("shared"))
     placed = rows.join(labels.join(shared, "comp"), "rid", "left")
     several = materialize(_runs(placed.where("shared").drop("shared")), "runs")

@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,3 +163,22 @@ def test_rows_without_ids_repeated_ids_and_empty_tables(spark):
     out = resolve.resolve(df([r(id="a", phone="1"), r(id="a", phone="2", ord=2)]), df([r(phone="1"), r(), r(ord=3)]))
     rows = out.leads.collect()
     assert sorted((x["id"] or "", x["phone"] or "", x["n_duplicate"]) for x in rows) == [("", "", 0), ("", "", 0), ("a", "2", 1)]
+
+
+def test_components_are_decided_across_batches():
+    """A component may be cut by a batch; the next one starts anew, whatever keys it shares."""
+    row = lambda comp, rid, incoming: dict(comp=comp, run=f"row {rid}", id=f"i{rid}", document=False, phone="p", name_key=None, name_size=0, city_key="", has_city=False, incoming=incoming, ord=rid, rid=rid)
+    rows = [row(1, 1, False), row(1, 2, True), row(1, 3, True), row(2, 4, True), row(2, 5, True)]
+    for cuts in ([5], [1, 2, 2], [3, 2]):
+        batches, at = [], 0
+        for n in cuts:
+            batches.append(pd.DataFrame(rows[at : at + n]))
+            at += n
+        got = pd.concat(list(resolve._decide(iter(batches))))
+        assert [tuple(r) for r in got[["comp", "run", "lead", "same"]].itertuples(index=False)] == [(1, "row 1", 1, True), (1, "row 2", 1, False), (1, "row 3", 1, False), (2, "row 4", 4, True), (2, "row 5", 4, False)]
+
+
+def test_only_keys_that_an_incoming_row_bears_decide(spark):
+    rows = [(1, False, "a", "p", "n"), (2, False, "b", "p", "n"), (3, False, "b", None, "m"), (4, True, "c", None, "m"), (5, True, "d", "q", None)]
+    table = spark.createDataFrame(rows, "rid long, incoming boolean, id string, phone string, name_key string")
+    assert sorted(map(tuple, resolve.deciding_keys(table).collect())) == [(2, "i:b"), (3, "i:b"), (3, "n:m"), (4, "n:m")]
