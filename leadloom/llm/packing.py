@@ -21,10 +21,10 @@ CAPACITY = 4096
 END_ID = 1
 #: The tokenizer where no path is given, and the only one whose texts are coded by remembered chunks.
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
-#: Chunks of text whose ids a worker remembers before it starts anew.
-CACHE_CHUNKS = 400_000
+#: Chunks of text, and characters of them, whose ids a worker remembers; beyond either, the half met most often stays.
+CACHE_CHUNKS, CACHE_CHARS = 200_000, 8_000_000
 #: Bytes of text handled at a time within a worker.
-STEP_CHARS = 2_000_000
+STEP_CHARS = 500_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -53,42 +53,77 @@ class ChunkIds(dict):
         self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         letters = _byte_letters()
         self.as_bytes = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(256)}
-        self.parts: dict[str, list[int]] = {}
         self.new: list[str] = []
+        self.chars = 0
         self.starts = np.zeros(0, np.int64)
         self.lens = np.zeros(0, np.int64)
+        self.uses = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
     def __missing__(self, chunk: str) -> int:
         self[chunk] = i = len(self)
         self.new.append(chunk)
+        self.chars += len(chunk)
         return i
 
-    def _coded(self, part: str) -> list[int]:
-        found = [t.id for t in self.tokenizer.model.tokenize(part if part.isascii() and part.isprintable() else part.translate(self.as_bytes))]
-        if len(part) < 24:
-            self.parts[part] = found
-        return found
+    def taken(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the chunks of these indices, one after the other; how many ids each has)."""
+        lens = self.lens[at]
+        ends = np.cumsum(lens)
+        return self.ids[np.repeat(self.starts[at] - (ends - lens), lens) + np.arange(int(lens.sum()))], lens
+
+    def _add(self, ids: np.ndarray, lens: np.ndarray, at: np.ndarray) -> None:
+        ends = np.cumsum(lens)
+        self.starts[at], self.lens[at] = len(self.ids) + ends - lens, lens
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _forget(self) -> None:
+        """Keep the chunks met most often, up to half of either limit; what was met once goes, and counts are halved."""
+        names = list(self)
+        often = np.argsort(-self.uses, kind="stable")[: CACHE_CHUNKS // 2]
+        often = often[self.uses[often] > 1]
+        sizes = np.fromiter((len(names[i]) for i in often.tolist()), np.int64, len(often))
+        keep = often[np.cumsum(sizes) <= CACHE_CHARS // 2]
+        self.clear()
+        self.update((names[i], k) for k, i in enumerate(keep.tolist()))
+        self.chars = sum(map(len, self))
+        ids, lens = self.taken(keep)
+        self.starts, self.lens, self.uses, self.ids = np.zeros_like(lens), lens, self.uses[keep] // 2, self.ids[:0]
+        self._add(ids, lens, np.arange(len(keep)))
+
+    def _code(self) -> None:
+        """Ids of the new chunks. Words with signs are put together from their parts, which are chunks too."""
+        known = len(self.starts)
+        flat: list[int] = []
+        alone, lens, joined, parts = [], [], [], []
+        for i, chunk in enumerate(self.new, known):  # grows by the parts
+            kept = _KEPT.findall(chunk)
+            if len(kept) == 1:
+                found = [t.id for t in self.tokenizer.model.tokenize(chunk if chunk.isascii() and chunk.isprintable() else chunk.translate(self.as_bytes))]
+                flat += found
+                alone.append(i)
+                lens.append(len(found))
+            else:
+                joined.append(i)
+                parts.append([self[part] for part in kept])
+        more = np.zeros(len(self.new), np.int64)
+        self.new = []
+        self.starts, self.lens, self.uses = (np.concatenate([x, more]) for x in (self.starts, self.lens, self.uses))
+        self._add(np.array(flat, dtype=np.uint32), np.array(lens, dtype=np.int64), np.array(alone, dtype=np.int64))
+        if joined:
+            at = np.array([i for p in parts for i in p], dtype=np.int64)
+            ids, sizes = self.taken(at)
+            counts = np.fromiter(map(len, parts), np.int64, len(parts))
+            self._add(ids, np.add.reduceat(sizes, np.cumsum(counts) - counts), np.array(joined))
+            self.uses += np.bincount(at, minlength=len(self))
 
     def index(self, chunks: list[str]) -> np.ndarray:
-        if len(self) > CACHE_CHUNKS:
-            self.clear()
-            self.starts, self.lens, self.ids = self.starts[:0], self.lens[:0], self.ids[:0]
-        if len(self.parts) > CACHE_CHUNKS:
-            self.parts.clear()
+        if len(self) > CACHE_CHUNKS or self.chars > CACHE_CHARS:
+            self._forget()
         out = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
         if self.new:
-            flat: list[int] = []
-            ends = np.zeros(len(self.new), np.int64)
-            for i, chunk in enumerate(self.new):
-                for part in _KEPT.findall(chunk):
-                    flat += self.parts.get(part) or self._coded(part)
-                ends[i] = len(flat)
-            starts = np.concatenate([[0], ends[:-1]])
-            self.starts = np.concatenate([self.starts, len(self.ids) + starts])
-            self.lens = np.concatenate([self.lens, ends - starts])
-            self.ids = np.concatenate([self.ids, np.array(flat, dtype=np.uint32)])
-            self.new = []
+            self._code()
+        self.uses += np.bincount(out, minlength=len(self))
         return out
 
 
@@ -122,11 +157,8 @@ def encode_texts(texts: list[str], cache: ChunkIds) -> list[np.ndarray]:
             out[i] = np.array(e.ids, dtype=np.uint32)
     if plain:
         at = cache.index(chunks)
-        lens = cache.lens[at]
-        ends = np.cumsum(lens)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = cache.ids[np.repeat(cache.starts[at] - (ends - lens), lens) + np.arange(total)]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        ids, lens = cache.taken(at)
+        bounds = np.concatenate([[0], np.cumsum(lens)])[np.concatenate([[0], np.cumsum(counts)])]
         for k, i in enumerate(plain):
             out[i] = ids[bounds[k] : bounds[k + 1]]
     return out

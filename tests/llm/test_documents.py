@@ -170,6 +170,21 @@ def test_ids_of_texts_that_hold_added_tokens(spark):
     assert {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in rows} == {i: (len(w) + 1, zlib.crc32(np.array([*w, 1], "<u4").tobytes())) for i, w in enumerate(want)}
 
 
+def test_store_of_chunks_is_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_CHUNKS", 200)
+    monkeypatch.setattr(packing, "CACHE_CHARS", 4000, raising=False)
+    tokenizer = packing.load_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    cache = packing.ChunkIds(tokenizer)
+    for step in range(40):
+        many = [f"w{step}x{i}," for i in range(90)] if step % 2 else [f"{step}{'long' * 20}{i}" for i in range(12)]
+        texts = ["the rain, don't (twice) é ''s " * 3, " ".join(many), "", "Rain's w1x1, ?!"]
+        assert [g.tolist() for g in packing.encode_texts(texts, cache)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        # a step adds its own words to what is kept, and no second store grows beside them
+        assert len(cache) <= 200 + 200 and sum(map(len, cache)) <= 4000 + 1500
+        assert len(cache.ids) <= 8 * 4000 and not getattr(cache, "parts", None)
+    assert "rain," in cache and "0" + "long" * 20 + "1" not in cache
+
+
 def test_other_tokenizers_and_repeated_rows(spark):
     from tokenizers import Tokenizer
 
