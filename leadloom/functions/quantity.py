@@ -64,13 +64,21 @@ def cost_inr(tokens_in: Column, tokens_out: Column, usd_in: Column, usd_out: Col
     return (micro / 10_000).cast("decimal(18,4)")
 
 
+def _dense_length(c: Column) -> Column:
+    """Characters that are no white space; single signs are taken out without a pattern."""
+    for blank in " \n\t\r\x0b\f":
+        c = F.replace(c, F.lit(blank), F.lit(""))
+    return F.length(c)
+
+
 def readable_ratio(c: Column) -> Column:
     """Share of letters, digits and common signs among characters that are not white space."""
-    dense = F.regexp_replace(c, r"\s+", "")
-    plain = F.regexp_replace(dense, r"[^A-Za-z0-9.,;:()/&%'\"+@#*?!\[\]-]", "")
-    return F.when(F.length(dense) > 0, F.length(plain) / F.length(dense)).otherwise(F.lit(0.0))
+    dense = _dense_length(c)
+    odd = F.length(F.regexp_replace(c, r"[A-Za-z0-9.,;:()/&%'\"+@#*?!\[\]\s-]++", ""))  # readable text is one match
+    return F.coalesce(F.try_divide(dense - odd, dense), F.lit(0.0))
 
 
 def is_readable(c: Column, ratio: float = 0.85, least_chars: int = 40, least_words: int = 8) -> Column:
-    words = F.size(F.regexp_extract_all(c, F.lit("(?<![A-Za-z0-9_])([A-Za-z]{3,})(?![A-Za-z0-9_])"), F.lit(1)))
-    return (F.length(F.regexp_replace(c, r"\s+", "")) >= least_chars) & (readable_ratio(c) >= ratio) & (words >= least_words)
+    """Enough characters, a readable share of them, and enough words, which are looked for no further than that."""
+    word = "(?<![A-Za-z0-9_])[A-Za-z]{3,}+(?![A-Za-z0-9_])"
+    return (_dense_length(c) >= least_chars) & (readable_ratio(c) >= ratio) & c.rlike(rf"(?s)\A(?>.*?{word}){{{least_words}}}")

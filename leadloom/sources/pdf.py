@@ -41,6 +41,8 @@ _SHOWN = rf"(?:{_string_pattern()}|<(?!<)[^>]*+>)"
 #: Operands, then the operator they belong to; at the end of a stream there may be none. The first class holds what is
 #: common, as Java tests it six times as fast as the second.
 _STEP = rf"(?s)((?:[\[\] .0-9\n-]++|[^A-Za-z'\"*(<]|{_SHOWN}|<)*+)([A-Za-z'\"*][A-Za-z0-9*'\"]*+|\z)"
+#: The operator that ends a step, told by what stands before it: strings end in brackets, other operands have none of its signs.
+_OPERATOR = r"(?<![A-Za-z'\"*])[A-Za-z'\"*][A-Za-z0-9*'\"]*+\z"
 _ARRAY = rf"(?s)\[(?:[^\]\[(<]++|{_SHOWN}|<)*+\]|{_SHOWN}"
 #: A string and what stands between it and the next.
 _UNIT = rf"(?s)({_SHOWN})([^(<]*+)"
@@ -48,6 +50,15 @@ _UNIT = rf"(?s)({_SHOWN})([^(<]*+)"
 _PLAIN_ARRAY = r"(?s)\A\[[^\\<()þ]*+(?:\([^\\<()þ]*+\)\s*+(?:-?\d{1,6}(?:\.\d{1,6})?)?\s*+)++\]\z"
 #: A push of BLANK_PUSH or wider between two strings.
 _WIDE_GAP = r"\)\s*+-0*+(?:1[2-9]\d|[2-9]\d\d|[1-9]\d{3,})(?:\.\d++)?\s*+\("
+#: A stream whose strings all stand in arrays before TJ and have neither escapes, marks nor brackets, whose numbers in arrays
+#: are short, and whose other operands are neither strings nor digits right before letters: it is read by replacing, too.
+_FILL = r"\s*+(?:-?\d{1,6}(?:\.\d{1,6})?+(?![.\d]))?+\s*+"
+_OTHER = r"(?:[^A-Za-z0-9*\\<()'\"\[\]]++|[A-Za-z*][A-Za-z0-9*]*+|[0-9]++(?![A-Za-z*]))*+"
+_PLAIN_STREAM = rf"(?s)\A{_OTHER}(?:\[{_FILL}(?:\((?!þÿ)[^\\()]*+\){_FILL})*+\]\s*+TJ(?![A-Za-z0-9*'\"]){_OTHER})*+\z"
+#: Between two strings of a plain stream, an operator that ends the line.
+_LINE_GAP = r"\)[^()]*?(?<![A-Za-z0-9*])(?:T[dD*]|ET|BT)(?![A-Za-z0-9*])[^()]*+\("
+#: White space other than blanks and line feeds, and what Java's patterns take for the end of a line.
+_ODD_BLANKS = r"[\t\x0B\f\r\x85\u2028\u2029]"
 _STREAM = r"(?s)<<.{0,8000}?>>\s*stream(?:\r\n|\r|\n).*?endstream"
 _HEAD = r"(?s)^<<.{0,8000}?>>\s*stream(?:\r\n|\r|\n)"
 
@@ -129,20 +140,41 @@ def _shown(operands: Column) -> Column:
     return F.array_join(F.transform(_all(operands, _ARRAY), of_operand), "")
 
 
+def _named(c: Column, of) -> Column:
+    """`of` of a column that is worked out once, however often `of` has it."""
+    return F.get(F.transform(F.array(c), of), F.lit(0))
+
+
+def _painted(content: Column) -> Column:
+    """What the steps of a stream show, with line feeds where lines end."""
+
+    def step(token: Column, operator: Column) -> Column:
+        shown = F.when(operator.isin(*SHOWING, ""), _shown(token)).otherwise("")
+        return F.concat(shown, F.when(operator.isin(*ENDING_LINES), "\n").otherwise(""))
+
+    return _named(_all(content, _STEP), lambda t: F.array_join(F.zip_with(t, F.transform(t, lambda x: F.regexp_extract(x, _OPERATOR, 0)), step), ""))
+
+
+def _painted_plain(content: Column) -> Column:
+    """The same of a plain stream, but for line feeds before the first string and after the last."""
+    lines = F.regexp_replace(F.regexp_replace(content, _WIDE_GAP, " "), _LINE_GAP, "\n")
+    return F.regexp_replace(F.regexp_replace(lines, r"\)[^()]*+\(", ""), r"\A[^(]*+(?:\(|\z)|\)[^)]*+\z", "")
+
+
+def _tidy(painted: Column) -> Column:
+    """Blanks are drawn together, lines trimmed, empty lines left out; most texts have only blanks and line feeds for white space."""
+    lines = F.transform(F.split(painted, "\n"), lambda x: F.regexp_replace(F.regexp_replace(x, "[ \\t]+", " "), r"^\s+|\s+$", ""))
+    plain = F.btrim(F.regexp_replace(F.regexp_replace(painted, " *+\n[ \n]*+", "\n"), "  ++", " "), F.lit(" \n"))
+    return F.when(painted.rlike(_ODD_BLANKS), F.array_join(F.filter(lines, lambda x: x != ""), "\n")).otherwise(plain)
+
+
 def content_text(content: Column) -> Column:
     """What a decoded content stream paints, in painting order: blanks are drawn together, empty lines go.
 
     A line break within a string ends a line too. A string whose brackets are never closed, or nest deeper than seven, is
     passed over up to the next bracket. Null stays null.
     """
-
-    def step(operands: Column, operator: Column) -> Column:
-        shown = F.when(operator.isin(*SHOWING, ""), _shown(operands)).otherwise("")
-        return F.concat(shown, F.when(operator.isin(*ENDING_LINES), "\n").otherwise(""))
-
-    painted = F.array_join(F.zip_with(_all(content, _STEP, 1), _all(content, _STEP, 2), step), "")
-    lines = F.transform(F.split(painted, "\n"), lambda x: F.regexp_replace(F.regexp_replace(x, "[ \\t]+", " "), r"^\s+|\s+$", ""))
-    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+    return _named(F.when(content.rlike(_PLAIN_STREAM), _painted_plain(content)).otherwise(_painted(content)), _tidy)
 
 
 def pdf_streams(files: DataFrame, key: str = "path", data: str = "content") -> DataFrame:
@@ -181,9 +213,11 @@ def read_pdfs(files: DataFrame, key: str = "path", data: str = "content", max_ch
     paints = F.col("content").rlike(r"\b(?:Tj|TJ|BT)\b")
     rows = pdf_streams(files, key, data).withColumn("text", F.when(paints, content_text(F.col("content"))))
     rows = rows.withColumn("text", F.when(F.col("text") != "", F.col("text")))
-    worded = quantity.readable_ratio(F.col("text")) >= READABLE_RATIO
+    rows = rows.withColumn("worded", quantity.readable_ratio(F.col("text")) >= READABLE_RATIO)  # a column, so it is worked out once
+    worded = F.col("worded")
     stream = F.struct("at", F.col("content").isNotNull().alias("decoded"), (F.col("text").isNotNull() & ~worded).alias("noise"), F.when(worded, F.col("text")).alias("text"), "reason")
-    folded = rows.groupBy("key", "digest", "is_pdf").agg(F.array_sort(F.collect_set(F.when(F.col("at").isNotNull(), stream))).alias("s"))
+    rows = rows.select("key", "digest", "is_pdf", F.when(F.col("at").isNotNull(), stream).alias("stream"))  # what is folded has no content
+    folded = rows.groupBy("key", "digest", "is_pdf").agg(F.array_sort(F.collect_set("stream")).alias("s"))
     texts = F.filter(F.transform("s", lambda x: x["text"]), lambda x: x.isNotNull())
     count = lambda field: F.size(F.filter("s", lambda x: x[field]))
     out = folded.select("key", "is_pdf", F.size("s").alias("streams"), count("decoded").alias("decoded"), count("noise").alias("unreadable"), F.array_join(texts, "\n").alias("joined"), F.array_sort(F.array_distinct(F.filter(F.transform("s", lambda x: x["reason"]), lambda x: x.isNotNull()))).alias("reasons"))
