@@ -64,21 +64,25 @@ def cost_inr(tokens_in: Column, tokens_out: Column, usd_in: Column, usd_out: Col
     return (micro / 10_000).cast("decimal(18,4)")
 
 
-def _dense_length(c: Column) -> Column:
+#: White space by Java's patterns, and by those of SQL (RE2), to which a vertical tab is none.
+BLANKS, SQL_BLANKS = " \n\t\r\x0b\f", " \n\t\r\f"
+
+
+def _dense_length(c: Column, blanks: str = BLANKS) -> Column:
     """Characters that are no white space; single signs are taken out without a pattern."""
-    for blank in " \n\t\r\x0b\f":
+    for blank in blanks:
         c = F.replace(c, F.lit(blank), F.lit(""))
     return F.length(c)
 
 
-def readable_ratio(c: Column) -> Column:
-    """Share of letters, digits and common signs among characters that are not white space."""
-    dense = _dense_length(c)
-    odd = F.length(F.regexp_replace(c, r"[A-Za-z0-9.,;:()/&%'\"+@#*?!\[\]\s-]++", ""))  # readable text is one match
-    return F.coalesce(F.try_divide(dense - odd, dense), F.lit(0.0))
+def readable_ratio(c: Column, blanks: str = BLANKS, none: Column | float = 0.0) -> Column:
+    """Share of letters, digits and common signs among characters that are not white space; `none` where there are no such characters, or no text."""
+    dense = _dense_length(c, blanks)
+    odd = F.length(F.regexp_replace(c, rf"[A-Za-z0-9.,;:()/&%'\"+@#*?!\[\]{blanks}-]++", ""))  # readable text is one match
+    return F.coalesce(F.try_divide(dense - odd, dense), F.lit(none))
 
 
-def is_readable(c: Column, ratio: float = 0.85, least_chars: int = 40, least_words: int = 8) -> Column:
+def is_readable(c: Column, ratio: float = 0.85, least_chars: int = 40, least_words: int = 8, blanks: str = BLANKS) -> Column:
     """Enough characters, a readable share of them, and enough words, which are looked for no further than that."""
     word = "(?<![A-Za-z0-9_])[A-Za-z]{3,}+(?![A-Za-z0-9_])"
-    return (_dense_length(c) >= least_chars) & (readable_ratio(c) >= ratio) & c.rlike(rf"(?s)\A(?>.*?{word}){{{least_words}}}")
+    return (_dense_length(c, blanks) >= least_chars) & (readable_ratio(c, blanks) >= ratio) & c.rlike(rf"(?s)\A(?>.*?{word}){{{least_words}}}")

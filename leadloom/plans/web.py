@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import Profile
+from ..functions import quantity
 from ..operators import proximity, robots
 from ..sources import pdf
 from .tables import read
@@ -143,5 +144,5 @@ SELECT doc_id, coalesce(ok, false) AS ok, CASE WHEN k.doc_id IS NULL THEN 'not a
 FROM documents LEFT JOIN k USING (doc_id)""")
 def pdf_texts(spark, d):
     """The texts of the documents, printed as PDFs, read again stream by stream."""
-    got = pdf.read_pdfs(printed(read(spark, d, "documents"), "doc_id", "text"), "path", "content", max_chars=None)
+    got = pdf.read_pdfs(printed(read(spark, d, "documents"), "doc_id", "text"), "path", "content", max_chars=None, blanks=quantity.SQL_BLANKS)
     return got.select(F.col("path").alias("doc_id"), "ok", "reason", "streams", "decoded", "unreadable", "chars", F.md5("text").alias("text_md5"))

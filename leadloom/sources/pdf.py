@@ -202,18 +202,19 @@ def pdf_streams(files: DataFrame, key: str = "path", data: str = "content") -> D
     return rows.select("key", "digest", "is_pdf", "at", reason.alias("reason"), content.alias("content"))
 
 
-def read_pdfs(files: DataFrame, key: str = "path", data: str = "content", max_chars: int | None = MAX_CHARS) -> DataFrame:
+def read_pdfs(files: DataFrame, key: str = "path", data: str = "content", max_chars: int | None = MAX_CHARS, blanks: str = quantity.BLANKS) -> DataFrame:
     """The text of every file: (`key`, ok, text, reason, detail, streams, decoded, unreadable, chars, truncated).
 
     `files` is what `spark.read.format("binaryFile")` gives, or any table with a key and bytes; other columns are not
     read. Rows equal in key and bytes are one file; files of one key that differ are a row each; a null key is a key.
     Null or empty bytes and other formats are "not a pdf". A stream that paints no words is left out, the rest is kept;
-    text beyond `max_chars` is cut and said to be truncated, and None keeps all. An empty table gives no rows.
+    text beyond `max_chars` is cut and said to be truncated, and None keeps all. `blanks` are not counted where it is
+    told whether a text is readable. An empty table gives no rows.
     """
     paints = F.col("content").rlike(r"\b(?:Tj|TJ|BT)\b")
     rows = pdf_streams(files, key, data).withColumn("text", F.when(paints, content_text(F.col("content"))))
     rows = rows.withColumn("text", F.when(F.col("text") != "", F.col("text")))
-    rows = rows.withColumn("worded", quantity.readable_ratio(F.col("text")) >= READABLE_RATIO)  # a column, so it is worked out once
+    rows = rows.withColumn("worded", quantity.readable_ratio(F.col("text"), blanks) >= READABLE_RATIO)  # a column, so it is worked out once
     worded = F.col("worded")
     stream = F.struct("at", F.col("content").isNotNull().alias("decoded"), (F.col("text").isNotNull() & ~worded).alias("noise"), F.when(worded, F.col("text")).alias("text"), "reason")
     rows = rows.select("key", "digest", "is_pdf", F.when(F.col("at").isNotNull(), stream).alias("stream"))  # what is folded has no content
@@ -221,7 +222,7 @@ def read_pdfs(files: DataFrame, key: str = "path", data: str = "content", max_ch
     texts = F.filter(F.transform("s", lambda x: x["text"]), lambda x: x.isNotNull())
     count = lambda field: F.size(F.filter("s", lambda x: x[field]))
     out = folded.select("key", "is_pdf", F.size("s").alias("streams"), count("decoded").alias("decoded"), count("noise").alias("unreadable"), F.array_join(texts, "\n").alias("joined"), F.array_sort(F.array_distinct(F.filter(F.transform("s", lambda x: x["reason"]), lambda x: x.isNotNull()))).alias("reasons"))
-    out = out.withColumn("ok", F.col("is_pdf") & quantity.is_readable(F.col("joined"), READABLE_RATIO))
+    out = out.withColumn("ok", F.col("is_pdf") & quantity.is_readable(F.col("joined"), READABLE_RATIO, blanks=blanks))
     ok = F.col("ok")
     detail = (
         F.when(~F.col("is_pdf") | ok, F.lit(None))
